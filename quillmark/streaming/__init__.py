@@ -1,0 +1 @@
+"""quillmark.streaming"""
