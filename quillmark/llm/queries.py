@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, exact_dedup, html_text, mixing, tokens, url_filter
+from . import common, exact_dedup, html_text, mixing, quality, tokens, toxicity, url_filter
 
 END = 2
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op2_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(common.table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.extendible_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = common.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.quality_filter(common.table(spark, sf_dir, "documents"), trusted)
+
+
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.fold(F.col("doc_id"), 4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
