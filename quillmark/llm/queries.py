@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, exact_dedup, html_text, mixing, quality, tokens, toxicity, url_filter
+from . import common, exact_dedup, html_text, mixing, packing, quality, tokens, toxicity, url_filter
 
 END = 2
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -47,6 +47,10 @@ def op9_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(common.table(spark, sf_dir, "pages"))
 
 
+def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path(WORD_BPE), END)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
