@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, exact_dedup, html_text, mixing, packing, quality, tokens, toxicity, url_filter
+from . import common, exact_dedup, html_text, mixing, near_join, packing, quality, tokens, toxicity, url_filter
 
 END = 2
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path, made)
 
 
+def op8_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_groups(common.table(spark, sf_dir, "documents"))
+
+
 def op9_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(common.table(spark, sf_dir, "pages"))
 
