@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,10 @@ _BYTE_LEVEL = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _WORDS = re.compile(f"[^{_WS}]+")
 
 #: Distinct segments kept by a worker; more are encoded each time they come. Longer ones are not kept.
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 40
+CACHE_SEGMENTS, CACHE_CHARS = 900_000, 40
+#: Inside an ASCII segment, both kinds of pattern cut into letters, digits and the rest; contractions stay with the library.
+_ASCII_BYTE_LEVEL = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| ")
+_ASCII_WORDS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +61,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.segments = self._cuts(spec)
+        self.byte_level = self.segments == _BYTE_LEVEL.findall
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -77,8 +84,35 @@ class Encoder:
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        if array(self.code).itemsize == self.dtype.itemsize and sys.byteorder == "little":
+            return [array(self.code, e.ids).tobytes() for e in found]
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _pieces(self, segment: str) -> list[str]:
+        """A segment in pieces that are encoded by themselves."""
+        if not segment.isascii() or "'" in segment or not segment.isprintable():
+            return [segment]
+        return _ASCII_BYTE_LEVEL.findall(segment) if self.byte_level else _ASCII_WORDS.findall(segment.lower())
+
+    def _new(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of segments that aren't known."""
+        cut = [self._pieces(s) for s in segments]
+        pieces = list({p for parts in cut for p in parts if p not in self.cache})
+        known = dict(zip(pieces, self._ids(pieces), strict=True))
+        cache = self.cache
+        out = {s: b"".join([known[p] if p in known else cache[p] for p in parts]) for s, parts in zip(segments, cut, strict=True)}
+        self._keep(known)
+        return out
+
+    def _keep(self, new: dict[str, bytes]) -> None:
+        room = CACHE_SEGMENTS - len(self.cache)
+        for s, b in new.items():
+            if room <= 0:
+                return
+            if len(s) <= CACHE_CHARS:
+                self.cache[s] = b
+                room -= 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
         if self.segments is None:
@@ -86,19 +120,12 @@ class Encoder:
         out, cache = [], self.cache
         for at in range(0, len(texts), 256):
             cut = [self.segments(t) for t in texts[at : at + 256]]
-            missing = {s for parts in cut for s in parts if s not in cache}
-            extra = {}
-            if missing:
-                missing = list(missing)
-                new = dict(zip(missing, self._ids(missing), strict=True))
-                if len(cache) < CACHE_SEGMENTS:
-                    cache.update((s, b) for s, b in new.items() if len(s) <= CACHE_CHARS)
-                    extra = {s: b for s, b in new.items() if len(s) > CACHE_CHARS}
-                else:
-                    extra = new
-            if extra:
-                get = lambda s: cache.get(s) or extra.get(s, b"")
-                out += [b"".join(map(get, parts)) for parts in cut]
+            missing = list({s for parts in cut for s in parts if s not in cache})
+            new = self._new(missing) if missing else {}
+            self._keep(new)
+            new = {s: b for s, b in new.items() if s not in cache}
+            if new:
+                out += [b"".join([cache[s] if s in cache else new[s] for s in parts]) for parts in cut]
             else:
                 out += [b"".join(map(cache.__getitem__, parts)) for parts in cut]
         return out
