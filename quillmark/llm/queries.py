@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, exact_dedup, html_text, mixing, near_join, packing, quality, tokens, toxicity, url_filter
+from . import common, exact_dedup, html_text, lattice_lm, mixing, near_join, packing, quality, tokens, toxicity, url_filter
 
 END = 2
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.fold(F.col("doc_id"), 10) == 0
+    scores = lattice_lm.lm_scores(common.table(spark, sf_dir, "documents"), ~held_out, tokens.tokenizer_path(PIECES))
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
