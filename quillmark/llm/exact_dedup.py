@@ -76,14 +76,13 @@ def extendible_dedup(
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. A null id stands for itself only by its text."""
-    kept = extendible_dedup(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    # a repeated row has its id and text twice in docs but once in kept
-    sha = F.sha2(common.lower_ascii(F.col(text_col)), 256)
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and its text one stays."""
     cols = docs.columns
-    marked = docs.withColumn("_sha", sha)
-    out = marked.join(kept, F.expr(f"`{id_col}` <=> _keep_id and _sha = _keep_sha"), "left_semi")
-    twice = marked.groupBy(id_col, "_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(id_col).alias("_twice_id"), F.col("_sha").alias("_twice_sha"))
-    cond = F.expr(f"`{id_col}` <=> _twice_id and _sha = _twice_sha")
-    once = out.join(twice, cond, "left_anti").select(*cols)
-    return once.unionByName(out.join(twice, cond, "left_semi").dropDuplicates([id_col, "_sha"]).select(*cols))
+    found = extendible_dedup(docs, id_col, text_col, **how)
+    key = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")]
+    found = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.max("kept").alias("_kept")).where("_rows > 1 or not _kept")
+    same = F.expr(f"`{id_col}` <=> _id and _sha = _sha256")
+    out = docs.withColumn("_sha", F.sha2(common.lower_ascii(F.col(text_col)), 256)).join(found, same, "left")
+    once = out.where("_rows is null").select(*cols)
+    again = out.where("_rows > 1 and _kept").dropDuplicates(["_id", "_sha256"]).select(*cols)
+    return once.unionByName(again)
