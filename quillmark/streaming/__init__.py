@@ -1 +1 @@
-"""quillmark.streaming"""
+"""No stream operators: what is measured here is whole transcripts. Every column function also works on streaming DataFrames."""
