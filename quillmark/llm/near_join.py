@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, words
 
-#: Counters of shingle frequency; groups of a point, and of the folded point that shards carry.
-COUNTERS, GROUPS, FOLDED = 1 << 16, 128, 32
+#: Counters of shingle frequency; groups of a point, and of the folded point that shards carry for sets under LONG shingles.
+COUNTERS, GROUPS, FOLDED, LONG = 1 << 18, 128, 32, 1500
 #: Points of a leaf; documents of a shard that one task joins (larger shards are joined by pairs of tiles); hub rounds.
 LEAF, TILE, HUB_ROUNDS = 32, 2048, 3
 
@@ -45,7 +45,7 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def counter(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(48)).astype(np.int64) % COUNTERS
+    return (s >> np.uint64(40)).astype(np.int64) % COUNTERS
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
@@ -59,8 +59,8 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"k": at, "n": total[at]})
 
     out = np.zeros(COUNTERS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
-        out[r.k] = r.n
+    found = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -136,19 +136,32 @@ def small_pairs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def fold_point(raw: pa.Array) -> pa.Array:
-    """Points folded to FOLDED groups of one byte; 255 stands for that count or more."""
-    p = np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, GROUPS // FOLDED, FOLDED).sum(1)
-    p = np.minimum(p, 255).astype(np.uint8)
-    return pa.array([x.tobytes() for x in p], pa.binary())
+def fold_point(raw: pa.Array, n: pa.Array) -> pa.Array:
+    """Points of one byte a group, folded to FOLDED groups for small sets; 255 stands for that count or more."""
+    p = np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, GROUPS)
+    small = np.minimum(p.reshape(-1, GROUPS // FOLDED, FOLDED).sum(1), 255).astype(np.uint8)
+    whole = np.minimum(p, 255).astype(np.uint8)
+    return pa.array([(w if m >= LONG else s).tobytes() for w, s, m in zip(whole, small, n.to_pylist(), strict=True)], pa.binary())
 
 
-def _open(point: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Folded counts as integers; a full byte bounds nothing but by the set's size."""
-    p = point.astype(np.int32)
+def _open(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Counts as integers; a full byte bounds nothing but by the set's size."""
+    p = p.astype(np.int32)
     return np.where(p == 255, np.minimum(size, 1 << 20).astype(np.int32)[:, None], p)
 
 
+def opened(raw: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded points of all, whole points of long sets, and each row's place among the latter (-1: none)."""
+    is_long = size >= LONG
+    at = np.full(len(raw), -1)
+    at[is_long] = np.arange(is_long.sum())
+    whole = _open(np.frombuffer(b"".join(r for r, m in zip(raw, is_long, strict=True) if m), np.uint8).reshape(-1, GROUPS), size[is_long])
+    point = np.zeros((len(raw), FOLDED), np.int32)
+    point[~is_long] = _open(np.frombuffer(b"".join(r for r, m in zip(raw, is_long, strict=True) if not m), np.uint8).reshape(-1, FOLDED), size[~is_long])
+    point[is_long] = np.minimum(whole.reshape(-1, GROUPS // FOLDED, FOLDED).sum(1, dtype=np.int64), 1 << 24)
+    return point, whole, at
+
+
 def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of different components that the trees leave. rows: key, i, j (tiles), side, doc, n, comp, point, in order of shard."""
 
@@ -157,10 +170,18 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         new[1:] = (np.diff(t["key"]) != 0) | (np.diff(t["i"]) != 0) | (np.diff(t["j"]) != 0)
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(new)))
-        point = _open(t["point"], t["n"])
+        point, whole, at_whole = opened(t["point"].tolist(), t["n"])
         out: list[np.ndarray] = []
 
         def keep(i, j):
+            both = np.flatnonzero((at_whole[i] >= 0) & (at_whole[j] >= 0))
+            for at in range(0, len(both), 50_000):  # long sets have a closer bound
+                k = both[at : at + 50_000]
+                far = ~may_link(t["n"][i[k]], t["n"][j[k]], np.minimum(whole[at_whole[i[k]]], whole[at_whole[j[k]]]).sum(1, dtype=np.int64), num, den)
+                both[at : at + 50_000][~far] = -1
+            left = np.ones(len(i), bool)
+            left[both[both >= 0]] = False
+            i, j = i[left], j[left]
             m = (t["comp"][i] != t["comp"][j]) & ((t["i"][i] == t["j"][i]) | (t["side"][i] != t["side"][j]))
             if m.any():
                 a, b = t["doc"][i[m]], t["doc"][j[m]]
@@ -186,7 +207,8 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         held: dict[str, np.ndarray] | None = None
         for b in batches:
             t = {k: b.column(x).to_numpy(zero_copy_only=False) for x, k in enumerate(names)}
-            t["point"] = np.frombuffer(b"".join(b.column(len(names)).to_pylist()), np.uint8).reshape(-1, FOLDED)
+            t["point"] = np.empty(b.num_rows, object)
+            t["point"][:] = b.column(len(names)).to_pylist()
             if held is not None:
                 t = {k: np.concatenate((held[k], v)) for k, v in t.items()}
             # the last shard may go on in the next batch
@@ -301,7 +323,7 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
         labelled = entries.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         labelled = common.staged(labelled, "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    folded = reps.select("doc_id", "point").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), fold_point(b.column(1))], names=["doc", "point"]) for b in it if b.num_rows), "doc long, point binary")
+    folded = reps.select("doc_id", "point", "n").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), fold_point(b.column(1), b.column(2))], names=["doc", "point"]) for b in it if b.num_rows), "doc long, point binary")
     rest = labelled.join(mixed, "key", "left_semi").join(folded, "doc")
     tiles = F.ceil(F.col("docs") / tile).cast("int")
     rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
