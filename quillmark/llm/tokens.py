@@ -30,9 +30,23 @@ _WORDS = re.compile(f"[^{_WS}]+")
 
 #: Distinct segments kept by a worker; more are encoded each time they come. Longer ones are not kept.
 CACHE_SEGMENTS, CACHE_CHARS = 900_000, 40
-#: Inside an ASCII segment, both kinds of pattern cut into letters, digits and the rest; contractions stay with the library.
-_ASCII_BYTE_LEVEL = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| ")
-_ASCII_WORDS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
+_LATIN = "ß-öø-ÿ"
+_RARE = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_LATIN_BYTE_LEVEL = re.compile(rf"{_CONTRACTIONS}| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_LATIN_WORDS = re.compile(rf"{_CONTRACTIONS}|[a-z{_LATIN}]+|[0-9]|[^ \t-\ra-z0-9{_LATIN}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in seen)
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTER = _byte_letters()
+_PLAIN = re.compile(r"[!-~]+").fullmatch
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,7 +58,8 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Exact ids of a tokenizer file, encoding each distinct segment once.
 
-    Byte-level and word-level patterns never cross the cuts made here, so the ids of a text are those of its segments.
+    Byte-level and word-level patterns never cross the cuts made here, so the ids of a text are those of its segments. Texts of
+    common characters are cut by the pattern itself, and the library's merges are applied to each piece.
     Special tokens' strings in a text are ordinary text. A tokenizer of another kind is applied to whole texts.
     """
 
@@ -88,20 +103,13 @@ class Encoder:
             return [array(self.code, e.ids).tobytes() for e in found]
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _pieces(self, segment: str) -> list[str]:
-        """A segment in pieces that are encoded by themselves."""
-        if not segment.isascii() or "'" in segment or not segment.isprintable():
-            return [segment]
-        return _ASCII_BYTE_LEVEL.findall(segment) if self.byte_level else _ASCII_WORDS.findall(segment.lower())
-
-    def _new(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of segments that aren't known."""
-        cut = [self._pieces(s) for s in segments]
-        pieces = list({p for parts in cut for p in parts if p not in self.cache})
-        known = dict(zip(pieces, self._ids(pieces), strict=True))
-        cache = self.cache
-        out = {s: b"".join([known[p] if p in known else cache[p] for p in parts]) for s, parts in zip(segments, cut, strict=True)}
-        self._keep(known)
+    def _model_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the pattern has cut already: the library's merges on their bytes' letters."""
+        apply, out = self.tokenizer.model.tokenize, []
+        for p in pieces:
+            letters = p if _PLAIN(p) else "".join([_LETTER[b] for b in p.encode()])
+            ids = [t.id for t in apply(letters)]
+            out.append(array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes())
         return out
 
     def _keep(self, new: dict[str, bytes]) -> None:
@@ -117,19 +125,32 @@ class Encoder:
         """The ids of each text as bytes of ``dtype``."""
         if self.segments is None:
             return self._ids(texts)
-        out, cache = [], self.cache
-        for at in range(0, len(texts), 256):
-            cut = [self.segments(t) for t in texts[at : at + 256]]
-            missing = list({s for parts in cut for s in parts if s not in cache})
-            new = self._new(missing) if missing else {}
-            self._keep(new)
-            new = {s: b for s, b in new.items() if s not in cache}
-            if new:
-                out += [b"".join([cache[s] if s in cache else new[s] for s in parts]) for parts in cut]
-            else:
-                out += [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        out = []
+        for at in range(0, len(texts), 512):
+            cut, latin, rest = [], set(), set()
+            for t in texts[at : at + 512]:
+                if _RARE.search(t):
+                    parts = self.segments(t)
+                    rest.update(parts)
+                else:
+                    parts = _LATIN_BYTE_LEVEL.findall(t) if self.byte_level else _LATIN_WORDS.findall(t.lower())
+                    latin.update(parts)
+                cut.append(parts)
+            # what this batch has, small enough to stay near the processor
+            known = self._known(list(latin), self._model_ids)
+            known |= self._known([p for p in rest if p not in latin], self._ids)
+            out += [b"".join(map(known.__getitem__, parts)) for parts in cut]
         return out
 
+    def _known(self, parts: list[str], encode) -> dict[str, bytes]:
+        found = dict(zip(parts, map(self.cache.get, parts)))
+        missing = [p for p, ids in found.items() if ids is None]
+        if missing:
+            new = dict(zip(missing, encode(missing), strict=True))
+            self._keep(new)
+            found.update(new)
+        return found
+
 
 def crc_u32(ids: bytes, dtype: np.dtype) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
