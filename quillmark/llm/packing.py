@@ -1,6 +1,6 @@
 """Lexical retrieval packing.
 
-Documents become token ids once. A shard is a run of documents in the order of their heaviest terms, so that lexical
+Documents become token ids once. A shard is a run of documents in the order of their rarest terms, so that lexical
 neighbours meet and any hot term is cut into many shards; each shard has a BM25 inverted index over its documents. A seed
 document asks the index for its best unused neighbours, which fill the window greedily; the one that doesn't fit is cut, and
 what is left of it is the next seed. Corpus statistics (document frequencies, mean length) are counted over all documents.
@@ -24,45 +24,48 @@ SHARD_TOKENS, K1, B, QUERY_TERMS = 1 << 20, 1.2, 0.75, 24
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n (tokens, with the end id), ids (little-endian bytes)."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, ids) of the documents, ids as little-endian bytes, and (term, df) of each task: one pass over the texts.
+
+    Term -1 counts a task's documents, -2 their tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.Encoder.of(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
+        df, docs, total = np.zeros(max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1), np.int64), 0, 0
         for b in batches:
             at = 0
             while at < b.num_rows:
+                part = b.column(0).slice(at, 512)
                 ids = [x + end for x in enc.encode([t or "" for t in b.column(1).slice(at, 512).to_pylist()])]
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(at, 512), "n": pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+                n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
+                found = np.repeat(np.arange(len(n)) * len(df), n) + np.frombuffer(b"".join(ids), enc.dtype)
+                df += np.bincount(np.unique(found) % len(df), minlength=len(df))
+                docs, total = docs + len(n), total + int(n.sum())
+                zero = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_pydict({"doc_id": part, "n": n, "ids": pa.array(ids, pa.binary()), "term": zero, "df": zero, "kind": zero})
                 at += 512
+        if docs:
+            at = np.flatnonzero(df)
+            term, count = np.concatenate((at, [-1, -2])), np.concatenate((df[at], [docs, total]))
+            none = pa.nulls(len(term), pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "ids": pa.nulls(len(term), pa.binary()), "term": term, "df": count, "kind": np.ones(len(term), np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, ids binary")
+    path, spark = common.new_path(docs.sparkSession, "pack-ids"), docs.sparkSession
+    rows.mapInArrow(run, "doc_id long, n long, ids binary, term long, df long, kind long").write.partitionBy("kind").parquet(path)
+    both = spark.read.schema("doc_id long, n long, ids binary, term long, df long, kind long").parquet(path)
+    return both.where("kind = 0").select("doc_id", "n", "ids"), both.where("kind = 1").select("term", "df")
 
 
-def frequencies(rows: DataFrame, dtype: np.dtype, vocabulary: int) -> tuple[np.ndarray, int, int]:
+def frequencies(counts: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
     """Document frequency of each id of the vocabulary, documents, tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
-        for b in batches:
-            for ids in b.column(0):
-                x = np.frombuffer(ids.as_py(), dtype)
-                df[np.unique(x)] += 1
-                n, total = n + 1, total + len(x)
-        if n:
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_pydict({"term": np.concatenate((at, [-1, -2])), "df": np.concatenate((df[at], [n, total]))})
-
-    df, n, total = np.zeros(vocabulary, np.int64), 0, 0
-    for r in rows.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the vocabulary's size at most
-        if r.term == -1:
-            n = r.df
-        elif r.term == -2:
-            total = r.df
-        else:
-            df[r.term] = r.df
+    found = counts.groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # the vocabulary's size at most
+    known = dict(zip(found.column("term").to_pylist(), found.column("df").to_pylist(), strict=True))
+    n, total = known.pop(-1, 0), known.pop(-2, 0)
+    df = np.zeros(vocabulary, np.int64)
+    df[list(known.keys())] = list(known.values())
     return df, n, total
 
 
@@ -71,16 +74,14 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def routed(rows: DataFrame, dtype: np.dtype, weight: np.ndarray) -> DataFrame:
-    """With route: a document's two heaviest terms, by frequency in it times rarity."""
+    """With route: a document's rarest term over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             route = []
             for ids in b.column(2):
-                t, c = np.unique(np.frombuffer(ids.as_py(), dtype), return_counts=True)
-                s = weight[t] * c / (c + K1)
-                top = t[np.lexsort((t, -s))[:2]].astype(np.int64)
-                route.append(int(top[0]) * (1 << 32) + (int(top[1]) if len(top) > 1 else 0))
+                x = np.frombuffer(ids.as_py(), dtype)
+                route.append(int(x[np.argmax(weight[x])]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route, pa.int64())], names=["doc_id", "n", "ids", "route"])
 
     return rows.select("doc_id", "n", "ids").mapInArrow(run, "doc_id long, n long, ids binary, route long")
@@ -161,8 +162,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id"
     enc = tokens.Encoder.of(tokenizer)
     dtype, vocabulary = enc.dtype, max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     spark = docs.sparkSession
-    rows = common.staged(tokenized(docs, tokenizer, end_id, id_col, text_col), "pack-ids")
-    df, n, total = frequencies(rows, dtype, vocabulary)
+    rows, counts = tokenized(docs, tokenizer, end_id, id_col, text_col)
+    df, n, total = frequencies(counts, vocabulary)
     if not n:
         return spark.createDataFrame([], SCHEMA)
     weight, mean = idf(df, n), total / n
