@@ -76,8 +76,8 @@ def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     ``buckets`` hash ranges and then within each, so no task holds a source.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("mix_order"), F.xxhash64(text).alias("tie"))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("mix_order", 40), F.lit(buckets)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix"))).alias("mix_order"), F.xxhash64(text).alias("tie"))
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("mix_order", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
     rows = common.staged(rows, "mix-sizes")
     targets = source_targets(rows, weights, share, most)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))

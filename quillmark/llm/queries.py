@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, exact_dedup, html_text, lattice_lm, mixing, near_join, packing, quality, tokens, toxicity, url_filter
+from . import common, exact_dedup, html_text, lattice_lm, mixing, near_join, oracles, packing, quality, tokens, toxicity, url_filter
 
 END = 2
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -40,7 +40,8 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(common.table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
