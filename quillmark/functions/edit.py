@@ -13,9 +13,16 @@ def _symbol(vocabulary: Column, w: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0")), "UTF-16BE")
 
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Word Levenshtein distance: each distinct word of the pair becomes one character. For pairs of at most 35,000 distinct words."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
+def vocabulary_of(ref: Column, hyp: Column) -> Column:
+    return F.array_distinct(F.concat(ref, hyp))
+
+
+def word_distance(ref: Column, hyp: Column, vocabulary: Column | None = None) -> Column:
+    """Word Levenshtein distance: each distinct word of the pair becomes one character. For pairs of at most 35,000 distinct words.
+
+    Give ``vocabulary`` as a column of an earlier select: inside a lambda it would be made again for each word.
+    """
+    vocabulary = vocabulary_of(ref, hyp) if vocabulary is None else vocabulary
     spell = lambda words: F.array_join(F.transform(words, lambda w: _symbol(vocabulary, w)), "")
     return F.levenshtein(spell(ref), spell(hyp))
 

@@ -43,10 +43,14 @@ def similarity(ref: Column, hyp: Column, judged: Column | None = None, encoded:
     return F.coalesce(*found, jaccard_folded(ref, hyp))
 
 
+def number_recall(ref: Column, hyp: Column) -> Column:
+    """Recall of the reference's distinct numbers, from two arrays; 1 without any."""
+    r = F.array_distinct(ref)
+    return F.when(F.size(r) > 0, F.size(F.array_intersect(r, hyp)).cast("double") / F.size(r)).otherwise(F.lit(1.0))
+
+
 def number_accuracy(ref_text: Column, hyp_text: Column) -> Column:
-    """Recall of the reference's distinct numbers; 1 without any."""
-    r = F.array_distinct(numbers(ref_text))
-    return F.when(F.size(r) > 0, F.size(F.array_intersect(r, numbers(hyp_text))).cast("double") / F.size(r)).otherwise(F.lit(1.0))
+    return number_recall(numbers(ref_text), numbers(hyp_text))
 
 
 def grade(rate: Column) -> Column:

@@ -62,19 +62,11 @@ def adjacent_repetition(words) -> Column:
 
 
 def global_repetition(words) -> Column:
-    """Distinct words that occur more than once, over words.
-
-    Sorted, a word's repeats follow each other: a distinct word is repeated where its first copy equals the next word.
-    """
+    """Distinct words that occur more than once, over words. Sorted, a word's repeats follow each other."""
     s = F.array_sort(_col(words))
     n = F.size(s)
-    nxt = F.slice(s, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    prv = F.concat(F.array(F.lit(None).cast("string")), F.slice(s, F.lit(1), F.greatest(n - 2, F.lit(0))))
-    here = F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    first = F.zip_with(here, nxt, lambda a, b: a == b)
-    fresh = F.zip_with(here, prv, lambda a, b: ~a.eqNullSafe(b))
-    both = F.zip_with(first, fresh, lambda a, b: F.coalesce(a & b, F.lit(False)).cast("int"))
-    return ratio(F.aggregate(both, F.lit(0), lambda a, x: a + x), F.greatest(n, F.lit(1)))
+    pairs = F.zip_with(F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(a == b, a))
+    return ratio(F.size(F.array_compact(F.array_distinct(pairs))), F.greatest(n, F.lit(1)))
 
 
 def char_diversity(c) -> Column:

@@ -14,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, r and h (words), ref and hyp (texts): the first words of a document and a corrupted copy."""
+    """doc_id, lang, source, r and h (words), ref and hyp (texts), v (their distinct words): the first words of a document and a corrupted copy."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.slice(tokens("text"), 1, SIDE).alias("r"))
     docs = docs.withColumn("h", F.slice(corrupted(F.col("r")), 1, SIDE))
-    return docs.withColumn("ref", F.array_join("r", " ")).withColumn("hyp", F.array_join("h", " "))
+    return docs.withColumn("ref", F.array_join("r", " ")).withColumn("hyp", F.array_join("h", " ")).withColumn("v", F.array_distinct(F.concat("r", "h")))
 
 
 def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,13 +122,14 @@ def corruption_ladder(spark, sf_dir):
     d = text_pairs(spark, sf_dir).select("doc_id", "r")
     steps = [F.struct(F.lit(n).alias("label"), F.lit(q).alias("quality_score"), (F.col("r") if k is None else F.slice(T.corrupted(F.col("r"), *k), 1, 33)).alias("h")) for n, q, k in LADDER]
     d = d.select("doc_id", "r", F.explode(F.array(*steps)).alias("s")).select("doc_id", "r", "s.*")
-    wer = edit.error_rate(edit.word_distance(F.col("r"), F.col("h")), F.size("r"), F.size("h"))
+    wer = edit.error_rate(edit.word_distance(F.col("r"), F.col("h"), F.col("v")), F.size("r"), F.size("h"))
+    d = d.withColumn("v", edit.vocabulary_of(F.col("r"), F.col("h")))
     return d.select("doc_id", "label", "quality_score", F.array_join("h", " ").alias("transcript"), _r(wer).alias("wer"))
 
 
 def _rates(spark, sf_dir) -> DataFrame:
     p = text_pairs(spark, sf_dir)
-    return p.withColumn("distance", edit.word_distance(F.col("r"), F.col("h"))).withColumn("wer", edit.error_rate(F.col("distance"), F.size("r"), F.size("h")))
+    return p.withColumn("distance", edit.word_distance(F.col("r"), F.col("h"), F.col("v"))).withColumn("wer", edit.error_rate(F.col("distance"), F.size("r"), F.size("h")))
 
 
 def word_wer(spark, sf_dir):
@@ -171,7 +172,7 @@ def positional_char_diff(spark, sf_dir):
 def quality_delta(spark, sf_dir):
     """Original: the corrupted text; corrected: it without the filler words; reference: the document."""
     p = text_pairs(spark, sf_dir).withColumn("c", F.filter("h", lambda w: w != "the"))
-    rate = lambda x: edit.error_rate(edit.word_distance(F.col("r"), F.col(x)), F.size("r"), F.size(x))
+    rate = lambda x: edit.error_rate(edit.word_distance(F.col("r"), F.col(x), F.col("v")), F.size("r"), F.size(x))
     p = p.withColumn("corrected", F.array_join("c", " ")).withColumn("wer_original", rate("h")).withColumn("wer_corrected", rate("c")).withColumn("chars_changed", T.char_diff("hyp", "corrected"))
     gain = F.col("wer_original") - F.col("wer_corrected")
     return p.select(
@@ -283,9 +284,12 @@ def fenced_json(spark, sf_dir):
 def _scored(spark, sf_dir) -> DataFrame:
     """Pairs with the six features, the reward's parts and the reward."""
     p = text_pairs(spark, sf_dir)
-    p = p.withColumn("wer", edit.error_rate(edit.word_distance(F.col("r"), F.col("h")), F.size("r"), F.size("h")))
-    p = p.withColumn("entity", E.entity_score(E.entities(F.col("ref")), E.entities(F.col("hyp")))).withColumn("repetition", T.adjacent_repetition("h"))
-    p = p.withColumn("semantic", M.similarity(F.col("r"), F.col("h"))).withColumn("speaker", S.speaker_accuracy(S.speaker_segments(F.col("ref")), S.speaker_segments(F.col("hyp")))).withColumn("number", M.number_accuracy(F.col("ref"), F.col("hyp")))
+    # what lambdas use again and again is a column first
+    p = p.withColumn("e_ref", E.entities(F.col("ref"))).withColumn("e_hyp", E.entities(F.col("hyp"))).withColumn("n_ref", T.numbers("ref")).withColumn("n_hyp", T.numbers("hyp"))
+    p = p.withColumn("wer", edit.error_rate(edit.word_distance(F.col("r"), F.col("h"), F.col("v")), F.size("r"), F.size("h")))
+    p = p.withColumn("entity", E.entity_score(F.col("e_ref"), F.col("e_hyp"))).withColumn("repetition", T.adjacent_repetition("h"))
+    p = p.withColumn("s_ref", S.speaker_segments(F.col("ref"))).withColumn("s_hyp", S.speaker_segments(F.col("hyp")))
+    p = p.withColumn("semantic", M.similarity(F.col("r"), F.col("h"))).withColumn("speaker", S.speaker_accuracy(F.col("s_ref"), F.col("s_hyp"))).withColumn("number", M.number_recall(F.col("n_ref"), F.col("n_hyp")))
     parts = M.reward_parts(*(F.col(c) for c in ("wer", "entity", "repetition", "semantic", "speaker", "number")))
     p = p.withColumns({f"part_{k}": c for k, c in parts.items()})
     return p.withColumn("reward", M.reward_score({k: F.col(f"part_{k}") for k in parts}))
