@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common
+from . import caches, common
 
 #: White space by Unicode's property, which the tokenizers' patterns mean by \\s.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -29,7 +29,7 @@ _BYTE_LEVEL = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _WORDS = re.compile(f"[^{_WS}]+")
 
 #: Distinct segments kept by a worker; more are encoded each time they come. Longer ones are not kept.
-CACHE_SEGMENTS, CACHE_CHARS = 900_000, 40
+CACHE_SEGMENTS, CACHE_CHARS = 700_000, 40
 #: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
 _LATIN = "ß-öø-ÿ"
 _RARE = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
@@ -82,7 +82,9 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        caches.claim("tokens", cls._of.clear)
         if path not in cls._of:
+            cls._of.clear()
             cls._of[path] = cls(path)
         return cls._of[path]
 

@@ -12,11 +12,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import caches
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]"
 
@@ -59,6 +62,7 @@ class Gains:
 
     @classmethod
     def of(cls, model: Model) -> "Gains":
+        caches.claim("toxicity", cls._of.clear)
         key = (hash(model.toxic), hash(model.ordinary))
         if key not in cls._of:
             cls._of.clear()
@@ -100,22 +104,23 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
         except zs.ZstdError:
             return b"".join(samples)[:size]
 
-    docs_t, docs_o = [windows(t) for t in toxic], [windows(t) for t in ordinary]
-    in_t, in_o = Counter(), Counter()
-    for d in docs_t:
-        in_t.update(_grams(set(d)))
-    for d in docs_o:
-        in_o.update(g for g in _grams(set(d)) if g in in_t)
     n_t, n_o = max(1, len(toxic)), max(1, len(ordinary))
     least, marked = max(2, n_t // 75), set()
+    in_t, in_o = Counter(), Counter()  # of one text at a time: the driver holds no list of all windows
+    for t in toxic:
+        in_t.update(_grams(set(windows(t))))
+    in_t = {g: a for g, a in in_t.items() if a >= least}
+    for t in ordinary:
+        in_o.update(g for g in _grams(set(windows(t))) if g in in_t)
     for g, a in in_t.items():
         b = in_o.get(g, 0)
         p = (a + b) / (n_t + n_o)
         z = (a / n_t - b / n_o) / np.sqrt(p * (1 - p) * (1 / n_t + 1 / n_o) + 1e-12)
-        if a >= least and z > 8 and np.log((a + 0.5) / (n_t + 1)) - np.log((b + 0.5) / (n_o + 1)) > 1.5:
+        if z > 8 and np.log((a + 0.5) / (n_t + 1)) - np.log((b + 0.5) / (n_o + 1)) > 1.5:
             marked.add(g)
-    picks = [f" {w} ".encode() for d in docs_t for w in d if len(w) <= 24 and not marked.isdisjoint(_grams({w}))]
-    plain = [w.encode() for d in docs_o for w in d][:300_000]
+    del in_t, in_o
+    picks = [f" {w} ".encode() for t in toxic for w in windows(t) if len(w) <= 24 and not marked.isdisjoint(_grams({w}))]
+    plain = [w.encode() for w in islice((w for t in ordinary for w in windows(t)), 300_000)]
     return Model(train(TOXIC_BYTES, [b"".join(picks[i : i + 8]) for i in range(0, len(picks), 8)]), train(ORDINARY_BYTES, [b" ".join(plain[i : i + 8]) for i in range(0, len(plain), 8)]))
 
 
@@ -127,6 +132,7 @@ def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:
         return model
     g = Gains(model)
     x = np.array([g.features(t) for t in texts])
+    del g
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
     a = np.c_[np.ones(len(x)), (x - model.mean) / model.spread]
     w = np.zeros(a.shape[1])
