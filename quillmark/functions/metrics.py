@@ -94,7 +94,8 @@ def confidence_stats(values: Column) -> dict[str, Column]:
     n = F.size(v).cast("double")
     total = lambda f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
     mean = total(lambda x: x) / n
-    spread = F.sqrt(F.aggregate(F.transform(v, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n)
+    # the mean is bound once: inside the inner lambda it would be made again for each value
+    spread = F.transform(F.array(mean), lambda m: F.sqrt(F.aggregate(F.transform(v, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / n))[0]
     return {
         "mean_confidence": mean, "min_confidence": F.array_min(v), "max_confidence": F.array_max(v), "std_confidence": spread,
         "low_confidence_ratio": total(lambda x: (x < 0.5).cast("double")) / n, "high_confidence_ratio": total(lambda x: (x > 0.8).cast("double")) / n,

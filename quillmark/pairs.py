@@ -13,10 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, r and h (words), ref and hyp (texts), v (their distinct words): the first words of a document and a corrupted copy."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.slice(tokens("text"), 1, SIDE).alias("r"))
-    docs = docs.withColumn("h", F.slice(corrupted(F.col("r")), 1, SIDE))
+def text_pairs(spark: SparkSession, sf_dir: str, side: int | None = SIDE) -> DataFrame:
+    """doc_id, lang, source, r and h (words), ref and hyp (texts), v (their distinct words): a document and a corrupted copy.
+
+    Of either only the first ``side`` words, as the queries' SQL has them; None: whole texts.
+    """
+    first = lambda c: c if side is None else F.slice(c, 1, side)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", first(tokens("text")).alias("r"))
+    docs = docs.withColumn("h", first(corrupted(F.col("r"))))
     return docs.withColumn("ref", F.array_join("r", " ")).withColumn("hyp", F.array_join("h", " ")).withColumn("v", F.array_distinct(F.concat("r", "h")))
 
 

@@ -182,13 +182,13 @@ def quality_delta(spark, sf_dir):
 
 
 def mer_wil(spark, sf_dir):
-    p = edit.aligned(text_pairs(spark, sf_dir).select("doc_id", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
+    p = edit.aligned(text_pairs(spark, sf_dir, side=None).select("doc_id", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
     n, m = F.size("ref_words"), F.size("hyp_words")
     return p.select("doc_id", "distance", "hits", _r(edit.match_error_rate(F.col("distance"), F.col("hits"))).alias("mer"), _r(edit.information_lost(F.col("hits"), n, m)).alias("wil"))
 
 
 def heuristic_quality(spark, sf_dir):
-    p = edit.aligned(text_pairs(spark, sf_dir).select("doc_id", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
+    p = edit.aligned(text_pairs(spark, sf_dir, side=None).select("doc_id", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
     n, m = F.size("ref_words"), F.size("hyp_words")
     rates = (edit.error_rate(F.col("distance"), n, m), edit.match_error_rate(F.col("distance"), F.col("hits")), edit.information_lost(F.col("hits"), n, m))
     return p.select("doc_id", _r(M.heuristic_quality(*map(edit.reward, rates), M.length_penalty(n, m))).alias("quality_score"))
@@ -196,7 +196,7 @@ def heuristic_quality(spark, sf_dir):
 
 def rerank_features(spark, sf_dir):
     """The reranker's 24 features of each pair, in their order."""
-    p = edit.aligned(text_pairs(spark, sf_dir).select("doc_id", "ref", "hyp", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
+    p = edit.aligned(text_pairs(spark, sf_dir, side=None).select("doc_id", "ref", "hyp", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
     r, h, n, m = F.col("ref_words"), F.col("hyp_words"), F.size("ref_words"), F.size("hyp_words")
     rates = {"wer": edit.error_rate(F.col("distance"), n, m), "mer": edit.match_error_rate(F.col("distance"), F.col("hits")), "wil": edit.information_lost(F.col("hits"), n, m)}
     cols = {f"{k}_score": v for k, v in rates.items()} | {f"{k}_reward": edit.reward(v) for k, v in rates.items()}

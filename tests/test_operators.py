@@ -130,3 +130,35 @@ def test_ladder_errors_rise(spark):
     d = spark.createDataFrame([(" ".join(f"w{i}" for i in range(50)),)], "t string").select(T.tokens("t").alias("w"))
     n = [d.select(F.size(T.corrupted("w", *k)).alias("n")).first().n for k in ((10**6, 10**6, 10**6), (7, 10**6, 10**6))]
     assert n == [50, 44]  # one word is doubled by any rule
+
+
+def plain_alignment(r, h):
+    """(distance, hits) by the full table: least cost, then most hits."""
+    row = [(j, 0) for j in range(len(h) + 1)]
+    for i, x in enumerate(r, 1):
+        new = [(i, 0)]
+        for j, y in enumerate(h, 1):
+            new.append(min((row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1]), (row[j - 1][0] + (x != y), row[j - 1][1] - (x == y))))
+        row = new
+    return row[-1][0], -row[-1][1]
+
+
+def test_aligned_queries_see_whole_texts(spark, tmp_path):
+    from quillmark import queries as Q
+
+    texts = [" ".join(f"w{k * k % 41}" for k in range(n)) for n in (0, 1, 29, 31, 90, 400)]
+    d = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def corrupted(w):
+        return [y for i, x in enumerate(w) if i % 7 != 3 for y in (["the"] if i % 11 == 5 else [x, x] if i % 13 == 6 else [x])]
+
+    pairs = {i: (t.split(), corrupted(t.split())) for i, t in enumerate(texts)}
+    want = {i: plain_alignment(*p) for i, p in pairs.items()}
+    assert {r.doc_id: (r.distance, r.hits) for r in Q.mer_wil(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.word_count for r in Q.rerank_features(spark, str(tmp_path)).collect()} == {i: len(h) for i, (_, h) in pairs.items()}
+    for r in Q.heuristic_quality(spark, str(tmp_path)).where("doc_id > 0").collect():
+        (x, h), (d, k) = pairs[r.doc_id], want[r.doc_id]
+        n, m = len(x), len(h)
+        rates = [d / n, d / (d + k), 1 - k / n * (k / m)]
+        assert r.quality_score == pytest.approx(sum(max(0, 1 - v) * w for v, w in zip(rates, (0.4, 0.3, 0.2))) + max(0, 1 - abs(m / n - 1)) * 0.1, abs=1e-5)
