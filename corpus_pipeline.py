@@ -19,9 +19,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies (0.8 or more of their five-word shingles): the one with the smallest id."""
     common.ship(spark)
-    groups = near_join.near_groups(docs)
+    groups = near_join.near_groups(docs, shingle=5, num=80, den=100)
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs.doc_id == F.col("_dropped"), "left_anti")
 

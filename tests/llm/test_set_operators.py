@@ -257,3 +257,17 @@ def test_chunks_of_long_texts():
     texts = ["a b " * 400000, None, "", "c"]
     spans = list(words.chunks(pa.array(texts)))
     assert sum(len(off) - 1 for _, _, off in spans) == 4 and len(words.Words(*spans[0][1:]).start) == 800000
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline as C
+
+    w = [f"w{k}" for k in range(64)]
+    # one word changed: 55 of 65 five-word shingles are shared (0.846), 59 of 65 (0.908) of three; two words: 3 words give 56 of 68 (0.824)
+    near, far = w[:30] + ["x"] + w[31:], w[:30] + ["x"] + w[31:50] + ["y"] + w[51:]
+    short = [f"v{k}" for k in range(55)]  # 46 of 56 (0.821) of five words, 50 of 56 (0.893) of three
+    texts = [w, near, far, short, short[:30] + ["x"] + short[31:]]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    linked = {b for a in range(5) for b in range(a + 1, 5) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked == {1, 2, 4} and sorted(r.doc_id for r in C.drop_near_copies(spark, d, "").collect()) == [0, 3]
