@@ -374,7 +374,7 @@ def rf_fit(spark, sf_dir):
 
 def gbt_fit(spark, sf_dir):
     d = _training(spark, sf_dir)
-    model = models.fit(d.where(~R.holdout(F.col("doc_id"))), FEATURES, "label", models.boosted("label", 20))
+    model = models.fit(d.where(~R.holdout(F.col("doc_id"))), FEATURES, "label", models.boosted("label"))
     return models.predict(d.where(R.holdout(F.col("doc_id"))), model).select("doc_id", "label", F.col("prediction").alias("predicted_score"))
 
 

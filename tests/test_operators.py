@@ -162,3 +162,16 @@ def test_aligned_queries_see_whole_texts(spark, tmp_path):
         n, m = len(x), len(h)
         rates = [d / n, d / (d + k), 1 - k / n * (k / m)]
         assert r.quality_score == pytest.approx(sum(max(0, 1 - v) * w for v, w in zip(rates, (0.4, 0.3, 0.2))) + max(0, 1 - abs(m / n - 1)) * 0.1, abs=1e-5)
+
+
+def test_gbt_query_fits_all_rounds(spark, monkeypatch):
+    from quillmark import queries as Q
+
+    d = spark.createDataFrame([(i, float(i % 7), float(i > 20)) for i in range(40)], "doc_id long, word_count double, label double")
+    d = d.withColumns({f: F.col("word_count") for f in Q.FEATURES if f != "word_count"})
+    monkeypatch.setattr(Q, "_training", lambda spark, sf_dir: d)
+    asked = []
+    monkeypatch.setattr(models, "fit", lambda df, features, label, regressor=None: asked.append(regressor) or RuntimeError)
+    monkeypatch.setattr(models, "predict", lambda df, model: df.withColumn("prediction", F.lit(0.0)))
+    Q.gbt_fit(spark, "")
+    assert [r.getMaxIter() for r in asked] == [100]
