@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, tokens
 
 WINDOW = 4096
-#: Tokens of a shard, about; BM25's constants; a seed's terms that the index is asked for, the heaviest first.
-SHARD_TOKENS, K1, B, QUERY_TERMS = 1 << 20, 1.2, 0.75, 24
+#: Tokens of a shard, about; BM25's constants.
+SHARD_TOKENS, K1, B = 1 << 20, 1.2, 0.75
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -98,22 +98,19 @@ class Index:
         tf = np.concatenate([c for _, c in found]).astype(np.float32)
         size = np.array([len(d) for d in docs], np.float32)
         impact = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
-        at = np.cumsum([0] + [len(t) for t in self.terms])
-        self.query = [t[np.argsort(-impact[a:z], kind="stable")[:QUERY_TERMS]] for t, a, z in zip(self.terms, at[:-1], at[1:], strict=True)]
         order = np.argsort(term, kind="stable")
         self.doc, self.impact = doc[order], impact[order].astype(np.float64)
         self.first = np.searchsorted(term[order], np.arange(len(weight) + 1))
         self.unused = np.ones(len(docs), bool)
 
     def neighbours(self, d: int) -> np.ndarray:
-        """Unused documents that share a queried term with document ``d``, the best first."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[d]]
+        """Unused documents that share a term with document ``d``, the best first."""
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self.terms[d]]
         if not spans:
             return np.zeros(0, np.int64)
         hit, s = np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.impact[x] for x in spans])
-        live = self.unused[hit]
-        score = np.bincount(hit[live], s[live], minlength=0)
-        found = np.flatnonzero(score)
+        score = np.bincount(hit, s, minlength=len(self.unused))
+        found = np.flatnonzero(self.unused & (score > 0))
         return found[np.argsort(-score[found], kind="stable")]
 
 

@@ -234,6 +234,19 @@ def test_bm25_neighbours_are_lexical():
     assert 2 not in index.neighbours(0)
 
 
+def test_neighbours_by_all_terms():
+    rng = np.random.default_rng(2)
+    docs = [np.unique(rng.choice(np.arange(1, 400), 80, replace=False)).astype(np.uint16) for _ in range(30)]
+    df = np.bincount(np.concatenate(docs), minlength=400)
+    weight, mean = P.idf(df, 30), 80.0
+    index = P.Index(docs, weight, mean)
+    for d in range(30):
+        index.unused[d] = False
+        score = {e: sum(float(weight[t]) * (P.K1 + 1) / (1 + P.K1 * (1 - P.B + P.B * len(docs[e]) / mean)) for t in set(docs[d].tolist()) & set(docs[e].tolist())) for e in range(d + 1, 30)}
+        got = index.neighbours(d).tolist()
+        assert sorted(got) == sorted(e for e in score if score[e] > 0) and [score[e] for e in got] == pytest.approx(sorted(score.values(), reverse=True)[: len(got)], rel=1e-5)
+
+
 def test_pipeline(spark, tmp_path, rows, docs):
     import corpus_pipeline as C
 
