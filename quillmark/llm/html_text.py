@@ -122,17 +122,16 @@ def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Blocks joined by one newline; '' if there are none.
 
     A zone runs from where the distribution leaves 0 to where it falls back to 0, and is kept if it surges to ``surge``
-    (or to the page's highest point, if that is lower). Where a page marks its article or main element, lines outside
-    weigh nothing and any text inside is a surge.
+    (or to the page's highest point, if that is lower). An article or main element only weighs: text inside counts whole
+    also where it is links.
     """
     if not html:
         return ""
     found = lines(html)
-    marked = any(m and not b for _, b, m, _ in found)
-    weight = [0 if b or (not m if marked else linked > 0.5) else len(t) for t, b, m, linked in found]
+    weight = [0 if b or (linked > 0.5 and not m) else len(t) for t, b, m, linked in found]
     n, half = len(weight), window // 2
     sums = [sum(weight[max(0, i - half) : i + half + 1]) for i in range(n)]
-    least = 1 if marked else min(surge, max(sums, default=0))
+    least = min(surge, max(sums, default=0))
     kept: list[str] = []
     start = 0
     while start < n:

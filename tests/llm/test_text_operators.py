@@ -148,6 +148,15 @@ def test_html():
     assert H.extract("just text") == "just text" and H.extract("<article><p>" + "y " * 20000 + "</p></article>").count("y") == 20000
 
 
+def test_line_blocks_decide_on_marked_pages():
+    menu = "<nav><p>a</p><p>b</p><p>c</p></nav>"
+    body = [f"{'long text ' * 8}{i}" for i in range(4)]
+    beside = f"<article><p>tiny</p></article>{menu}<div>{''.join(f'<p>{x}</p>' for x in body)}</div>"
+    assert H.extract(beside).split("\n") == body
+    inside = f"<article><p>tiny</p>{menu}{''.join(f'<p>{x}</p>' for x in body)}</article>"
+    assert H.extract(inside).split("\n") == body
+
+
 def test_html_table(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "u", "<p", "t")], "page_id long, url string, html string, text string")
     got = H.extract_pages(d).collect()
