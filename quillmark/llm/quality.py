@@ -19,9 +19,9 @@ ORDERS, BUCKETS, SMOOTH = (3, 4), 1 << 16, 1.0
 #: step of the grid that the threshold is taken from.
 SHRINK, LOSE, GRID = 64, 0.004, 1000
 
-#: Trusted documents that the target multinomial counts, about: beyond it, those of the lowest hashes of their ids. They are
-#: broadcast, so that no text is shuffled; every trusted document counts for the threshold.
-MAX_TRUSTED = 100_000
+#: Trusted ids of a block, about. A block is broadcast, so that no text is shuffled; each block more is a pass over the texts
+#: that counts that block's documents alone.
+BLOCK = 1_000_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -128,7 +128,7 @@ def measured(docs: DataFrame, weight: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def quality_filter(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", lose: float = LOSE, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def quality_filter(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", lose: float = LOSE, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     ``trusted``: ids of the trusted target. The threshold is the grid value below which at most the share ``lose`` of the
@@ -138,9 +138,14 @@ def quality_filter(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_co
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    share = int(min(1.0, max_trusted / max(1, ids.count())) * (1 << 32))
-    target = F.broadcast(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share))  # about max_trusted ids
-    both = counts(rows.join(target, "doc_id", "left").select("text", "trusted"))
+    blocks = max(1, -(-ids.count() // block))
+    both = np.zeros((2, BUCKETS))
+    for k in range(blocks):
+        target = F.broadcast(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k))  # about ``block`` ids
+        found = counts(rows.join(target, "doc_id", "inner" if k else "left").select("text", "trusted"))
+        both[0] += found[0]
+        if not k:  # the first pass has every document
+            both[1] = found[1]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = common.staged(measured(rows, weights(both)).withColumn("base_failed", failed), "quality")
     grid = scored.where("not base_failed").join(ids, "doc_id").groupBy(F.floor(F.col("llr") * GRID).alias("g")).count().orderBy("g").collect()

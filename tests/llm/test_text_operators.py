@@ -102,6 +102,12 @@ def test_quality(spark, docs, rows, none):
     assert Q.quality_filter(docs, trusted.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_quality_counts_all_trusted(spark, docs, rows):
+    trusted = spark.createDataFrame([(r[0],) for r in rows[::2]], "doc_id long")
+    one, many = ({(r.doc_id, r.n_words): (r.llr, r.kept) for r in Q.quality_filter(docs, trusted, **how).collect()} for how in ({}, {"block": 7}))
+    assert one.keys() == many.keys() and all(many[k] == (pytest.approx(x), y) for k, (x, y) in one.items())
+
+
 def test_ngram_buckets_stay_inside_documents():
     import pyarrow as pa
 
