@@ -12,7 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +91,7 @@ def windows(text: str | None) -> list[str]:
 
 
 def _grams(words: set[str]) -> set[str]:
-    return {w[i : i + n] for w in words for n in range(4, 9) for i in range(min(len(w), 24) - n + 1)}
+    return {w[i : i + n] for w in words for n in range(4, 9) for i in range(len(w) - n + 1)}
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
@@ -119,9 +119,9 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
         if z > 8 and np.log((a + 0.5) / (n_t + 1)) - np.log((b + 0.5) / (n_o + 1)) > 1.5:
             marked.add(g)
     del in_t, in_o
-    picks = [f" {w} ".encode() for t in toxic for w in windows(t) if len(w) <= 24 and not marked.isdisjoint(_grams({w}))]
-    plain = [w.encode() for w in islice((w for t in ordinary for w in windows(t)), 300_000)]
-    return Model(train(TOXIC_BYTES, [b"".join(picks[i : i + 8]) for i in range(0, len(picks), 8)]), train(ORDINARY_BYTES, [b" ".join(plain[i : i + 8]) for i in range(0, len(plain), 8)]))
+    picks = [f" {w} ".encode() for t in toxic for w in windows(t) if not marked.isdisjoint(_grams({w}))]
+    plain = (w.encode() for t in ordinary for w in windows(t))
+    return Model(train(TOXIC_BYTES, [b"".join(picks[i : i + 8]) for i in range(0, len(picks), 8)]), train(ORDINARY_BYTES, [b" ".join(x) for x in batched(plain, 8)]))
 
 
 def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:

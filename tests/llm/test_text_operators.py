@@ -141,6 +141,17 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in X.score(docs, blank).collect()} == {0.0}
 
 
+def test_ordinary_dictionary_has_all_words(monkeypatch):
+    import zstandard
+
+    seen = []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples: seen.append(b" ".join(samples).split()) or (_ for _ in ()).throw(zstandard.ZstdError()))
+    insult = "scumbagggggggggggggggggggggggggggg"
+    X.train_dictionaries([f"some {insult}"] * 200, [f"word{k} " * 4000 for k in range(100)])
+    toxic, ordinary = seen
+    assert len(ordinary) == 400_000 and set(ordinary) == {f"word{k}".encode() for k in range(100)} and insult.encode() in toxic
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="ad">Buy</div><article class="post tag-x"><h1>Head &amp; line</h1><p><b>One<br><p>Two  &eacute;&#233;
  lines &amp</p><aside>side</aside><form>name</form><div class="comments"><p>me too</p></div></article><footer>&copy; me</footer>"""
