@@ -12,6 +12,7 @@ when it is scored: its probability is the classes' mixture, each the product of
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ LN10 = float(np.log(10))
 #: Taken off every counted word; share of that mass for the class's own lattice (the rest is for words of all classes);
 #: classes (the rarer ones are one class); re-estimation rounds.
 DISCOUNT, OWN, MAX_CLASSES, ROUNDS = 0.6, 0.8, 6, 2
-#: Longest piece (code points); words of a numpy batch; documents' bytes of a scoring block, about.
-MAX_PIECE, BATCH, BLOCK_BYTES = 12, 4096, 24 << 20
+#: Bound of a piece's code points (none: the longest piece is the vocabulary's); words of a numpy batch; documents' bytes of a scoring block, about.
+MAX_PIECE, BATCH, BLOCK_BYTES = sys.maxsize, 4096, 24 << 20
 
 
 def split(raw: bytes) -> list[bytes]:
@@ -65,6 +66,7 @@ class Vocabulary:
                     pieces.setdefault((True, body), 0.2 / (rank + 20.0))
         self.hash = {}
         keys = sorted(pieces)
+        self.longest = max((len(k[1]) for k in keys), default=0)
         weight = np.array([pieces[k] for k in keys])
         # 256 bytes more for each place: they spell what no piece covers
         low = weight.min(initial=1e-5) / 50
@@ -113,7 +115,7 @@ def lattice(batch: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     for i in range(longest):
         live = np.flatnonzero(size > i)
         h = np.full(len(live), np.uint64(0x9E3779B9 if i == 0 else 0x7F4A7C15))
-        for j in range(i + 1, min(i + MAX_PIECE, longest) + 1):
+        for j in range(i + 1, min(i + vocab.longest, longest) + 1):
             m = size[live] >= j
             live, h = live[m], h[m]
             if not len(live):

@@ -43,6 +43,15 @@ def test_lattice_is_the_sum_over_segmentations():
     assert np.exp(logp[:-1][v.first]).sum() == pytest.approx(1) and np.exp(logp[:-1][~v.first]).sum() + math.exp(logp[-1]) == pytest.approx(1)
 
 
+def test_longest_pieces_are_edges():
+    v = L.Vocabulary.of(PIECES)
+    known, logp = dict(zip(v.codes.tolist(), v.index.tolist())), v.initial()
+    long = [w for w in ("international", "understanding") if int(L.piece_hash(w, True)) in known]
+    assert long and v.longest > 12
+    for w in long:
+        assert L.log_words([w], v, logp)[0, 0] == pytest.approx(marginal(w, v, logp)) and L.log_words([w], v, logp)[0, 0] >= logp[known[int(L.piece_hash(w, True))]] + logp[-1]
+
+
 def test_lm_scores(spark, docs, rows, none):
     train = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
     got = L.lm_scores(docs, train, PIECES).collect()
