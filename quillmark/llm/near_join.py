@@ -6,9 +6,11 @@ verified on the sets themselves.
 
 The tree is sharded: sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each in any order of all
 shingles, so a shard holds the points of the documents that have one such shingle. Rarer shingles come first in that order
-(by counts over all documents, hashed to a fixed number of counters), which keeps shards small. Equal sets are one point. A
-shard's pairs are never listed: its documents are first verified against hubs (one document per shard and round), which
-merges groups of near copies in work that is linear in them; the trees then only join what is in different components.
+(by counts over all documents, hashed to a fixed number of counters), which keeps shards small. Equal sets are one point. In
+the shard of the first shingle that a pair shares, nothing before it is common: what each set has from there on (its room)
+bounds the overlap as well. A shard's pairs are never listed: its documents are first verified against hubs (one document per
+shard and round), which merges groups of near copies in work that is linear in them; the trees then only join what is in
+different components.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, words
 
-#: Counters of shingle frequency; groups of a point, and of the folded point that shards carry for sets under LONG shingles.
-COUNTERS, GROUPS, FOLDED, LONG = 1 << 18, 128, 32, 1500
+#: Counters of shingle frequency, and of a block that is summed at once; groups of a point, and of the folded point that shards carry for sets under LONG shingles.
+COUNTERS, BLOCK, GROUPS, FOLDED, LONG = 1 << 20, 1 << 14, 128, 32, 1500
 #: Points of a leaf; documents of a shard that one task joins (larger shards are joined by pairs of tiles); hub rounds.
 LEAF, TILE, HUB_ROUNDS = 32, 2048, 3
 
@@ -49,23 +51,32 @@ def counter(s: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
+    """Rarity class of each counter (log scale, 0: unseen), from how often its shingles occur in sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for _, found in sets_of(b.column(0), n):
                 total += np.bincount(counter(np.concatenate(found)), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_pydict({"k": at, "n": total[at]})
+        live = [k for k in range(COUNTERS // BLOCK) if total[k * BLOCK : (k + 1) * BLOCK].any()]
+        yield pa.RecordBatch.from_pydict({"k": pa.array(live, pa.int64()), "n": pa.array([total[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes() for k in live], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.int64()), "n": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
 
     out = np.zeros(COUNTERS, np.int64)
-    found = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
-    return out
+    found = docs.select("text").mapInArrow(run, "k long, n binary").repartition("k").mapInArrow(add, "k long, n binary").toArrow()  # COUNTERS numbers
+    for k, raw in zip(found.column("k").to_pylist(), found.column("n").to_pylist(), strict=True):
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(raw, "<i8")
+    return (1024 * np.log2(1.0 + out)).astype(np.uint16)
 
 
 def signed(docs: DataFrame, freq: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, h1 and h2 (128 bits of the set), point (counts as unsigned 16-bit integers), prefix (shingles to shard by)."""
+    """doc_id, n, h1 and h2 (128 bits of the set), point (counts as unsigned 16-bit integers; the highest: that or more), prefix (shingles to shard by)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,10 +155,10 @@ def fold_point(raw: pa.Array, n: pa.Array) -> pa.Array:
     return pa.array([(w if m >= LONG else s).tobytes() for w, s, m in zip(whole, small, n.to_pylist(), strict=True)], pa.binary())
 
 
-def _open(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Counts as integers; a full byte bounds nothing but by the set's size."""
+def _open(p: np.ndarray, size: np.ndarray, top: int = 255) -> np.ndarray:
+    """Counts as integers; a count of ``top`` or more bounds nothing but by the set's size (under 2**30: texts have under 2**31 bytes)."""
     p = p.astype(np.int32)
-    return np.where(p == 255, np.minimum(size, 1 << 20).astype(np.int32)[:, None], p)
+    return np.where(p == top, size.astype(np.int32)[:, None], p)
 
 
 def opened(raw: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,12 +169,12 @@ def opened(raw: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     whole = _open(np.frombuffer(b"".join(r for r, m in zip(raw, is_long, strict=True) if m), np.uint8).reshape(-1, GROUPS), size[is_long])
     point = np.zeros((len(raw), FOLDED), np.int32)
     point[~is_long] = _open(np.frombuffer(b"".join(r for r, m in zip(raw, is_long, strict=True) if not m), np.uint8).reshape(-1, FOLDED), size[~is_long])
-    point[is_long] = np.minimum(whole.reshape(-1, GROUPS // FOLDED, FOLDED).sum(1, dtype=np.int64), 1 << 24)
+    point[is_long] = np.minimum(whole.reshape(-1, GROUPS // FOLDED, FOLDED).sum(1, dtype=np.int64), size[is_long][:, None])
     return point, whole, at
 
 
 def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of different components that the trees leave. rows: key, i, j (tiles), side, doc, n, comp, point, in order of shard."""
+    """Pairs (a < b) of different components that the trees leave. rows: key, i, j (tiles), side, doc, n, room, comp, point, in order of shard."""
 
     def joined(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(t["key"]), bool)
@@ -174,6 +185,8 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         out: list[np.ndarray] = []
 
         def keep(i, j):
+            fits = may_link(t["n"][i], t["n"][j], np.minimum(t["room"][i], t["room"][j]), num, den)
+            i, j = i[fits], j[fits]
             both = np.flatnonzero((at_whole[i] >= 0) & (at_whole[j] >= 0))
             for at in range(0, len(both), 50_000):  # long sets have a closer bound
                 k = both[at : at + 50_000]
@@ -201,7 +214,7 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pairs[0], pairs[1]
 
-    names = ("key", "i", "j", "side", "doc", "n", "comp")
+    names = ("key", "i", "j", "side", "doc", "n", "room", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -224,25 +237,43 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select(*names, "point").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as num / den: by their whole points first, then by their shingles."""
-    p = reps.select("doc_id", "n", "point")
-    e = pairs.join(p.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a")), "a")
-    e = e.join(p.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b")), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+def same_words(a: str, b: str, n: int, num: int, den: int) -> bool:
+    """Are the two texts' shingles, as words, as similar as num / den?"""
+    x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)} for w in (t.encode().lower().split() for t in (a, b)))
+    both = len(x & y)
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, repeats: bool) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are as similar as num / den: by their whole points first, then by hashes of their
+    shingles, then by the words of the shingles."""
+    p = reps.select("node", "n", "point")
+    e = pairs.join(p.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a")), "a")
+    e = e.join(p.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b")), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 c = b.slice(at, 4096)
-                p_a, p_b = (np.frombuffer(b"".join(c.column(k).to_pylist()), "<u2").reshape(-1, GROUPS) for k in (4, 5))
-                m = may_link(*(c.column(k).to_numpy() for k in (2, 3)), np.minimum(p_a, p_b).sum(1, dtype=np.int64), num, den)
+                size = [c.column(k).to_numpy() for k in (2, 3)]
+                p_a, p_b = (_open(np.frombuffer(b"".join(c.column(k).to_pylist()), "<u2").reshape(-1, GROUPS), m, 65535) for k, m in zip((4, 5), size, strict=True))
+                m = may_link(*size, np.minimum(p_a, p_b).sum(1, dtype=np.int64), num, den)
                 yield c.select(["a", "b"]).filter(pa.array(m))
 
     e = common.staged(e.mapInArrow(bounded, "a long, b long"), "near-bounded")
-    need = e.select(F.col("a").alias("doc_id")).unionByName(e.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    e = e.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
-    e = e.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").select("a", "b", "t_a", "t_b")
+    need = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    texts = docs.join(reps.select("node", "doc_id", "h1").join(need, "node", "left_semi"), "doc_id")
+
+    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([int(s.sum(dtype=np.uint64).astype(np.int64)) for _, found in sets_of(b.column(1), n) for s in found], np.int64)
+            yield b.select(["node", "text"]).filter(pa.array(own == b.column(2).to_numpy()))
+
+    if repeats:  # of the rows of an id, the one whose set is the node's
+        texts = texts.select("node", "text", "h1").mapInArrow(own_text, "node long, text string")
+    texts = texts.select("node", "text").dropDuplicates(["node"])
+    e = e.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
+    e = e.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").select("a", "b", "t_a", "t_b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
@@ -260,9 +291,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: in
                 hubs = all_sets(c.column(0).to_pylist(), c.column(2))
                 others = all_sets(c.column(1).to_pylist(), c.column(3))
                 ok = []
-                for x, y in zip(hubs, others, strict=True):
+                for k, (x, y) in enumerate(zip(hubs, others, strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(den * both >= num * (len(x) + len(y) - both))
+                    ok.append(den * both >= num * (len(x) + len(y) - both) and same_words(c.column(2)[k].as_py(), c.column(3)[k].as_py(), n, num, den))
                 yield c.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
                 if len(last) > 1024:
                     last.clear()
@@ -291,31 +322,39 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, num: int = 90, den: int = 100, tile: int = TILE, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links of similarity num / den or more).
 
-    Null or empty text, or one without words, has an empty set and links with nothing. Rows that repeat an id are one
-    document in the graph (their last words decide nothing: give ids once); a row without id has no component. Extra columns
-    are ignored; an empty table gives no rows. No link is lost: shards, bounds and tiles only leave out pairs that can't be
-    linked or are in one component already.
+    Null or empty text, or one without words, has an empty set and links with nothing. Rows that repeat an id are one document
+    of the graph, which has the links of all of them; ``n_shingles`` is each row's own. A row without id has no component and
+    links nothing. Texts of any length are read whole. Extra columns are ignored, whatever their names; an empty table gives no
+    rows. Ties don't matter: components don't depend on an order. No link is lost: shards, bounds and tiles only leave out pairs
+    that can't be linked or are in one component already.
     """
     spark: SparkSession = docs.sparkSession
+    common.ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = common.staged(signed(rows, frequencies(rows, shingle), shingle, num, den), "near-sets")
+    own = common.staged(signed(rows, frequencies(rows, shingle), shingle, num, den).withColumn("row", F.monotonically_increasing_id()), "near-sets")
     live = own.where("n > 0 and doc_id is not null")
-    classes = live.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = common.staged(live.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "rep"), "near-classes")
-    reps = live.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"), "n")
+    classes = live.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
+    # rows of equal sets are one node, named after the row with the smallest id
+    members = common.staged(live.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "n", F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("least_id")), "near-classes")
+    reps = live.join(classes.select(F.col("rep.row").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    of_ids = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    repeats = not own.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty()
+    entries = reps.select(F.posexplode("prefix").alias("pos", "key"), F.col("node").alias("doc"), "n").select("key", "doc", "n", (F.col("n") - F.col("pos")).alias("room"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     entries = common.staged(entries.join(shared, "key"), "near-entries")
     texts = rows.where("doc_id is not null")
-    links, comps = None, None
+    links = None
+    if repeats:  # all nodes of an id are linked with its first
+        links = members.join(of_ids.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     labelled = entries.withColumn("comp", F.col("doc"))
     for k in range(hub_rounds):
         # from the second round on, for shards that still hold several components and are too large for one leaf
         part = labelled if not k else labelled.join(labelled.where(F.col("docs") > LEAF).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
-        rank = F.struct((F.col("doc") if not k else F.xxhash64("doc", F.lit(k))).alias("rank"), "doc", "n", "comp")
-        hubs = part.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.comp").alias("c_hub"))
-        near = part.join(hubs, "key").where((F.col("comp") != F.col("c_hub")) & (den * F.least("n", "n_hub") >= num * F.greatest("n", "n_hub")))
-        found = verified(near.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct(), reps, texts, shingle, num, den)
+        rank = F.struct((F.col("doc") if not k else F.xxhash64("doc", F.lit(k))).alias("rank"), "doc", "n", "room", "comp")
+        hubs = part.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.room").alias("r_hub"), F.col("hub.comp").alias("c_hub"))
+        fits = (den * F.least("n", "n_hub") >= num * F.greatest("n", "n_hub")) & ((num + den) * F.least("room", "r_hub") >= num * (F.col("n") + F.col("n_hub")))
+        near = part.join(hubs, "key").where((F.col("comp") != F.col("c_hub")) & fits)
+        found = verified(near.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct(), reps, texts, shingle, num, den, repeats)
         if k and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -323,16 +362,22 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
         labelled = entries.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         labelled = common.staged(labelled, "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    folded = reps.select("doc_id", "point", "n").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), fold_point(b.column(1), b.column(2))], names=["doc", "point"]) for b in it if b.num_rows), "doc long, point binary")
+    folded = reps.select("node", "point", "n").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), fold_point(b.column(1), b.column(2))], names=["doc", "point"]) for b in it if b.num_rows), "doc long, point binary")
     rest = labelled.join(mixed, "key", "left_semi").join(folded, "doc")
     tiles = F.ceil(F.col("docs") / tile).cast("int")
     rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "n", "comp", "point")
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "n", "room", "comp", "point")
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = shard_candidates(rest, num, den).distinct()
-    found = verified(pairs, reps, texts, shingle, num, den)
+    found = verified(pairs, reps, texts, shingle, num, den, repeats)
     comps = components(links.unionByName(found))
-    out = own.select("doc_id", F.col("n").alias("n_shingles"))
-    ids = classes.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
-    return out.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = members.groupBy("node").agg(F.min("least_id").alias("least_id")).join(comps, F.col("node") == F.col("doc"))
+    least = names.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    names = names.select("node", "comp").join(least, "comp").select("node", "component_id")
+    found = members.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least_id").alias("component_id"))
+    rest = own.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if repeats:  # a row without words still is a row of its id
+        of_id = found.groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        rest = rest.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("of_id", "component_id").alias("component_id"))
+    return found.unionByName(rest)

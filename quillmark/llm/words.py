@@ -10,25 +10,13 @@ import pyarrow as pa
 #: Bytes worked on at once (a longer text makes a chunk of its own).
 CHUNK = 1 << 20
 
-_rng = np.random.default_rng(20240607)
-_EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 4096)
-        for k, base in enumerate((_BASE, _BACK)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: A random number for each byte at each of the first places of a word; later places are mixed from place and byte.
+PLACES = 64
+_AT = np.random.default_rng(20240607).integers(1, 1 << 64, PLACES * 256, dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,10 +67,18 @@ class Words:
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.bounds))
 
     def hashes(self, fold_case: bool = False) -> np.ndarray:
-        forth, back = _power(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_FOLDED if fold_case else _EXACT)[self.data] * forth[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * back[self.start])
+        """A 64-bit hash of each word: the sum of random numbers of its bytes at their places, mixed with its length."""
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        byte = self.data[place + np.repeat(self.start, size)]
+        code = place * 256 + (_LOWER[byte] if fold_case else byte)
+        x = _AT[np.minimum(code, len(_AT) - 1)]
+        far = np.flatnonzero(code >= len(_AT))
+        x[far] = mix(mix(code[far].astype(np.uint64) + _AT[0]) + _AT[1])
+        return mix(np.add.reduceat(x, first) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:

@@ -284,3 +284,27 @@ def test_pipeline_drops_near_copies_of_five_words(spark):
     sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
     linked = {b for a in range(5) for b in range(a + 1, 5) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert linked == {1, 2, 4} and sorted(r.doc_id for r in C.drop_near_copies(spark, d, "").collect()) == [0, 3]
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_are_told_apart(spark):
+    head = " ".join(f"w{k}" for k in range(4))
+    d = spark.createDataFrame([(1, f"{head} {thue_morse(1024)}"), (2, f"{head} {thue_morse(1024, True)}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_groups(d).collect()} == {1: 1, 2: 2}
+
+
+def test_near_groups_of_repeated_ids(spark):
+    t, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "tuv")
+    d = spark.createDataFrame([(1, t), (5, t), (5, u), (9, u), (9, None), (None, t), (7, v)], "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in N.near_groups(d).collect()))
+    assert got == [(-1, 28, -1), (1, 28, 1), (5, 28, 1), (5, 28, 1), (7, 28, 7), (9, 0, 1), (9, 28, 1)]
+
+
+def test_clipped_counts_bound_nothing():
+    size = np.array([9_000_000, 9_000_100])
+    p = np.full((2, N.GROUPS), 65535, np.uint16)
+    opened = N._open(p, size, 65535)
+    assert N.may_link(size[0], size[1], np.minimum(opened[0], opened[1]).sum(dtype=np.int64), 90, 100)
