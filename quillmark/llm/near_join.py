@@ -10,7 +10,8 @@ shingles, so a shard holds the points of the documents that have one such shingl
 the shard of the first shingle that a pair shares, nothing before it is common: what each set has from there on (its room)
 bounds the overlap as well. A shard's pairs are never listed: its documents are first verified against hubs (one document per
 shard and round), which merges groups of near copies in work that is linear in them; the trees then only join what is in
-different components.
+different components. In a large shard, documents carry the parities of finer counts too: every parity in which two sets
+differ is a shingle that only one of them has.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from . import common, words
 #: Counters of shingle frequency, and of a block that is summed at once; groups of a point, and of the folded point that shards carry for sets under LONG shingles.
 COUNTERS, BLOCK, GROUPS, FOLDED, LONG = 1 << 20, 1 << 14, 128, 32, 1500
 #: Points of a leaf; documents of a shard that one task joins (larger shards are joined by pairs of tiles); hub rounds.
-LEAF, TILE, HUB_ROUNDS = 32, 2048, 3
+LEAF, TILE, HUB_ROUNDS = 32, 2048, 4
+#: Hubs of a large shard in each round after the first; bits of the parities that its documents carry.
+HUBS, PARITIES = 8, 1024
 
 
 def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -76,26 +79,29 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, freq: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, h1 and h2 (128 bits of the set), point (counts as unsigned 16-bit integers; the highest: that or more), prefix (shingles to shard by)."""
+    """doc_id, n, h1 and h2 (128 bits of the set), point (counts as unsigned 16-bit integers; the highest: that or more), odd (bits:
+    the parities of finer counts), prefix (shingles to shard by)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, found in sets_of(b.column(1), n):
-                rows: dict[str, list] = {k: [] for k in ("n", "h1", "h2", "point", "prefix")}
+                rows: dict[str, list] = {k: [] for k in ("n", "h1", "h2", "point", "odd", "prefix")}
                 for s in found:
                     m = len(s)
                     rows["n"].append(m)
                     rows["h1"].append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     rows["h2"].append(int(words.mix(s ^ np.uint64(0x51ED270B7A2F39D1)).sum(dtype=np.uint64).astype(np.int64)))
+                    odd = np.bincount((s >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+                    rows["odd"].append(np.packbits(odd.astype(np.uint8)).tobytes())
                     rows["point"].append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes())
                     keep = m - -(-num * m // den) + 1 if m else 0
                     rows["prefix"].append(s[np.argsort(freq[counter(s)], kind="stable")[:keep]].astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(found)), pa.array(rows["n"], pa.int64()), pa.array(rows["h1"], pa.int64()), pa.array(rows["h2"], pa.int64()), pa.array(rows["point"], pa.binary()), pa.array(rows["prefix"], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "h1", "h2", "point", "prefix"],
+                    [b.column(0).slice(at, len(found)), pa.array(rows["n"], pa.int64()), pa.array(rows["h1"], pa.int64()), pa.array(rows["h2"], pa.int64()), pa.array(rows["point"], pa.binary()), pa.array(rows["odd"], pa.binary()), pa.array(rows["prefix"], pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "h1", "h2", "point", "odd", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, odd binary, prefix array<long>")
 
 
 def may_link(n_a, n_b, least_sum, num: int, den: int):
@@ -174,7 +180,7 @@ def opened(raw: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of different components that the trees leave. rows: key, i, j (tiles), side, doc, n, room, comp, point, in order of shard."""
+    """Pairs (a < b) of different components that the trees leave. rows: key, i, j (tiles), side, doc, n, room, comp, point, odd (or null), in order of shard."""
 
     def joined(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         new = np.ones(len(t["key"]), bool)
@@ -182,11 +188,23 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(new)))
         point, whole, at_whole = opened(t["point"].tolist(), t["n"])
+        has = np.array([x is not None for x in t["odd"]], bool)
+        at_odd = np.where(has, np.cumsum(has) - 1, -1)
+        odd = np.frombuffer(b"".join(x for x in t["odd"] if x is not None), np.uint64).reshape(-1, PARITIES // 64)
         out: list[np.ndarray] = []
 
         def keep(i, j):
-            fits = may_link(t["n"][i], t["n"][j], np.minimum(t["room"][i], t["room"][j]), num, den)
+            fits = (t["comp"][i] != t["comp"][j]) & may_link(t["n"][i], t["n"][j], np.minimum(t["room"][i], t["room"][j]), num, den)
             i, j = i[fits], j[fits]
+            both = np.flatnonzero((at_odd[i] >= 0) & (at_odd[j] >= 0))
+            for at in range(0, len(both), 50_000):
+                k = both[at : at + 50_000]
+                apart = np.bitwise_count(odd[at_odd[i[k]]] ^ odd[at_odd[j[k]]]).sum(1, dtype=np.int64)
+                total = t["n"][i[k]] + t["n"][j[k]]
+                both[at : at + 50_000][may_link(t["n"][i[k]], t["n"][j[k]], (total - apart) // 2, num, den)] = -1
+            left = np.ones(len(i), bool)
+            left[both[both >= 0]] = False
+            i, j = i[left], j[left]
             both = np.flatnonzero((at_whole[i] >= 0) & (at_whole[j] >= 0))
             for at in range(0, len(both), 50_000):  # long sets have a closer bound
                 k = both[at : at + 50_000]
@@ -195,7 +213,7 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
             left = np.ones(len(i), bool)
             left[both[both >= 0]] = False
             i, j = i[left], j[left]
-            m = (t["comp"][i] != t["comp"][j]) & ((t["i"][i] == t["j"][i]) | (t["side"][i] != t["side"][j]))
+            m = (t["i"][i] == t["j"][i]) | (t["side"][i] != t["side"][j])
             if m.any():
                 a, b = t["doc"][i[m]], t["doc"][j[m]]
                 out.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
@@ -220,8 +238,9 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         held: dict[str, np.ndarray] | None = None
         for b in batches:
             t = {k: b.column(x).to_numpy(zero_copy_only=False) for x, k in enumerate(names)}
-            t["point"] = np.empty(b.num_rows, object)
-            t["point"][:] = b.column(len(names)).to_pylist()
+            for x, k in enumerate(("point", "odd"), len(names)):
+                t[k] = np.empty(b.num_rows, object)
+                t[k][:] = b.column(x).to_pylist()
             if held is not None:
                 t = {k: np.concatenate((held[k], v)) for k, v in t.items()}
             # the last shard may go on in the next batch
@@ -234,7 +253,7 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
             a, z = joined(held)
             yield pa.RecordBatch.from_pydict({"a": a, "b": z})
 
-    return rows.select(*names, "point").mapInArrow(run, "a long, b long")
+    return rows.select(*names, "point", "odd").mapInArrow(run, "a long, b long")
 
 
 def same_words(a: str, b: str, n: int, num: int, den: int) -> bool:
@@ -350,8 +369,9 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
     for k in range(hub_rounds):
         # from the second round on, for shards that still hold several components and are too large for one leaf
         part = labelled if not k else labelled.join(labelled.where(F.col("docs") > LEAF).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
-        rank = F.struct((F.col("doc") if not k else F.xxhash64("doc", F.lit(k))).alias("rank"), "doc", "n", "room", "comp")
-        hubs = part.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.room").alias("r_hub"), F.col("hub.comp").alias("c_hub"))
+        # a document with little of its own, which sorts before the shard's shingle, is in the middle of its group
+        rank = F.struct(((F.col("n") - F.col("room")) / F.col("n")).alias("own"), (F.col("doc") if not k else F.xxhash64("doc", F.lit(k))).alias("rank"), "doc", "n", "room", "comp")
+        hubs = part.groupBy("key", F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(HUBS if k else 1))).agg(F.min(rank).alias("hub")).select("key", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.room").alias("r_hub"), F.col("hub.comp").alias("c_hub"))
         fits = (den * F.least("n", "n_hub") >= num * F.greatest("n", "n_hub")) & ((num + den) * F.least("room", "r_hub") >= num * (F.col("n") + F.col("n_hub")))
         near = part.join(hubs, "key").where((F.col("comp") != F.col("c_hub")) & fits)
         found = verified(near.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct(), reps, texts, shingle, num, den, repeats)
@@ -362,12 +382,12 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
         labelled = entries.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         labelled = common.staged(labelled, "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    folded = reps.select("node", "point", "n").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), fold_point(b.column(1), b.column(2))], names=["doc", "point"]) for b in it if b.num_rows), "doc long, point binary")
+    folded = reps.select("node", "point", "n", "odd").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), fold_point(b.column(1), b.column(2)), b.column(3)], names=["doc", "point", "odd"]) for b in it if b.num_rows), "doc long, point binary, odd binary")
     rest = labelled.join(mixed, "key", "left_semi").join(folded, "doc")
     tiles = F.ceil(F.col("docs") / tile).cast("int")
     rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "n", "room", "comp", "point")
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc", "n", "room", "comp", "point", F.when(F.col("docs") > LEAF, F.col("odd")).alias("odd"))
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = shard_candidates(rest, num, den).distinct()
     found = verified(pairs, reps, texts, shingle, num, den, repeats)
