@@ -11,11 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
+
 #: Fixed lists of element names and of words in class and id attributes.
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -34,6 +37,8 @@ REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MAIN = frozenset({"article", "main"})
 
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
+
 WINDOW, SURGE = 3, 40
 
 
@@ -43,6 +48,8 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.stack: list[tuple[str, bool]] = []  # open elements; does it start boilerplate?
+        self.places: dict[str, list[int]] = {}  # in the stack, by name
+        self.blocks: list[int] = []  # in the stack, of block elements
         self.boiler = self.main = self.link = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -65,6 +72,9 @@ class _Lines(HTMLParser):
         marked = tag not in ("html", "body") and bool(MARKS.search(a.get("class", "")) or MARKS.search(a.get("id", "")) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
         page_header = tag == "header" and not self.main
         boiler = tag in BOILER or tag in RAW or marked and (tag not in MAIN or bool(REMARK.search(a.get("class", "")))) or page_header
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, boiler))
         self.boiler += boiler
         self.main += tag in MAIN
@@ -79,19 +89,21 @@ class _Lines(HTMLParser):
         if tag in BLOCKS or tag in RAW:
             self.flush()
         self.stack.pop()
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
         self.boiler -= boiler
         self.main -= tag in MAIN
         self.link -= tag == "a"
 
     def handle_endtag(self, tag):
-        names = [t for t, _ in self.stack]
-        if tag not in names:
+        if not self.places.get(tag):
             if tag in BLOCKS:
                 self.flush()
             return
+        at = self.places[tag][-1]
         # an inline end tag doesn't close blocks, which it would cross
-        at = len(names) - 1 - names[::-1].index(tag)
-        if tag not in BLOCKS and any(t in BLOCKS for t in names[at + 1 :]):
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > at:
             return
         while len(self.stack) > at:
             self.pop()
@@ -101,6 +113,15 @@ class _Lines(HTMLParser):
         if self.link:
             self.linked += len(data.strip())
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section is a comment that ends with the next ``>``."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def close(self):
+        if _UNFINISHED.match(self.rawdata):  # a tag or comment that the page's end cuts is no text
+            self.rawdata = ""
+        super().close()
+
     def handle_entityref(self, name):
         self.handle_data(unescape(f"&{name};") if unescape(f"&{name};") != f"&{name};" else unescape(f"&{name}"))
 
@@ -118,40 +139,47 @@ def lines(html: str) -> list[tuple[str, bool, bool, float]]:
     return p.lines
 
 
+def zones(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of lines that are text, from the lines' lengths.
+
+    The distribution is the sum of lengths over ``window`` lines around each. A stretch runs from where it leaves 0 to where it
+    dives back to 0, and counts if it surges to ``surge`` (or to the highest sum of the page, if that is lower).
+    """
+    n, half = len(weight), window // 2
+    upto = [0, *accumulate(weight)]
+    sums = [upto[min(n, i + half + 1)] - upto[max(0, i - half)] for i in range(n)]
+    least = min(surge, max(sums, default=0))
+    out, at = [], 0
+    while at < n:
+        first, top = at, 0
+        while at < n and sums[at]:
+            top = max(top, sums[at])
+            at += 1
+        if top and top >= least:
+            out.append((first, at))
+        at = max(at, first + 1)
+    return out
+
+
 def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Blocks joined by one newline; '' if there are none.
+    """Blocks joined by one newline; '' if there are none: the lines with a length in the zones of the distribution.
 
-    A zone runs from where the distribution leaves 0 to where it falls back to 0, and is kept if it surges to ``surge``
-    (or to the page's highest point, if that is lower). An article or main element only weighs: text inside counts whole
-    also where it is links.
+    A line of boilerplate, or of links outside an article or main element, has length 0.
     """
     if not html:
         return ""
     found = lines(html)
     weight = [0 if b or (linked > 0.5 and not m) else len(t) for t, b, m, linked in found]
-    n, half = len(weight), window // 2
-    sums = [sum(weight[max(0, i - half) : i + half + 1]) for i in range(n)]
-    least = min(surge, max(sums, default=0))
-    kept: list[str] = []
-    start = 0
-    while start < n:
-        if not sums[start]:
-            start += 1
-            continue
-        dive = start
-        while dive < n and sums[dive]:
-            dive += 1
-        if max(sums[start:dive]) >= least:
-            kept += [found[i][0] for i in range(start, dive) if weight[i]]
-        start = dive
-    return "\n".join(kept)
+    return "\n".join(found[i][0] for first, end in zones(weight, window, surge) for i in range(first, end) if weight[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points).
 
-    Null or empty html gives '' and 0; broken markup is read as far as it goes; repeated rows and ids give a row each;
-    extra columns are ignored; an empty table gives no rows. Each row is worked on by itself: no shuffle.
+    Null or empty html gives '' and 0; null ids and urls stay null; broken markup is read as browsers do (a tag that the end of
+    the page cuts is dropped); pages of any length are read whole, in time linear in it; repeated rows and ids give a row each;
+    extra columns are ignored, whatever their names; an empty table gives no rows. No order matters. Each row is worked on by
+    itself: no shuffle.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,5 +187,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             f["text"] = [extract(h, window, surge) for h in f.pop("html")]
             yield f
 
+    common.ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInPandas(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

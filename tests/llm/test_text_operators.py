@@ -225,3 +225,37 @@ def test_propagation_is_pagerank(spark):
     m /= m.sum(0)
     want = np.linalg.solve(np.eye(3) - 0.85 * m, [0.15, 0, 0])
     assert [got[x] for x in "abc"] == pytest.approx(want.tolist(), abs=1e-2)
+
+
+def test_html_zones_against_plain_sums():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        weight = [rng.choice([0, 0, rng.randint(1, 30), rng.randint(1, 90)]) for _ in range(rng.randint(0, 25))]
+        sums = [sum(weight[max(0, i - 1) : i + 2]) for i in range(len(weight))]
+        kept = set()
+        for i in range(len(weight)):
+            a = z = i
+            while sums[i] and a > 0 and sums[a - 1]:
+                a -= 1
+            while sums[i] and z + 1 < len(weight) and sums[z + 1]:
+                z += 1
+            if sums[i] and max(sums[a : z + 1]) >= min(40, max(sums)):
+                kept.add(i)
+        assert {i for a, z in H.zones(weight) for i in range(a, z)} == kept
+
+
+def test_html_distribution_decides_inside_an_article():
+    page = "<article><p>" + "long text " * 9 + "</p><nav>a</nav><nav>b</nav><nav>c</nav><p>stray</p><nav>d</nav><nav>e</nav><nav>f</nav><p>" + "more text " * 9 + "</p></article>"
+    assert H.extract(page) == ("long text " * 9).strip() + "\n" + ("more text " * 9).strip()
+
+
+@pytest.mark.parametrize("page,text", [("a<![foo[bar]]>b", "ab"), ("a<![CDATA[x]]>b", "ab"), ("<p>one<p", "one"), ("one<!-- two", "one"), ("1 < 2 <", "1 < 2 <"), ("a</b></i></p>b", "a\nb"), ("<b><div>x</b>y</div>z</b>", "xy\nz")])
+def test_html_broken_markup(page, text):
+    assert H.extract(page) == text
+
+
+def test_html_deep_and_long():
+    assert H.extract("<div>" * 40000 + "deep" + "</div>" * 40000) == "deep" and len(H.extract("<p>" + "word " * 400000)) == 1999999
+    assert H.extract("<b><div>" + "<i>" * 20000 + "t" + "</b>" * 20000) == "t"
