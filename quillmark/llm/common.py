@@ -10,6 +10,9 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows of a table that are broadcast as its hot ones, at most.
+HOT = 1 << 14
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -20,11 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set as checkpoint folder.
+    Only where that setting is absent and everything runs on this machine (tests, a laptop) a temporary folder is made and set
+    as checkpoint folder.
     """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/quillmark-{sc.applicationId}"
@@ -53,6 +59,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each made longer until no column has it (Spark doesn't tell upper case from lower)."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (unique in ``keys``), whose ``weight`` says how many rows of ``left`` a key has.
+
+    Keys of more than ``total`` / HOT rows are under HOT in number, as weights add up to ``total`` at most: those are broadcast,
+    and no task gets all rows of one. ``left`` is read twice.
+    """
+    least = total // HOT
+    heavy = F.broadcast(right.where(F.col(weight) > least))
+    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) <= least), keys, how)
+    return left.join(heavy, keys).unionByName(rest)
+
+
 def local_path(uri: str) -> str:
     """The POSIX path of a file: URI; the flat-file format is memory-mapped and needs a mounted folder."""
     if uri.startswith("file:"):
