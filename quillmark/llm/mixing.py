@@ -69,14 +69,30 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most:
     return per.select("source", "source_size", "rank", "weight", F.least("cap", F.coalesce(F.col("final"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (maps by their entries)."""
+    return F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))
+
+
+def position_of(middle: Column, schedules) -> Column:
+    """When a source's demand reaches the share ``middle`` of its target, by the schedule of the source's rank."""
+    position = invert(middle, schedules[-1])
+    for k, knots in enumerate(schedules[:-1]):
+        position = F.when(F.col("rank") % len(schedules) == k, invert(middle, knots)).otherwise(position)
+    return position
+
+
+def middle_of(copy: Column, words: Column) -> Column:
+    return (copy * F.col("source_size") + F.col("before") + words / 2) / F.col("target")
+
+
 def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=1.0, most=3.0, buckets=1024, **_) -> DataFrame:
-    """One row per input row: doc_id, row_id, source, size, source_size, target, rank, before (tokens of its source ahead of it).
+    """One row per input row: doc_id, source, size, source_size, target, rank, tie, before (tokens of its source ahead of it).
 
-    The order within a source is a hash of the id and text, so reruns agree; its prefix sums are made in two levels, over
+    The order within a source is a hash of the id, then of all columns (``tie``), so reruns agree and only equal rows tie; its prefix sums are made in two levels, over
     ``buckets`` hash ranges and then within each, so no task holds a source.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix"))).alias("mix_order"), F.xxhash64(text).alias("tie"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.word_count(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix"))).alias("mix_order"), row_hash(docs).alias("tie"))
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("mix_order", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
     rows = common.staged(rows, "mix-sizes")
     targets = source_targets(rows, weights, share, most)
@@ -97,53 +113,51 @@ def _taken(copy: Column) -> Column:
 
 
 def copies(planned: DataFrame, schedules=SCHEDULES, most: float = 3.0) -> DataFrame:
-    """One row per copy taken: as ``planned`` with copy, words and position (0..1), range-sorted by position."""
+    """One row per copy taken: as ``planned`` with copy, words and position (0..1)."""
     rows = planned.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(most + 0.999999) - 1)))).withColumn("words", _taken(F.col("copy"))).where("words > 0")
-    middle = (F.col("copy") * F.col("source_size") + F.col("before") + F.col("words") / 2) / F.col("target")
-    position = invert(middle, schedules[-1])
-    for k, knots in enumerate(schedules[:-1]):
-        position = F.when(F.col("rank") % len(schedules) == k, invert(middle, knots)).otherwise(position)
-    rows = rows.withColumn("position", position)
-    return rows.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "copy")
+    return rows.withColumn("position", position_of(middle_of(F.col("copy"), F.col("words")), schedules))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, first_position (null if nothing is taken).
+    """One row per input row: doc_id, size, source_size, target, taken, positions (of its copies, in training order).
 
-    Null or empty text has size 0 and is never taken; null is a source of its own, ranked last; repeated rows count each
-    by themselves; extra columns are ignored; an empty table gives no rows. The last copy of a source is cut where the
-    target is reached, so a source's taken words are its target rounded to a whole number.
+    ``taken`` is the sum of the words of the copies that have a position: the demand of the source's weight schedule is
+    integrated, and inverted where the stream of the source reaches the middle of each copy. Rows are range-sorted by their
+    first position; those that aren't taken come first.
+
+    Null or empty text has size 0 and is never taken; null is a source of its own, ranked last; repeated rows count each by
+    themselves; texts are read whole, however long; extra columns are ignored, whatever their names; an empty table gives no
+    rows. The last copy of a source is cut where the target is reached, so a source's taken words are its target rounded to a
+    whole number.
     """
     schedules, most = how.get("schedules", SCHEDULES), how.get("most", 3.0)
-    rows = plan(docs, **how)
-    n = int(most + 0.999999)
-    taken = sum((_taken(F.lit(k)) for k in range(1, n)), _taken(F.lit(0)))
-    words = _taken(F.lit(0))
-    middle = (F.col("before") + words / 2) / F.col("target")
-    position = invert(middle, schedules[-1])
-    for k, knots in enumerate(schedules[:-1]):
-        position = F.when(F.col("rank") % len(schedules) == k, invert(middle, knots)).otherwise(position)
-    out = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(words > 0, position).alias("first_position"))
-    return out.repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id")
+    numbers = F.array(*(F.lit(k) for k in range(int(most + 0.999999))))
+    placed = F.transform(numbers, lambda k: F.struct(_taken(k).alias("words"), position_of(middle_of(k, _taken(k)), schedules).alias("position")))
+    rows = plan(docs, **how).withColumn("copies", F.filter(placed, lambda c: c["words"] > 0))
+    rows = rows.select("doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), F.col("copies.position").alias("positions"))
+    first = F.get("positions", F.lit(0))
+    return rows.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
 
 
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:
     """The rows of ``docs`` once per copy taken, in training order, with their own columns.
 
-    A copy that is cut holds the text up to the end of its last taken word. Order is by range: part files are in order.
+    A copy that is cut holds the text up to the end of its last taken word. Order is by range: part files are in order. Rows
+    that are equal in all columns are taken as often as each; column names of ``docs`` may be any.
     """
     cols = docs.columns
-    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     planned = copies(plan(docs, id_col, text_col, source_col, **how), how.get("schedules", SCHEDULES), how.get("most", 3.0))
-    picks = planned.groupBy("doc_id", "source", "tie").agg(
-        F.collect_list(F.struct("position", "copy", "words", "size")).alias("_picks"), F.count_if(F.col("copy") == 0).alias("_rows")
-    )  # at most ``most`` copies of a document, times its repeated rows
-    picks = picks.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "_picks", "_rows")
-    rows = docs.withColumn("_text_tie", tie).join(picks, F.expr(f"`{id_col}` <=> _id and `{source_col}` <=> _source and _text_tie = _tie"))
-    single = rows.where("_rows <= 1")
-    repeated = rows.where("_rows > 1").dropDuplicates(["_id", "_source", "_tie"])
-    rows = single.unionByName(repeated).withColumn("_pick", F.explode("_picks"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0)), F.lit(1), F.col("_pick.words").cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(F.col("_pick.words") < F.col("_pick.size"), head).otherwise(F.col(text_col)))
-    rows = rows.withColumn("_position", F.col("_pick.position")).withColumn("_copy", F.col("_pick.copy"))
-    return rows.repartitionByRange(F.col("_position"), F.col("_id")).sortWithinPartitions("_position", "_id", "_copy").select(*cols)
+    tie, own_id, own_tie, n, position, copy, words, size = names = common.fresh(cols, "row_tie", "own_id", "own_tie", "n_rows", "position", "copy", "words", "size")
+    picks = common.staged(planned.select(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie), *(F.col(k).alias(v) for k, v in zip(("position", "copy", "words", "size"), names[4:], strict=True))), "mix-copies")
+    rows = docs.withColumn(tie, row_hash(docs))
+    # equal rows are one row here, which has the copies of all
+    repeated = rows.groupBy(F.col(f"`{id_col}`").alias(own_id), F.col(tie).alias(own_tie)).agg(F.count(F.lit(1)).alias(n))
+    repeated = common.staged(repeated.where(F.col(n) > 1).drop(n), "mix-repeated")
+    same = lambda a, b: a[id_col].eqNullSafe(b[own_id]) & (a[tie] == b[own_tie])
+    single = rows.join(repeated, same(rows, repeated), "left_anti")
+    if not repeated.isEmpty():
+        single = single.unionByName(rows.join(repeated, same(rows, repeated), "left_semi").dropDuplicates([id_col, tie]))
+    out = single.join(picks, same(single, picks))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    out = out.withColumn(text_col, F.when(F.col(words) < F.col(size), head).otherwise(F.col(f"`{text_col}`")))
+    return out.repartitionByRange(F.col(position), F.col(own_id)).sortWithinPartitions(position, own_id, copy).select(*(f"`{c}`" for c in cols))

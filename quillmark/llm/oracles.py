@@ -45,13 +45,37 @@ select page_id, x.host, path, rule, coalesce(ruled, case when distrust > {U.RATI
 OP3 = f"""with d as (select doc_id, {LOWER} as t from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256 from d window w as (partition by t)"""
 
+
+
+def inverse(m: str, knots) -> str:
+    """The time at which a schedule's cumulative weight reaches ``m``."""
+    out = ""
+    for t0, length, w0, slope, before in mixing.segments(knots):
+        rest = f"greatest({m} - {before!r}::double, 0)"
+        step = f"{rest} / {w0!r}::double" if not slope else f"case when {rest} = 0 then 0 else 2 * {rest} / ({w0!r}::double + sqrt(greatest({w0 * w0!r}::double + {2 * slope!r}::double * {rest}, 0))) end"
+        here = f"{t0!r}::double + least({step}, {length!r}::double)"
+        out += f" when {m} < {before + length * (w0 + slope * length / 2)!r}::double then {here}"
+    return f"case{out} else {here} end"
+
+
+def words_of(k: int) -> str:
+    return f"greatest(least(round(target)::bigint - {k} * source_size - before, size), 0)"
+
+
+def position(k: int) -> str:
+    cases = " ".join(f"when {r} then {inverse(f'm{k}', knots)}" for r, knots in enumerate(mixing.SCHEDULES))
+    return f"case when w{k} > 0 then round(case rank % {len(mixing.SCHEDULES)} {cases} end, 9) end as position_{k + 1}"
+
+
 OP6 = f"""with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size, md5(coalesce(doc_id::varchar, '') || 'mix') as o from documents),
 a as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from s group by source),
 b as (select *, {list(mixing.WEIGHTS)}[(rank % {len(mixing.WEIGHTS)})::int + 1]::double as weight, 3.0::double * source_size as cap, sum(source_size) over () as total from a),
 c as (select *, greatest((total - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following), 0) as level from b),
 t as (select *, least(cap, coalesce(max(level) filter (level * weight <= cap) over (), 'inf'::double) * weight) as target from c),
-p as (select doc_id, size, source_size, target, coalesce(sum(size) over (partition by s.source order by o, doc_id rows between unbounded preceding and 1 preceding), 0) as before from s join t on s.source is not distinct from t.source)
-select doc_id, size, source_size, round(target, 6) as target, (greatest(least(round(target) - before, size), 0) + greatest(least(round(target) - source_size - before, size), 0) + greatest(least(round(target) - 2 * source_size - before, size), 0))::bigint as taken from p"""
+p as (select doc_id, size, source_size, rank, target, coalesce(sum(size) over (partition by s.source order by o, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from s join t on s.source is not distinct from t.source),
+w as (select *, {', '.join(f'{words_of(k)} as w{k}' for k in range(3))} from p),
+m as (select *, {', '.join(f'({k} * source_size + before + w{k}::double / 2) / target as m{k}' for k in range(3))} from w)
+select doc_id, size, source_size, round(target, 6) as target, (w0 + w1 + w2)::bigint as taken, {', '.join(position(k) for k in range(3))} from m"""
 
 OP8 = f"""with recursive w as (select doc_id, regexp_extract_all({LOWER}, '{WORD}') as w from documents),
 s as (select doc_id, unnest(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as x from w),

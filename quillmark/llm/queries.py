@@ -41,7 +41,8 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(common.table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    at = [F.round(F.get("positions", F.lit(k)), 9).alias(f"position_{k + 1}") for k in range(3)]
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", *at)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,9 +32,23 @@ def test_exact_dedup(docs, rows, how):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.createDataFrame([(s,) for s in [0] * 5 + [1] * 5 + [15]], "slot int")
-    got = {r.slot: (r.local_depth, r.bucket) for r in D.directory(keys, 6, 4).collect()}
-    assert got == {0: (4, 0), 1: (4, 1), 15: (1, 1)}
+    # 4-bit keys, 2 to a bucket: 0000 0001 | 0010 | 01.. | 1...
+    keys = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 4, 15, 8)], "key long")
+    found, depth = D.directory(keys, 2, 4)
+    assert depth == 3 and {r.slot: (r.local_depth, r.bucket) for r in found.collect()} == {0: (3, 0), 1: (3, 1), 2: (2, 2), 4: (1, 4), 7: (1, 4)}
+    index, _, _ = D.build_index(keys.union(keys.where("key = 3")), 2, 4)
+    assert {(r.bucket, r.key): r.rows for r in index.collect()} == {(0, 0): 1, (0, 1): 1, (1, 2): 1, (1, 3): 2, (2, 4): 1, (4, 15): 1, (4, 8): 1}
+    deep, depth = D.directory(keys, 1, 4)
+    assert depth == 4 and deep.count() == 7
+
+
+def test_hot_keys_join_as_others(spark):
+    left = spark.createDataFrame([(k % 7, k) for k in range(50)], "k int, v int")
+    right = left.where("k < 6").groupBy("k").count()
+    for total in (50, 50 << 14, 7 << 14):
+        for how in ("inner", "left"):
+            want = sorted(map(tuple, left.join(right, ["k"], how).fillna(-1).collect()))
+            assert sorted(map(tuple, common.join_hot(left, right, ["k"], "count", total, how).fillna(-1).collect())) == want
 
 
 def test_survivors(docs, rows, none):
@@ -76,7 +90,10 @@ def test_mix(docs, rows, none):
         assert (r.size, r.source_size) == (n, by[s]) and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 3 * n
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
-    key = lambda r: (r.doc_id, r.taken, r.first_position or -1)
+    for r in got:
+        assert r.positions == sorted(r.positions) and (not r.positions or 0 < r.positions[0] and r.positions[-1] < 1) and bool(r.positions) == (r.taken > 0)
+    assert [r.positions[:1] for r in got] == sorted(r.positions[:1] for r in got)
+    key = lambda r: (r.doc_id, r.taken, r.positions)
     assert sorted(map(key, got)) == sorted(map(key, M.mix(docs.repartition(7)).collect()))
     assert M.mix(none).count() == 0
 
@@ -93,6 +110,17 @@ def test_mixed_documents(docs, rows):
     assert +words == +want
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(1, "a b c", "x", 1), (1, "a b c", "x", 1), (1, "a b c", "x", 2), (2, "d e", "y", 3), (3, "f " * 40, "z", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    out, taken = Counter(), Counter()
+    for r in M.mixed_documents(d).collect():
+        out[r.doc_id, r.other] += len(r.text.split())
+    for r in M.mix(d).collect():
+        taken[r.doc_id] += r.taken
+    assert out[1, 1] + out[1, 2] == taken[1] == 27 and out[1, 1] == 18 and taken[3] == out[3, 4]
+
+
 @pytest.mark.parametrize("knots", [((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.0), (0.5, 2.0), (1.0, 0.0)), ((0.0, 1.0), (0.3, 1.0), (1.0, 5.0))])
 def test_inverted_schedule(spark, knots):
     q = [k / 50 for k in range(51)]
