@@ -10,8 +10,8 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows of a table that are broadcast as its hot ones, at most.
-HOT = 1 << 14
+#: Rows of a table that are broadcast as its hot ones, at most; rows that make a key hot, at least.
+HOT, WARM = 1 << 14, 1000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -73,13 +73,16 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` (unique in ``keys``), whose ``weight`` says how many rows of ``left`` a key has.
 
-    Keys of more than ``total`` / HOT rows are under HOT in number, as weights add up to ``total`` at most: those are broadcast,
-    and no task gets all rows of one. ``left`` is read twice.
+    Keys of more than ``total`` / HOT rows are under HOT in number, as weights add up to ``total`` at most: those are broadcast
+    (where they have WARM rows or more), and no task gets all rows of one. The others meet by a sort, at any size. ``left`` is
+    read twice if there are such keys.
     """
-    least = total // HOT
-    heavy = F.broadcast(right.where(F.col(weight) > least))
-    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) <= least), keys, how)
-    return left.join(heavy, keys).unionByName(rest)
+    least = max(total // HOT, WARM)
+    heavy, light = right.where(F.col(weight) > least), right.where(F.col(weight) <= least).hint("merge")
+    if heavy.isEmpty():
+        return left.join(light, keys, how)
+    heavy = F.broadcast(heavy)
+    return left.join(heavy, keys).unionByName(left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how))
 
 
 def local_path(uri: str) -> str:

@@ -42,7 +42,8 @@ def test_directory_splits_overfull_buckets(spark):
     assert depth == 4 and deep.count() == 7
 
 
-def test_hot_keys_join_as_others(spark):
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "WARM", 0)
     left = spark.createDataFrame([(k % 7, k) for k in range(50)], "k int, v int")
     right = left.where("k < 6").groupBy("k").count()
     for total in (50, 50 << 14, 7 << 14):
