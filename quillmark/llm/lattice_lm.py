@@ -1,9 +1,9 @@
 """Language-model scores by a subword lattice.
 
 A word's lattice has an edge for every piece of an existing vocabulary that fits; the pieces' scores weight all segmentations,
-and the forward recursion in log space sums them to the word's marginal probability. The vocabulary's scores (ranks) are the
-first weights; they are re-estimated by expected counts over the word types of the training documents. One more edge spans a
-whole word: its weight is the word's own discounted count, and the discounted mass weights the subword paths.
+and the forward recursion in log space sums them to the word's marginal probability. A piece's weight is a mixture of the
+vocabulary's own score (by its rank) and of expected counts over the word types of the training documents, which start from
+those scores. One more edge spans a whole word: its weight is the word's own discounted count, and the discounted mass weights the subword paths.
 
 Weights are per class of training documents (their language, where the table has it). A document's class is never looked at
 when it is scored: its probability is the classes' mixture, each the product of its tokens' marginals.
@@ -29,6 +29,8 @@ LN10 = float(np.log(10))
 #: Taken off every counted word; share of that mass for the class's own lattice (the rest is for words of all classes);
 #: classes (the rarer ones are one class); re-estimation rounds.
 DISCOUNT, OWN, MAX_CLASSES, ROUNDS = 0.6, 0.8, 6, 2
+#: Share of a piece's weight that stays the vocabulary's own score.
+GIVEN = 0.25
 #: Bound of a piece's code points (none: the longest piece is the vocabulary's); words of a numpy batch; documents' bytes of a scoring block, about.
 MAX_PIECE, BATCH, BLOCK_BYTES = sys.maxsize, 4096, 24 << 20
 
@@ -107,26 +109,23 @@ def lattice(batch: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     """Edges of many words at once: word, from, to, piece; and each word's length. A byte edge is as many bytes as its character."""
     size = np.array([len(w) for w in batch], np.int64)
     longest = int(size.max(initial=1))
-    code = np.full((len(batch), longest), 0, np.uint32)
     raw = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), "<u4")
-    at = np.arange(longest)[None, :] < size[:, None]
-    code[at] = raw
+    code = np.full((len(batch), longest), 0, np.uint32)
+    code[np.arange(longest)[None, :] < size[:, None]] = raw
+    word = np.repeat(np.arange(len(batch)), size)
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+    live = np.arange(len(raw))
+    h = np.where(place == 0, np.uint64(0x9E3779B9), np.uint64(0x7F4A7C15))
     out: list[tuple[np.ndarray, ...]] = []
-    for i in range(longest):
-        live = np.flatnonzero(size > i)
-        h = np.full(len(live), np.uint64(0x9E3779B9 if i == 0 else 0x7F4A7C15))
-        for j in range(i + 1, min(i + vocab.longest, longest) + 1):
-            m = size[live] >= j
-            live, h = live[m], h[m]
-            if not len(live):
-                break
-            h = h * np.uint64(_PIECE_BASE) + code[live, j - 1].astype(np.uint64) + np.uint64(1)
-            k = np.searchsorted(vocab.codes, h)
-            k[k == vocab.n] = 0
-            hit = vocab.codes[k] == h
-            if hit.any():
-                n = int(hit.sum())
-                out.append((live[hit], np.full(n, i), np.full(n, j), vocab.index[k[hit]]))
+    for n in range(1, min(vocab.longest, longest) + 1):  # pieces of n characters, at all places at once
+        fits = place[live] + n <= size[word[live]]
+        live, h = live[fits], h[fits]
+        h = h * np.uint64(_PIECE_BASE) + raw[live + n - 1].astype(np.uint64) + np.uint64(1)
+        k = np.searchsorted(vocab.codes, h)
+        k[k == vocab.n] = 0
+        hit = vocab.codes[k] == h
+        at = live[hit]
+        out.append((word[at], place[at], place[at] + n, vocab.index[k[hit]]))
     if not out:
         out = [tuple(np.zeros(0, np.int64) for _ in range(4))]
     return *(np.concatenate(x) for x in zip(*out, strict=True)), size, code
@@ -257,7 +256,7 @@ def count_words(rows: DataFrame, classes: int) -> DataFrame:
 
 
 def estimate(types: DataFrame, path: str, classes: int, rounds: int) -> np.ndarray:
-    """Log weights of the pieces by class: ``rounds`` of expected counts over the word types of a class."""
+    """Log weights of the pieces by class: the vocabulary's, mixed with ``rounds`` of expected counts over the word types of a class."""
     vocab = Vocabulary.of(path)
     logps = np.array([vocab.initial()] * classes)
     size = logps.shape[1]
@@ -283,17 +282,23 @@ def estimate(types: DataFrame, path: str, classes: int, rounds: int) -> np.ndarr
         for r in seen.mapInArrow(run, "piece long, mass double").groupBy("piece").agg(F.sum("mass").alias("mass")).collect():  # one row per piece and class
             mass[divmod(r.piece, size)] += r.mass
         logps = np.array([vocab.normalised(m) for m in mass])
-    return logps
+    if not rounds:
+        return logps
+    given = vocab.initial()
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(GIVEN) + given, np.log(1 - GIVEN) + logps)
 
 
 def lm_scores(docs: DataFrame, train, vocabulary: str, id_col="doc_id", text_col="text", class_col: str | None = "lang", rounds: int = ROUNDS, discount: float = DISCOUNT) -> DataFrame:
     """One row per input row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train``: a boolean column expression over ``docs``; ``class_col``: classes of the training rows (None: one class; null
-    is a class). Null text counts as empty: its only token is the end. Repeated rows and ids count and are scored each; extra
-    columns are ignored; an empty table gives no rows. Without training tokens the words' lattices alone score, each token as
+    is a class). Null text counts as empty: its only token is the end. Texts and words are read whole, however long, in time
+    linear in them. Repeated rows and ids count and are scored each; classes of equal size rank by name; extra columns are
+    ignored, whatever their names; an empty table gives no rows. Without training tokens the words' lattices alone score, each token as
     likely an end as a word.
     """
+    common.ship(docs.sparkSession)
     cls = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col and class_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), cls.alias("cls"))
     common_classes = rows.where("train").groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(MAX_CLASSES).collect()

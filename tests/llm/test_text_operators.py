@@ -71,6 +71,61 @@ def test_lm_scores(spark, docs, rows, none):
     assert L.lm_scores(docs, F.lit(False), PIECES, class_col=None).where("score < 0 and n_known = 0").count() == len(rows)
 
 
+def test_score_is_the_mixture_of_the_classes(spark):
+    """The whole score by plain sums, from the same piece weights: discounted counts, lattices behind them, classes mixed."""
+    rng = random.Random(11)
+    rows = [(i, invented(rng, rng.randint(1, 40)), "abc"[i % 3]) for i in range(40)] + [(40, None, "a"), (41, "日本 nié gesehen", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in L.lm_scores(d, F.col("doc_id") % 4 != 0, PIECES).collect()}
+    learn = [(L.tokens_of(t), k or "") for i, t, k in rows if i % 4]
+    size = Counter(k for _, k in learn)
+    names = sorted(size, key=lambda k: (-size[k], k))
+    of = {k: Counter(w for t, x in learn if x == k for w in t) for k in names}
+    every = sum(of.values(), Counter())
+    types = spark.createDataFrame([(w, *(of[k][w] for k in names)) for w in every], "word string, " + ", ".join(f"c{k} long" for k in range(len(names))))
+    logps, v = L.estimate(types, PIECES, len(names), L.ROUNDS), L.Vocabulary.of(PIECES)
+    share = {k: size[k] / len(learn) for k in names}
+
+    def word(w, k):
+        sub = {x: math.exp(marginal(w, v, logps[y])) for y, x in enumerate(names)}
+        mixed = sum(share[x] * sub[x] for x in names)
+        whole = (max(every[w] - L.DISCOUNT, 0) + L.DISCOUNT * len(every) * mixed) / sum(every.values())
+        back = L.OWN * sub[k] + (1 - L.OWN) * whole
+        return (max(of[k][w] - L.DISCOUNT, 0) + L.DISCOUNT * len(of[k]) * back) / (sum(of[k].values()) + size[k])
+
+    for i, t, _ in rows:
+        logs = [math.log10(share[k]) + math.log10(size[k] / (sum(of[k].values()) + size[k])) + sum(math.log10(word(w, k)) for w in L.tokens_of(t)) for k in names]
+        assert got[i] == pytest.approx(max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs)), rel=1e-5)
+
+
+def test_the_vocabulary_weights_every_segmentation(spark):
+    types = spark.createDataFrame([("thntion", 5), ("the", 9)], "word string, c0 long")
+    v = L.Vocabulary.of(PIECES)
+    got = L.estimate(types, PIECES, 1, 2)[0]
+    assert (np.exp(got) >= L.GIVEN * np.exp(v.initial()) - 1e-15).all()
+    assert np.exp(got[:-1][v.first]).sum() == pytest.approx(1) and np.exp(got[:-1][~v.first]).sum() + math.exp(got[-1]) == pytest.approx(1)
+
+
+def test_a_very_long_word():
+    v = L.Vocabulary.of(PIECES)
+    w = "thntion" * 3000
+    assert L.log_words([w], v, v.initial())[0, 0] == pytest.approx(marginal_log(w, v, v.initial()), rel=1e-9)
+
+
+def marginal_log(word, vocab, logp):
+    known = dict(zip(vocab.codes.tolist(), vocab.index.tolist()))
+    a = [0.0]
+    for j in range(1, len(word) + 1):
+        terms = [a[j - 1] + sum(logp[vocab.n + y + (0 if j == 1 and k == 0 else 256)] for k, y in enumerate(word[j - 1].encode()))]
+        for i in range(max(0, j - vocab.longest), j):
+            k = known.get(int(L.piece_hash(word[i:j], i == 0)))
+            if k is not None:
+                terms.append(a[i] + logp[k])
+        top = max(terms)
+        a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return a[-1] + logp[-1]
+
+
 def test_word_hashes_and_shingles(docs, rows):
     import pyarrow as pa
 
