@@ -159,6 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id"
     enc = tokens.Encoder.of(tokenizer)
     dtype, vocabulary = enc.dtype, max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     spark = docs.sparkSession
+    common.ship(spark)
     rows, counts = tokenized(docs, tokenizer, end_id, id_col, text_col)
     df, n, total = frequencies(counts, vocabulary)
     if not n:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import caches
+from . import caches, common
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]"
@@ -146,8 +146,8 @@ def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_toxic=MAX_TOXIC, max_ordinary=MAX_ORDINARY, max_chars=MAX_CHARS) -> Model:
     """Fit on at most ``max_toxic`` + ``max_ordinary`` labelled rows, the first by a hash of their id.
 
-    A quarter of them is kept for calibration. Rows without label, id or text aren't used; without rows of both classes every
-    score is the share of toxic rows.
+    A quarter of them is kept for calibration. Rows without label, id or text aren't used; an id with both labels counts as
+    toxic; rows that repeat an id are each used; without rows of both classes every score is the share of toxic rows.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")).alias("h"))
     parts = []
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         share = int(min(1.0, (1.5 * most + 50) / max(1, own.count())) * (1 << 32))
         parts.append(own.where(F.pmod("h", F.lit(1 << 32)) < share).orderBy("h", "id").limit(most))
     # at most max_toxic + max_ordinary rows of three numbers
-    chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates(["id"]))
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).groupBy("id").agg(F.max("y").alias("y"), F.min("h").alias("h")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars).join(chosen, "id").collect()
     rows = sorted({(r.h, r.id, r.y, r.text) for r in rows})
     held = [r for r in rows if r[0] % 4 == 0]
@@ -177,20 +177,23 @@ def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per input row: doc_id, score (0..1).
 
-    Null or empty text has no windows and scores as such; repeated rows and ids give a row each; extra columns are ignored; an
-    empty table gives no rows. Rows are worked on by themselves: no shuffle.
+    Null or empty text has no windows and scores as such; texts are read whole, however long; repeated rows and ids give a row
+    each; extra columns are ignored, whatever their names; an empty table gives no rows. No order matters. Rows are worked on by
+    themselves: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probabilities(model, b.column(1)))], names=["doc_id", "score"])
 
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def non_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with all their columns: no shuffle."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns, whatever their names: no shuffle."""
+    common.ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
