@@ -1,4 +1,4 @@
-"""Word edit distance, as a column for short texts and as an Arrow function for long ones and for alignments."""
+"""Word edit distance and alignment: Arrow functions over two columns of word arrays, of any length and vocabulary."""
 
 from __future__ import annotations
 
@@ -6,25 +6,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-
-def _symbol(vocabulary: Column, w: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 4, "0")), "UTF-16BE")
-
-
-def vocabulary_of(ref: Column, hyp: Column) -> Column:
-    return F.array_distinct(F.concat(ref, hyp))
-
-
-def word_distance(ref: Column, hyp: Column, vocabulary: Column | None = None) -> Column:
-    """Word Levenshtein distance: each distinct word of the pair becomes one character. For pairs of at most 35,000 distinct words.
-
-    Give ``vocabulary`` as a column of an earlier select: inside a lambda it would be made again for each word.
-    """
-    vocabulary = vocabulary_of(ref, hyp) if vocabulary is None else vocabulary
-    spell = lambda words: F.array_join(F.transform(words, lambda w: _symbol(vocabulary, w)), "")
-    return F.levenshtein(spell(ref), spell(hyp))
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..ship import ship
+
+
+def _pairs(ref: pa.Array, hyp: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word arrays of each row as numbers, equal where words are; null is empty."""
+    words = pa.concat_arrays([x.flatten().cast(pa.large_string()) for x in (ref, hyp)])
+    codes = words.dictionary_encode().indices.to_numpy()
+    ends = [np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist() for x in (ref, hyp)]
+    at, to = 0, ends[0][-1] if ends[0] else 0
+    for a, b in zip(*ends, strict=True):
+        b += ends[0][-1]
+        yield codes[at:a], codes[to:b]
+        at, to = a, b
+
+
+def levenshtein(ref: list, hyp: list) -> int:
+    """Distance of two sequences: the columns of the table as bits of whole numbers, a few operations per word of ``hyp``."""
+    start, n, m = 0, len(ref), len(hyp)
+    while start < n and start < m and ref[start] == hyp[start]:
+        start += 1
+    while n > start and m > start and ref[n - 1] == hyp[m - 1]:
+        n, m = n - 1, m - 1
+    if n == start or m == start:
+        return max(n, m) - start
+    at: dict = {}
+    for i in range(start, n):
+        at[ref[i]] = at.get(ref[i], 0) | 1 << (i - start)
+    distance = n - start
+    whole, last = (1 << distance) - 1, 1 << (distance - 1)
+    up, down = whole, 0  # cells that are one more, one less than the cell above
+    for w in hyp[start:m]:
+        same = at.get(w, 0)
+        across = (((same & up) + up) ^ up) | same
+        more = down | whole & ~(across | up)
+        less = up & across
+        distance += bool(more & last) - bool(less & last)
+        more = more << 1 | 1
+        same |= down
+        up = (less << 1 | ~(same | more)) & whole
+        down = more & same & whole
+    return distance
+
+
+def _distances(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([levenshtein(a.tolist(), b.tolist()) for a, b in _pairs(ref, hyp)], pa.int64())
+
+
+def _alignments(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    both = [align(a, b) for a, b in _pairs(ref, hyp)]
+    return pa.StructArray.from_arrays([pa.array([d for d, _ in both], pa.int64()), pa.array([h for _, h in both], pa.int64())], ["distance", "hits"])
+
+
+def _shipped() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
+def word_distance(ref: Column, hyp: Column) -> Column:
+    """Word Levenshtein distance of two word arrays; null counts as empty."""
+    _shipped()
+    return F.arrow_udf(_distances, "long")(ref, hyp)
+
+
+def alignment(ref: Column, hyp: Column) -> Column:
+    """struct<distance, hits> of two word arrays: the most equal words among alignments of least cost."""
+    _shipped()
+    return F.arrow_udf(_alignments, "struct<distance:long,hits:long>")(ref, hyp)
 
 
 def error_rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -32,12 +83,12 @@ def error_rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
     return F.when(n_ref > 0, distance.cast("double") / n_ref).otherwise(F.when(n_hyp > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def align(ref: list[str], hyp: list[str]) -> tuple[int, int]:
+def align(ref, hyp) -> tuple[int, int]:
     """(distance, hits): the most equal words among alignments of least cost. Two rows, vectorised along the hypothesis."""
     n, m = len(ref), len(hyp)
     if not n or not m:
         return max(n, m), 0
-    ids: dict[str, int] = {}
+    ids: dict = {}
     a = [ids.setdefault(w, len(ids)) for w in ref]
     b = np.array([ids.setdefault(w, len(ids)) for w in hyp])
     # cost and hits in one number: a step costs BIG, a hit takes 1 off
@@ -56,15 +107,8 @@ def align(ref: list[str], hyp: list[str]) -> tuple[int, int]:
 
 def aligned(df: DataFrame, ref: str = "ref_words", hyp: str = "hyp_words") -> DataFrame:
     """With distance and hits of each row's word arrays (null as empty)."""
-    schema = T.StructType([*df.schema.fields, T.StructField("distance", T.LongType()), T.StructField("hits", T.LongType())])
-    at = df.columns.index(ref), df.columns.index(hyp)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [align(r or [], h or []) for r, h in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([d for d, _ in both], pa.int64()), pa.array([h for _, h in both], pa.int64())], names=[*b.schema.names, "distance", "hits"])
-
-    return df.mapInArrow(run, schema)
+    both = df.withColumn("distance", alignment(F.col(ref), F.col(hyp)))
+    return both.withColumns({"distance": F.col("distance.distance"), "hits": F.col("distance.hits")})
 
 
 def match_error_rate(distance: Column, hits: Column) -> Column:

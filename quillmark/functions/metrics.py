@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import numbers, ratio, tokens
+from .text import NUMBERS, numbers, ratio
 
 
 def length_penalty(n_ref: Column, n_hyp: Column) -> Column:
@@ -36,6 +36,12 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def judged_number(reply: Column) -> Column:
+    """The first number of a judge's reply, clipped to 0..1 (a sign in front of it doesn't count); null without one."""
+    found = F.regexp_extract(reply, r"([0-9]*\.?[0-9]+)", 1).try_cast("double")
+    return F.when(found.isNotNull(), F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0)))
+
+
 def similarity(ref: Column, hyp: Column, judged: Column | None = None, encoded: Column | None = None) -> Column:
     """The first backend that has a value: a judge's number clipped to 0..1, an encoder's cosine floored at 0, Jaccard."""
     found = [F.least(F.greatest(judged, F.lit(0.0)), F.lit(1.0))] if judged is not None else []
@@ -49,8 +55,8 @@ def number_recall(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(r) > 0, F.size(F.array_intersect(r, hyp)).cast("double") / F.size(r)).otherwise(F.lit(1.0))
 
 
-def number_accuracy(ref_text: Column, hyp_text: Column) -> Column:
-    return number_recall(numbers(ref_text), numbers(hyp_text))
+def number_accuracy(ref_text: Column, hyp_text: Column, words: dict[str, str] = NUMBERS) -> Column:
+    return number_recall(numbers(ref_text, words), numbers(hyp_text, words))
 
 
 def grade(rate: Column) -> Column:
@@ -100,7 +106,3 @@ def confidence_stats(values: Column) -> dict[str, Column]:
         "mean_confidence": mean, "min_confidence": F.array_min(v), "max_confidence": F.array_max(v), "std_confidence": spread,
         "low_confidence_ratio": total(lambda x: (x < 0.5).cast("double")) / n, "high_confidence_ratio": total(lambda x: (x > 0.8).cast("double")) / n,
     }
-
-
-def words(c) -> Column:
-    return tokens(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
+#: Runs of capitalised ASCII words: a fixed value.
 NOUN = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 PUNCTUATION = r"[.,!?;:]"
 FRAGMENT = "[।|.!?]+|[^।|.!?]+"
@@ -20,6 +21,11 @@ def ratio(a, b) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with ``c`` made once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def tokens(c) -> Column:
     """Words; null gives null, blank text gives an empty array."""
     return F.filter(F.split(_col(c), r"(?U)\s+"), lambda x: x != "")
@@ -63,10 +69,13 @@ def adjacent_repetition(words) -> Column:
 
 def global_repetition(words) -> Column:
     """Distinct words that occur more than once, over words. Sorted, a word's repeats follow each other."""
-    s = F.array_sort(_col(words))
-    n = F.size(s)
-    pairs = F.zip_with(F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(a == b, a))
-    return ratio(F.size(F.array_compact(F.array_distinct(pairs))), F.greatest(n, F.lit(1)))
+
+    def repeated(s: Column) -> Column:
+        rest = F.greatest(F.size(s) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(s, F.lit(1), rest), F.slice(s, F.lit(2), rest), lambda a, b: F.when(a == b, a))
+        return ratio(F.size(F.array_compact(F.array_distinct(pairs))), F.greatest(F.size(s), F.lit(1)))
+
+    return bound(F.sort_array(_col(words)), repeated)
 
 
 def char_diversity(c) -> Column:
@@ -102,19 +111,15 @@ def compound_nouns(c) -> Column:
 
 
 def compound_noun_hits(c) -> Column:
-    """array<struct<noun, start_pos, end_pos>>: positions are sums of the lengths of gaps and nouns before."""
-    c = _col(c)
-    nouns, gaps = compound_nouns(c), F.split(c, NOUN)
-    start = F.lit(0)
-    zero = F.struct(F.array().cast("array<struct<noun:string,start_pos:int,end_pos:int>>").alias("hits"), start.alias("at"))
+    """array<struct<noun, start_pos, end_pos>>: the text is marked around each noun, once; what is before a mark is as long as
+    the noun's place and the marks before it."""
+    marked = F.regexp_replace(F.translate(_col(c), "\u0001\u0002", ".."), NOUN, "\u0001$1\u0002")
 
-    def step(acc, x):
-        at = acc["at"] + F.length(x["gap"])
-        end = at + F.length(x["noun"])
-        return F.struct(F.concat(acc["hits"], F.array(F.struct(x["noun"].alias("noun"), at.alias("start_pos"), end.alias("end_pos")))).alias("hits"), end.alias("at"))
+    def hit(m: Column, noun: Column, i: Column) -> Column:
+        at = F.length(F.call_function("substring_index", m, F.lit("\u0001"), i + 1)) - 2 * i
+        return F.struct(noun.alias("noun"), at.alias("start_pos"), (at + F.length(noun)).alias("end_pos"))
 
-    pairs = F.zip_with(nouns, F.slice(gaps, F.lit(1), F.size(nouns)), lambda n, g: F.struct(n.alias("noun"), g.alias("gap")))
-    return F.when(F.size(nouns) > 0, F.aggregate(pairs, zero, step)["hits"]).otherwise(F.array().cast("array<struct<noun:string,start_pos:int,end_pos:int>>"))
+    return bound(marked, lambda m: F.transform(compound_nouns(m), lambda noun, i: hit(m, noun, i)))
 
 
 def noun_variants(noun) -> Column:
@@ -152,11 +157,12 @@ def replace_nouns(text, fixes, most: int = 10) -> Column:
 
 
 def char_diff(a, b) -> Column:
-    """Places of the common length at which two texts differ."""
+    """Places of the common length at which two texts differ; 0 if either is null."""
     a, b = _col(a), _col(b)
     m = F.least(F.length(a), F.length(b))
     letters = lambda c: F.slice(F.split(c, ""), F.lit(1), m)
-    return F.when(m > 0, F.aggregate(F.zip_with(letters(a), letters(b), lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)).otherwise(F.lit(0))
+    found = F.aggregate(F.zip_with(letters(a), letters(b), lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    return F.when((m > 0) & a.isNotNull() & b.isNotNull(), found).otherwise(F.lit(0))
 
 
 def change_percentage(diff, original) -> Column:
@@ -168,25 +174,27 @@ def clean(c) -> Column:
     return F.lower(collapse(F.regexp_replace(_col(c), r"(?U)[^\p{L}\p{N}_\s-]", "")))
 
 
-def corrupted(words, drop: int = 7, swap: int = 11, double: int = 13, filler: str = "the") -> Column:
-    """Words by a rule on their index: every ``drop``-th left out, ``swap``-th replaced by a filler, ``double``-th doubled."""
+def corrupted(words, drop: int | None = 7, swap: int | None = 11, double: int | None = 13, filler: str = "the") -> Column:
+    """Words by a rule on their index: every ``drop``-th left out, ``swap``-th replaced by a filler, ``double``-th doubled (None: never)."""
 
     def step(w, i):
-        return F.when(i % drop == 3, F.array().cast("array<string>")).when(i % swap == 5, F.array(F.lit(filler))).when(i % double == 6, F.array(w, w)).otherwise(F.array(w))
+        out = F.array(w) if double is None else F.when(i % double == 6, F.array(w, w)).otherwise(F.array(w))
+        out = out if swap is None else F.when(i % swap == 5, F.array(F.lit(filler))).otherwise(out)
+        return out if drop is None else F.when(i % drop == 3, F.array().cast("array<string>")).otherwise(out)
 
     return F.flatten(F.transform(_col(words), step))
 
 
-#: Number words of the local rules, fixed values: Hindi, romanised and English; articles that stand for one in the tables' languages.
-NUMBERS = {"das": "10", "दस": "10", "ten": "10", "paanch": "5", "पांच": "5", "five": "5", "sau": "100", "सौ": "100", "hundred": "100", "un": "1", "una": "1", "ein": "1", "eine": "1"}
+#: Number words of the local rules, fixed values: Hindi, romanised and English.
+NUMBERS = {"das": "10", "दस": "10", "ten": "10", "paanch": "5", "पांच": "5", "five": "5", "sau": "100", "सौ": "100", "hundred": "100"}
 
 
-def normalize_numbers(c) -> Column:
+def normalize_numbers(c, words: dict[str, str] = NUMBERS) -> Column:
     """Number words as digits; white space and everything else as it was."""
-    table = F.create_map(*(F.lit(x) for kv in NUMBERS.items() for x in kv))
+    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
     parts = F.regexp_extract_all(_col(c), F.lit(r"(?U)\s+|[^\s]+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), "")
 
 
-def numbers(c) -> Column:
-    return F.regexp_extract_all(normalize_numbers(c), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+def numbers(c, words: dict[str, str] = NUMBERS) -> Column:
+    return F.regexp_extract_all(normalize_numbers(c, words), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from .functions.text import NUMBERS
-from .operators.entities import ALIASES, GAZETTEER
+from .operators.entities import ALIASES
+from .pairs import FILLER
+from .queries import FIXTURE_NAMES, FIXTURE_NUMBERS
 
 
 def tok(c: str) -> str:
     return f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
 
 
-def corrupt(c: str, drop: int = 7, swap: int = 11, double: int = 13) -> str:
-    return f"flatten(list_transform({c}, lambda w, i: case when (i - 1) % {drop} = 3 then [] when (i - 1) % {swap} = 5 then ['the'] when (i - 1) % {double} = 6 then [w, w] else [w] end))"
+def corrupt(c: str, drop: int | None = 7, swap: int | None = 11, double: int | None = None) -> str:
+    cases = [f"when (i - 1) % {n} = {k} then {x}" for n, k, x in ((drop, 3, "[]"), (swap, 5, f"['{FILLER}']"), (double, 6, "[w, w]")) if n]
+    return f"flatten(list_transform({c}, lambda w, i: case {' '.join(cases)} else [w] end))" if cases else c
 
 
-def spelt(c: str) -> str:
-    return f"array_to_string(list_transform({c}, lambda w: chr(64 + list_position(v, w)::int)), '')"
+def distance(r: str, h: str) -> str:
+    """Words that ``h`` has less than ``r``, or more, and its fillers: no alignment can do with fewer edits where words are only
+    left out or replaced by a word that ``r`` doesn't have, or only doubled."""
+    return f"(abs(len({r}) - len({h})) + len(list_filter({h}, lambda x: x = '{FILLER}')))"
 
 
-PAIRS = f"""p0 as (select doc_id, lang, source, {tok('text')}[1:30] as r from documents),
-p1 as (select *, ({corrupt('r')})[1:30] as h from p0),
-pairs as (select *, array_to_string(r, ' ') as ref, array_to_string(h, ' ') as hyp, list_distinct(list_concat(r, h)) as v from p1)"""
+PAIRS = f"""p0 as (select doc_id, lang, source, {tok('text')} as r from documents),
+p1 as (select *, {corrupt('r')} as h from p0),
+pairs as (select *, array_to_string(r, ' ') as ref, array_to_string(h, ' ') as hyp from p1)"""
 
 
 def rate(d: str, r: str = "r", h: str = "h") -> str:
     return f"case when len({r}) > 0 then {d}::double / len({r}) when len({h}) > 0 then 1.0 else 0.0 end"
 
 
-RATES = f"""{PAIRS}, rates as (select *, levenshtein({spelt('r')}, {spelt('h')}) as distance from pairs), rated as (select *, {rate('distance')} as wer from rates)"""
+RATES = f"""{PAIRS}, rates as (select *, {distance('r', 'h')} as distance from pairs), rated as (select *, {rate('distance')} as wer from rates)"""
 
 
 def in_map(m: dict[str, str], x: str) -> str:
@@ -36,7 +40,7 @@ def in_map(m: dict[str, str], x: str) -> str:
 
 
 def norm(c: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all({c}, '\\s+|[^\\s]+'), lambda w: coalesce({in_map(NUMBERS, 'lower(w)')}, w)), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '\\s+|[^\\s]+'), lambda w: coalesce({in_map(FIXTURE_NUMBERS, 'lower(w)')}, w)), '')"
 
 
 def nums(c: str) -> str:
@@ -73,7 +77,15 @@ def adjacent(w: str) -> str:
 
 
 def diff(a: str, b: str) -> str:
-    return f"coalesce(list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: (substring({a}, i::int, 1) <> substring({b}, i::int, 1))::int)), 0)"
+    """Pairs of unequal letters; the longer text's rest is paired with null."""
+    return f"coalesce(list_sum(list_transform(list_zip(string_split({a}, ''), string_split({b}, '')), lambda x: (x[1] <> x[2])::int)), 0)"
+
+
+def prepare(c: str) -> str:
+    t = norm(c)
+    for what, to in (("(?m)^[\\p{L}\\p{N}_]+:\\s*", ""), ("\\(\\p{Nd}+:\\p{Nd}+\\.?\\p{Nd}*-\\p{Nd}+:\\p{Nd}+\\.?\\p{Nd}*\\)", ""), ("\\s+", " "), ("^\\s+|\\s+$", "")):
+        t = f"regexp_replace({t}, '{what}', '{to}', 'g')"
+    return f"lower({t})"
 
 
 SYL = "greatest(len(regexp_extract_all(lower({c}), '[aeiou]+')) - (case when lower({c}) like '%e' then 1 else 0 end), 1)"
@@ -112,7 +124,7 @@ def ents(c: str, words: str) -> str:
     w = f"list_distinct({low(words)})"
     parts = []
     for cat in ("PERSON", "ORG", "LOCATION", "PRODUCT", "TICKER"):
-        own = [k for k, v in GAZETTEER.items() if v == cat]
+        own = [k for k, v in FIXTURE_NAMES.items() if v == cat]
         names = f"list_filter({w}, lambda x: list_contains([{', '.join(repr(x) for x in own)}]::varchar[], x))"
         if cat == "PERSON":
             names = f"list_distinct(list_concat({names}, regexp_extract_all({ascii_only(c)}, '{NOUN}')))"
@@ -123,7 +135,9 @@ def ents(c: str, words: str) -> str:
 ENTITY = f"""{PAIRS}, e0 as (select doc_id, unnest({ents('ref', 'r')}) as e, unnest({ents('hyp', 'h')}) as g from pairs),
 e1 as (select doc_id, e.category as category, len(e.names) as n_ref, len(list_filter(e.names, lambda x: list_contains(list_transform(g.names, lambda y: {canon('y')}), {canon('x')}))) as n_matched from e0)"""
 
-SCORED = f"""{RATES},
+PREPARED = f"""{PAIRS}, q0 as (select *, {tok(prepare('ref'))} as pr, {tok(prepare('hyp'))} as ph from pairs), rates as (select *, {distance('pr', 'ph')} as distance from q0), rated as (select *, {rate('distance', 'pr', 'ph')} as wer from rates)"""
+
+SCORED = f"""{PREPARED},
 e0 as (select doc_id, unnest({ents('ref', 'r')}) as e, unnest({ents('hyp', 'h')}) as g from pairs),
 e1 as (select doc_id, sum(len(e.names)) as n, sum(len(list_filter(e.names, lambda x: list_contains(list_transform(g.names, lambda y: {canon('y')}), {canon('x')})))) as m from e0 group by doc_id),
 {segs('sr', 'pairs', 'doc_id', 'ref')}, {segs('sh', 'pairs', 'doc_id', 'hyp')},
@@ -161,8 +175,35 @@ STATS = f"f as (select doc_id, len({tok('text')})::double as word_count, case wh
 def ladder() -> str:
     from .queries import LADDER
 
-    rows = ", ".join(f"{{'label': '{n}', 'quality_score': {q}, 'h': {'r' if k is None else f'({corrupt("r", *k)})[1:33]'}}}" for n, q, k in LADDER)
-    return f"with {PAIRS}, l as (select doc_id, r, unnest([{rows}]) as s from pairs), m as (select doc_id, r, s.label as label, s.quality_score as quality_score, s.h as h, list_distinct(list_concat(r, s.h)) as v from l) select doc_id, label, quality_score, array_to_string(h, ' ') as transcript, round({rate(f'levenshtein({spelt("r")}, {spelt("h")})')}, 6) as wer from m"
+    rows = ", ".join(f"{{'label': '{n}', 'quality_score': {q}, 'h': {corrupt('r', *k)}}}" for n, q, k in LADDER)
+    return f"with {PAIRS}, l as (select doc_id, r, unnest([{rows}]) as s from pairs), m as (select doc_id, r, s.label as label, s.quality_score as quality_score, s.h as h from l) select doc_id, label, quality_score, array_to_string(h, ' ') as transcript, round({rate(distance('r', 'h'))}, 6) as wer from m"
+
+
+#: With only words left out or replaced by a filler, an alignment of least cost hits all other words.
+ALIGNED = f"""{RATES}, hit as (select *, len(r) - distance as hits, len(r) as n, len(h) as m from rated),
+aligned as (select *, case when n > 0 then distance::double / n else 0.0 end as mer, case when n > 0 and m > 0 then 1 - (hits::double / n) * (hits::double / m) when n = 0 and m = 0 then 0.0 else 1.0 end as wil,
+ case when n > 0 then greatest(0.0, 1 - abs(m::double / n - 1)) else 0.0 end as length_penalty from hit)"""
+
+
+def some(c: str) -> str:
+    return f"round(coalesce({c}, 0.0)::double, 6)"
+
+
+def rerank_cols() -> str:
+    v = "(case when m > 0 then list_transform(h, lambda w: (length(w) % 10) / 10.0::double) else [0.8::double] end)"
+    k = f"len({v})::double"
+    cols = {
+        "wer_score": "wer", "mer_score": "mer", "wil_score": "wil", "wer_reward": "greatest(0.0, 1 - wer)", "mer_reward": "greatest(0.0, 1 - mer)", "wil_reward": "greatest(0.0, 1 - wil)",
+        "length_penalty": "length_penalty", "length_ratio": "m::double / greatest(n, 1)",
+        "mean_confidence": f"list_sum({v}) / {k}", "min_confidence": f"list_min({v})", "max_confidence": f"list_max({v})", "std_confidence": f"list_stddev_pop({v})",
+        "low_confidence_ratio": f"len(list_filter({v}, lambda x: x < 0.5)) / {k}", "high_confidence_ratio": f"len(list_filter({v}, lambda x: x > 0.8)) / {k}",
+        "semantic_similarity": JACCARD_CI, "token_overlap": "len(list_intersect(r, h))::double / greatest(len(list_distinct(r)), len(list_distinct(h)), 1)", "jaccard_similarity": jac("r", "h"),
+        "word_count": "m", "avg_word_length": "case when m > 0 then list_sum(list_transform(h, lambda x: length(x)))::double / m else 0.0 end",
+        "repetition_ratio": "len(list_filter(map_values(list_aggregate(h, 'histogram')), lambda x: x > 1))::double / greatest(m, 1)",
+        "char_diversity": "case when length(hyp) > 0 then len(list_distinct(string_split(hyp, '')))::double / length(hyp) else 0.0 end",
+        "punct_ratio": share("hyp", "[.,!?;:]"), "digit_ratio": share("hyp", "\\p{Nd}"), "special_ratio": share("hyp", "[^\\p{L}\\p{N}\\s]"),
+    }
+    return ", ".join(f"{some(c)} as {n}" for n, c in cols.items())
 
 
 def chunk_sql(items: str, size: int, step: int, more: str = "", name: str = "chunk") -> str:
@@ -173,8 +214,7 @@ SQL = {
     "token_stats": f"select doc_id, len({tok('text')}) as n_words, length(text) as n_chars, round(case when len({tok('text')}) > 0 then list_sum(list_transform({tok('text')}, lambda x: length(x)))::double / len({tok('text')}) else 0.0 end, 6) as avg_word_length from documents",
     "transcript_totals": f"select conv_id, count(*) as n_segments, sum(len({tok('text')}))::bigint as n_words, sum(length(text))::bigint as n_chars from conversations group by conv_id",
     "preview": "select doc_id, substring(text, 1, 500) as p500, substring(text, 1, 50) as p50 from documents",
-    "wer_preprocess": f"""with s as (select doc_id, {norm("'ss: ' || text || ' (0:01-0:02.5)' || chr(10) || 'ps: Un x'")} as t from documents)
-select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^[\\p{{L}}\\p{{N}}_]+:\\s*', '', 'g'), '\\(\\p{{Nd}}+:\\p{{Nd}}+\\.?\\p{{Nd}}*-\\p{{Nd}}+:\\p{{Nd}}+\\.?\\p{{Nd}}*\\)', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) as prepared from s""",
+    "wer_preprocess": f"select doc_id, {prepare("'ss: ' || text || ' (0:01-0:02.5)' || chr(10) || 'ps: Un x'")} as prepared from documents",
     "number_normalize": f"select doc_id, {norm('text')} as normalized, {norm('text')} <> text as changed from documents",
     "number_recall": f"with {PAIRS} select doc_id, len(list_distinct({nums('ref')})) as n_numbers, round({NUMBER_ACC}, 6) as number_accuracy from pairs",
     "adjacent_repetition": f"with d as (select doc_id, {tok('text')} as w from documents) select doc_id, round({adjacent('w')}, 6) as repetition from d",
@@ -204,8 +244,12 @@ select conv_id, turn, speaker, noun, noun_syllables, round(noun_start::double, 6
     "jaccard_ci": f"with {PAIRS} select doc_id, round({JACCARD_CI}, 6) as jaccard from pairs",
     "embedding_cosine": "with c as (select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select vec_id, round(c, 5) as cosine, round(greatest(0.0, c), 5) as floored from c",
     "positional_char_diff": f"with {PAIRS}, d as (select doc_id, ref, {diff('ref', 'hyp')} as chars_changed from pairs) select doc_id, chars_changed::int as chars_changed, round(case when length(ref) > 0 then chars_changed * 100.0::double / length(ref) else 0.0 end, 6) as change_percentage from d",
-    "quality_delta": f"""with {PAIRS}, q as (select *, list_filter(h, lambda w: w <> 'the') as c from pairs), z as (select *, array_to_string(c, ' ') as corrected, {rate(f"levenshtein({spelt('r')}, {spelt('h')})")} as wo, {rate(f"levenshtein({spelt('r')}, {spelt('c')})", 'r', 'c')} as wc from q), y as (select *, {diff('hyp', 'corrected')} as cc from z)
+    "quality_delta": f"""with {PAIRS}, q as (select *, list_filter(h, lambda w: w <> '{FILLER}') as c from pairs), z as (select *, array_to_string(c, ' ') as corrected, {rate(distance('r', 'h'))} as wo, {rate(distance('r', 'c'), 'r', 'c')} as wc from q), y as (select *, {diff('hyp', 'corrected')} as cc from z)
 select doc_id, length(hyp) as original_length, length(corrected) as corrected_length, cc::int as chars_changed, round(case when length(hyp) > 0 then cc * 100.0::double / length(hyp) else 0.0 end, 6) as change_percentage, round(wo, 6) as wer_original, round(wc, 6) as wer_corrected, round(wo - wc, 6) as improvement, round(case when wo > 0 then (wo - wc) * 100 / wo else 0.0 end, 6) as improvement_percentage from y""",
+    "wer_prepared": f"with {PREPARED} select doc_id, len(pr) as n_ref, len(ph) as n_hyp, distance, round(wer, 6) as wer from rated",
+    "mer_wil": f"with {ALIGNED} select doc_id, distance, hits, round(mer, 6) as mer, round(wil, 6) as wil from aligned",
+    "heuristic_quality": f"with {ALIGNED} select doc_id, round(greatest(0.0, 1 - wer) * 0.4 + greatest(0.0, 1 - mer) * 0.3 + greatest(0.0, 1 - wil) * 0.2 + length_penalty * 0.1, 6) as quality_score from aligned",
+    "rerank_features": f"with {ALIGNED} select doc_id, {rerank_cols()} from aligned",
     "speaker_segments": f"with {LABELLED}, {segs('s', 'lab', 'conv_id', 'ref')} select conv_id, pos::int as pos, speaker, text from s",
     "speaker_accuracy": f"with {LABELLED}, {segs('sr', 'lab', 'conv_id', 'ref')}, {segs('sh', 'lab', 'conv_id', 'hyp')}, a as (select sr.conv_id, avg((lower(sr.speaker) = lower(sh.speaker))::int) as x from sr join sh on sr.conv_id = sh.conv_id and sr.pos = sh.pos group by 1) select conv_id, round(coalesce(x, 0.0), 6) as speaker_accuracy from lab left join a using (conv_id)",
     "transcript_assembly": f"with {LABELLED}, {segs('s', 'lab', 'conv_id', 'ref')} select conv_id, string_agg(case when length(speaker) > 0 then speaker || ': ' || text else text end, chr(10) order by pos) as transcript from s group by conv_id",
@@ -227,7 +271,7 @@ select n.bucket, count(b.bucket) as n, round(count(b.bucket) * 100.0::double / (
     "rerank_topk": f"with {PAIRS}, s as (select doc_id, lang, source, round({JACCARD_CI}, 6) as score from pairs), k as (select *, row_number() over (partition by lang, source order by score desc, doc_id) as rank from s) select lang, source, rank, doc_id, score from k where rank <= 3",
     "binarize": f"with {PAIRS}, s as (select doc_id, round({JACCARD_CI}, 6) as score from pairs) select doc_id, (score >= 0.6)::int as prediction, (score >= 0.8)::int as label, score as confidence from s",
     "calibration_metrics": f"with {CAL} select round(accuracy, 5) as accuracy, round(precision, 5) as precision, round(recall, 5) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 5) as f1, round(ece, 5) as ece, round(brier, 5) as brier, round(nll, 5) as nll, round(wins / (p1 * p0), 5) as auroc, round(ap / p1, 5) as auprc from m",
-    "standard_scale": f"with {STATS}, s as (select avg(word_count) m1, stddev_pop(word_count) s1, avg(avg_word_length) m2, stddev_pop(avg_word_length) s2 from f) select doc_id, doc_id % 5 = 0 as held_out, round((word_count - m1) / s1, 5) as word_count, round((avg_word_length - m2) / s2, 5) as avg_word_length from f, s",
+    "standard_scale": f"with {STATS}, s as (select avg(word_count) m1, stddev_pop(word_count) s1, avg(avg_word_length) m2, stddev_pop(avg_word_length) s2 from f where doc_id % 5 <> 0) select doc_id, doc_id % 5 = 0 as held_out, round((word_count - m1) / s1, 5) as word_count, round((avg_word_length - m2) / s2, 5) as avg_word_length from f, s",
     "regression_metrics": f"with q as (select quality::double as y, 1 - least({SPECIAL} * 2, 1.0) as p from documents join labels using (doc_id)), s as (select count(*) n, sum((y - p) * (y - p)) sse, avg(abs(y - p)) mae, var_pop(y) v from q) select round(sse / n, 5) as mse, round(sqrt(sse / n), 5) as rmse, round(mae, 5) as mae, round(1 - sse / (n * v), 5) as r2 from s",
     "corruption_ladder": ladder(),
 }

@@ -29,4 +29,4 @@ def test_against_sql(spark, name):
 
 
 def test_rows_only_queries_are_few():
-    assert set(Q.queries()) - set(Q.oracle_sql()) == {"mer_wil", "heuristic_quality", "rerank_features", "rf_fit", "gbt_fit", "feature_importance"}
+    assert set(Q.queries()) - set(Q.oracle_sql()) == {"rf_fit", "gbt_fit", "feature_importance"}

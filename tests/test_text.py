@@ -87,7 +87,7 @@ def dp(a, b):
 @settings(max_examples=200, deadline=None)
 def test_alignment_distance(a, b):
     d, h = edit.align(a, b)
-    assert d == dp(a, b) and 0 <= h <= min(len(a), len(b)) and edit.align(a, a) == (0, len(a))
+    assert d == dp(a, b) == edit.levenshtein(a, b) and 0 <= h <= min(len(a), len(b)) and edit.align(a, a) == (0, len(a))
 
 
 def test_word_distance_column(spark):
@@ -96,6 +96,16 @@ def test_word_distance_column(spark):
     assert [r.d for r in out] == [dp(a, b) for a, b in rows]
 
 
+def test_distance_of_long_texts_with_many_words(spark):
+    import random
+
+    rng = random.Random(5)
+    a = [f"w{rng.randrange(40000)}" for _ in range(700)] + [f"u{k}" for k in range(40000)]
+    b = [w for i, w in enumerate(a) if i % 9 != 4] + ["x"]
+    d = spark.createDataFrame([(a, b), (a[:700], b[:600])], "r array<string>, h array<string>").select(edit.word_distance(F.col("r"), F.col("h")).alias("d")).collect()
+    assert [r.d for r in d] == [len(a) - len(b) + 2, dp(a[:700], b[:600])]
+
+
 def test_smoke_pair(spark):
     d = spark.createDataFrame([("buy HDFC", "buy HSBC")], "r string, h string").select(T.tokens("r").alias("r"), T.tokens("h").alias("h"), F.col("r").alias("rt"), F.col("h").alias("ht"))
     x = d.select(edit.error_rate(edit.word_distance(F.col("r"), F.col("h")), F.size("r"), F.size("h")).alias("wer"), M.jaccard_folded(F.col("r"), F.col("h")).alias("j"), M.number_accuracy(F.col("rt"), F.col("ht")).alias("n"), T.adjacent_repetition("h").alias("rep")).first()
