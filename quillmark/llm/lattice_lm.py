@@ -78,6 +78,16 @@ class Vocabulary:
         order = np.argsort(codes)
         self.codes, self.index = codes[order], order.astype(np.int64)
         self.n = len(keys)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_short(self.codes)] = True
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``h``, piece) of the hashes that are pieces'; most others fail at the first look."""
+        at = np.flatnonzero(self.maybe[_short(h)])
+        k = np.searchsorted(self.codes, h[at])
+        k[k == self.n] = 0
+        hit = self.codes[k] == h[at]
+        return at[hit], self.index[k[hit]]
 
     @classmethod
     def of(cls, path: str) -> "Vocabulary":
@@ -98,6 +108,10 @@ class Vocabulary:
 _PIECE_BASE = 0x100000001B3 | 1
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+
 def piece_hash(body: str, first: bool) -> np.uint64:
     h = 0x9E3779B9 if first else 0x7F4A7C15
     for ch in body:
@@ -121,11 +135,9 @@ def lattice(batch: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
         fits = place[live] + n <= size[word[live]]
         live, h = live[fits], h[fits]
         h = h * np.uint64(_PIECE_BASE) + raw[live + n - 1].astype(np.uint64) + np.uint64(1)
-        k = np.searchsorted(vocab.codes, h)
-        k[k == vocab.n] = 0
-        hit = vocab.codes[k] == h
+        hit, piece = vocab.lookup(h)
         at = live[hit]
-        out.append((word[at], place[at], place[at] + n, vocab.index[k[hit]]))
+        out.append((word[at], place[at], place[at] + n, piece))
     if not out:
         out = [tuple(np.zeros(0, np.int64) for _ in range(4))]
     return *(np.concatenate(x) for x in zip(*out, strict=True)), size, code
@@ -133,7 +145,7 @@ def lattice(batch: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
 
 def sorted_lattice(batch: list[str], vocab: Vocabulary):
     word, a, z, piece, size, code = lattice(batch, vocab)
-    order = np.lexsort((a, z))
+    order = np.argsort(z.astype(np.uint16) if code.shape[1] < 1 << 16 else z, kind="stable")
     return word[order], a[order], z[order], piece[order], size, code
 
 
