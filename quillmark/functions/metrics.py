@@ -44,8 +44,9 @@ def judged_number(reply: Column) -> Column:
 
 def similarity(ref: Column, hyp: Column, judged: Column | None = None, encoded: Column | None = None) -> Column:
     """The first backend that has a value: a judge's number clipped to 0..1, an encoder's cosine floored at 0, Jaccard."""
-    found = [F.least(F.greatest(judged, F.lit(0.0)), F.lit(1.0))] if judged is not None else []
-    found += [F.greatest(encoded, F.lit(0.0))] if encoded is not None else []
+    # greatest and least pass over nulls, and a missing number is no 0
+    found = [F.when(judged.isNotNull(), F.least(F.greatest(judged, F.lit(0.0)), F.lit(1.0)))] if judged is not None else []
+    found += [F.when(encoded.isNotNull(), F.greatest(encoded, F.lit(0.0)))] if encoded is not None else []
     return F.coalesce(*found, jaccard_folded(ref, hyp))
 
 

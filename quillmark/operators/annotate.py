@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..ship import ship
+
 
 class LocalRules:
     """A column expression per text; nothing leaves the cluster."""
@@ -33,25 +36,49 @@ class Precomputed:
         return texts.join(self.results.select(F.col("text").alias(text), "annotation").dropDuplicates([text]), text, "left")
 
 
+def in_time(call: Callable[[str], str], x: str, timeout: float | None) -> str:
+    """The call's result; TimeoutError if it takes longer (its thread is left behind)."""
+    if timeout is None:
+        return call(x)
+    out: list = []
+
+    def run() -> None:
+        try:
+            out.append((True, call(x)))
+        except Exception as e:  # handed to the caller's thread
+            out.append((False, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(timeout)
+    if not out:
+        raise TimeoutError(f"no reply in {timeout} s")
+    if not out[0][0]:
+        raise out[0][1]
+    return out[0][1]
+
+
 class Remote:
-    """A user's function of one text, called in Arrow batches: ``tries`` with back-off after exceptions, '' when they are used up.
+    """A user's function of one text, called in Arrow batches: ``tries`` of ``timeout`` seconds with back-off after exceptions, ''
+    when they are used up.
 
     ``calls_per_minute`` is for the whole job: it is shared out evenly over ``partitions``.
     """
 
     name = "remote"
 
-    def __init__(self, call: Callable[[str], str], tries: int = 3, back_off: float = 1.0, calls_per_minute: float | None = None, partitions: int = 1):
-        self.call, self.tries, self.back_off, self.partitions = call, tries, back_off, partitions
+    def __init__(self, call: Callable[[str], str], tries: int = 3, back_off: float = 1.0, calls_per_minute: float | None = None, partitions: int = 1, timeout: float | None = 30.0):
+        self.call, self.tries, self.back_off, self.partitions, self.timeout = call, tries, back_off, partitions, timeout
         self.gap = 60.0 * partitions / calls_per_minute if calls_per_minute else 0.0
 
     def run(self, texts: DataFrame, text: str) -> DataFrame:
-        call, tries, back_off, gap = self.call, self.tries, self.back_off, self.gap
+        call, tries, back_off, gap, timeout = self.call, self.tries, self.back_off, self.gap, self.timeout
+        ship(texts.sparkSession)
 
         def one(x: str | None) -> str:
             for k in range(tries):
                 try:
-                    got = call(x)
+                    got = in_time(call, x, timeout)
                     if got:
                         return got
                 except Exception:  # whatever a user's client raises counts as a failed try
@@ -77,5 +104,8 @@ def annotate(df: DataFrame, text: str, backend, out: str = "annotation") -> Data
     """``df`` with the backend's result for its text and the backend's name; a null text has a null result."""
     if isinstance(backend, LocalRules):  # an expression needs no join
         return df.withColumn(out, backend.rule(F.col(text))).withColumn("backend", F.lit(backend.name))
-    found = backend.run(df.select(text).where(F.col(text).isNotNull()).distinct(), text).withColumnRenamed("annotation", out)
-    return df.join(found, text, "left").withColumn("backend", F.lit(backend.name))
+    found = backend.run(df.select(text).where(F.col(text).isNotNull()).distinct(), text)
+    # hashes are the join's key, so that no text is sorted; texts themselves decide
+    found = found.select(F.xxhash64(text).alias("annotated_key"), F.col(text).alias("annotated_text"), F.col("annotation").alias(out))
+    same = (F.xxhash64(df[text]) == found["annotated_key"]) & (df[text] == found["annotated_text"])
+    return df.join(found, same, "left").drop("annotated_key", "annotated_text").withColumn("backend", F.lit(backend.name))

@@ -227,9 +227,10 @@ select doc_id, pos, noun as full_name, array_to_string({tok('noun')}[1:2], ' ')
     "compound_nouns": f"""with d as (select doc_id, regexp_extract_all({ascii_only('text')}, '{NOUN}') as l, string_split(regexp_replace({ascii_only('text')}, '{NOUN}', chr(1), 'g'), chr(1)) as gaps from documents), n as (select doc_id, l, gaps, unnest(range(0, len(l))) as pos, unnest(l) as noun from d),
 s as (select *, {total('list_transform(gaps[1 : pos + 1], lambda x: length(x))')} + {total('list_transform(l[1 : pos], lambda x: length(x))')} as start_pos from n)
 select doc_id, pos, noun, start_pos::int as start_pos, (start_pos + length(noun))::int as end_pos, {SYL.format(c='noun')} as syllables from s""",
-    "noun_timing": f"""with {TURNS}, d as (select *, regexp_extract_all({ascii_only('transcript')}, '{NOUN}') as l, string_split(regexp_replace({ascii_only('transcript')}, '{NOUN}', chr(1), 'g'), chr(1)) as gaps from turns), n as (select *, unnest(range(0, len(l))) as pos, unnest(l) as noun from d),
+    "noun_timing": f"""with t as (select doc_id, text as transcript, 1.0::double as start_ts, 1 + len({tok('text')}) * 0.4::double as end_ts from documents),
+d as (select *, regexp_extract_all({ascii_only('transcript')}, '{NOUN}') as l, string_split(regexp_replace({ascii_only('transcript')}, '{NOUN}', chr(1), 'g'), chr(1)) as gaps from t), n as (select *, unnest(range(0, len(l))) as pos, unnest(l) as noun from d),
 s as (select *, {SYL.format(c='noun')} as noun_syllables, start_ts + ({total('list_transform(gaps[1 : pos + 1], lambda x: length(x))')} + {total('list_transform(l[1 : pos], lambda x: length(x))')})::double / length(transcript) * (end_ts - start_ts) as noun_start from n)
-select conv_id, turn, speaker, noun, noun_syllables, round(noun_start::double, 6) as noun_start, round((noun_start + noun_syllables::double / {SYL.format(c='transcript')} * (end_ts - start_ts))::double, 6) as noun_end from s""",
+select doc_id, noun, noun_syllables, round(noun_start::double, 6) as noun_start, round((noun_start + noun_syllables::double / {SYL.format(c='transcript')} * (end_ts - start_ts))::double, 6) as noun_end from s""",
     "noun_repair": f"with d as (select doc_id, text, regexp_extract_all({ascii_only('text')}, '{NOUN}') as l from documents) select doc_id, list_reduce(list_concat([text], l[1:10]), lambda a, n: case when instr(a, n) > 0 then substring(a, 1, instr(a, n) - 1) || upper(n) || substring(a, instr(a, n) + length(n)) else a end) as repaired from d",
     "sentence_fragments": f"with d as (select doc_id, {FRAGMENTS} as l from documents) select doc_id, unnest(range(0, len(l)))::int as pos, unnest(l) as fragment from d",
     "fragment_chunks": chunk_sql(FRAGMENTS, 10, 10),

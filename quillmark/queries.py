@@ -84,8 +84,9 @@ def noun_variants(spark, sf_dir):
 
 
 def noun_timing(spark, sf_dir):
-    d = S.noun_times(timed_turns(spark, sf_dir))
-    return d.select("conv_id", "turn", "speaker", "noun", "noun_syllables", _r(F.col("noun_start")).alias("noun_start"), _r(F.col("noun_end")).alias("noun_end"))
+    """Documents as segments that start at 1 s and last 0.4 s a word."""
+    d = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("transcript"), F.lit(1.0).alias("start_ts"), (1 + F.size(T.tokens("text")) * 0.4).alias("end_ts"))
+    return S.noun_times(d).select("doc_id", "noun", "noun_syllables", _r(F.col("noun_start")).alias("noun_start"), _r(F.col("noun_end")).alias("noun_end"))
 
 
 def noun_repair(spark, sf_dir):
@@ -401,11 +402,13 @@ def feature_importance(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    hidden = {"labelled_transcripts", "table", "text_pairs", "timed_turns"}
-    return {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and getattr(f, "__module__", "") == __name__ and k not in hidden | {"queries", "oracle_sql"}}
+    from . import flows
+
+    own = {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k not in ("queries", "oracle_sql") and getattr(f, "__module__", "") == __name__}
+    return own | flows.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import SQL
+    from . import oracles, oracles_flows
 
-    return dict(SQL)
+    return oracles.SQL | oracles_flows.SQL

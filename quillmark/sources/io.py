@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.json import stt_segments
-from ..functions.text import strip
+from ..functions.metrics import grade
+from ..functions.text import strip, tokens
+from ..functions.edit import error_rate, word_distance
+from ..ship import ship
 
 GROUND_TRUTH = "audio_path string, reference_text string, original_audio string, is_augmented boolean"
 LADDER = "transcript string, quality_score int, wer double, label string"
@@ -13,7 +19,7 @@ CALIBRATION = "predictions array<int>, labels array<int>, confidences array<doub
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of items; absent lineage means an original."""
+    """JSON arrays of items, one a file; absent lineage means an original."""
     df = spark.read.schema(GROUND_TRUTH).option("multiLine", True).json(path)
     return df.withColumn("is_augmented", F.coalesce("is_augmented", F.lit(False))).withColumn("original_audio", F.coalesce("original_audio", "audio_path"))
 
@@ -23,16 +29,16 @@ def ladder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stt_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """file, pos, start_ts, end_ts, transcript, speaker of every ``*.json`` reply of a folder, in order of file and place."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).withColumn("file", F.input_file_name())
+    """file, pos, start_ts, end_ts, transcript, speaker of every ``*.json`` reply of a folder (and of those in it)."""
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder, wholetext=True).withColumn("file", F.input_file_name())
     rows = files.select("file", F.posexplode(stt_segments(F.col("value"))).alias("pos", "s"))
     return rows.select("file", "pos", "s.*")
 
 
 def stt_with_reference(spark: SparkSession, stt: str, reference: str) -> DataFrame:
     """The reply's transcript beside the whole reference text (one row each)."""
-    reply = spark.read.option("wholetext", True).text(stt).select(F.get_json_object("value", "$.transcript").alias("transcript"), F.col("value").alias("transcript_data"))
-    ref = spark.read.option("wholetext", True).text(reference).select(strip(F.col("value")).alias("reference"))
+    reply = spark.read.text(stt, wholetext=True).select(F.get_json_object("value", "$.transcript").alias("transcript"), F.col("value").alias("transcript_data"))
+    ref = spark.read.text(reference, wholetext=True).select(strip(F.col("value")).alias("reference"))
     return reply.join(F.broadcast(ref), F.lit(True))  # one row
 
 
@@ -45,17 +51,49 @@ def audio_files(spark: SparkSession, samples: DataFrame, folder: str, extensions
     return samples.join(best, "sample_id", "left")
 
 
-def calibration_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """prediction, label, confidence rows of a payload of three parallel arrays."""
-    rows = spark.read.schema(CALIBRATION).option("multiLine", True).json(path).select(F.explode(F.arrays_zip("predictions", "labels", "confidences")).alias("x"))
+def training_samples(samples: DataFrame) -> DataFrame:
+    """With quality_score: the grade of the error rate of ``transcript`` against ``reference``; 3 where either is missing."""
+    ref, hyp = tokens("reference"), tokens("transcript")
+    rate = F.when(F.col("reference").isNotNull() & F.col("transcript").isNotNull(), error_rate(word_distance(ref, hyp), F.size(ref), F.size(hyp)))
+    return samples.withColumn("quality_score", grade(rate))
+
+
+def calibration_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """prediction, label, confidence rows of payloads of three parallel arrays: one a file, or one a line."""
+    rows = spark.read.schema(CALIBRATION).option("multiLine", not lines).json(path).select(F.explode(F.arrays_zip("predictions", "labels", "confidences")).alias("x"))
     return rows.select(F.col("x.predictions").alias("prediction"), F.col("x.labels").alias("label"), F.col("x.confidences").alias("confidence"))
 
 
+def write_calibration(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """Payloads of three parallel arrays from prediction, label and confidence, a line for each ``rows`` rows at most."""
+    numbered = df.select("prediction", "label", "confidence", F.monotonically_increasing_id().alias("id")).withColumn("part", F.expr(f"id div {rows}"))
+    all_of = F.array_sort(F.collect_list(F.struct("id", "prediction", "label", "confidence")))  # ``rows`` at most
+    out = numbered.groupBy("part").agg(all_of.alias("x"))
+    out.select(F.col("x.prediction").alias("predictions"), F.col("x.label").alias("labels"), F.col("x.confidence").alias("confidences")).write.mode("overwrite").json(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """JSON lines, in as many files as partitions."""
     df.write.mode("overwrite").json(path)
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """Each file one JSON array with an item per row; characters are written as they are. Rows are streamed, not gathered."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            items = []
+            for x in b.column(0).to_pylist():
+                items.append(lead + x)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*(f"`{c}`" for c in df.columns))).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_text(df: DataFrame, column: str, path: str) -> None:
     """One text file of the non-empty texts (saved stage outputs are a text each)."""
     df.select(column).where(F.length(column) > 0).coalesce(1).write.mode("overwrite").text(path)

@@ -82,6 +82,14 @@ def test_annotators(spark):
 
     got = A.annotate(d, "t", A.Remote(call, back_off=0.0)).collect()
     assert sorted((r.t or "", r.annotation or "") for r in got) == [("", ""), ("x", "x!"), ("x", "x!"), ("y", "")]
+    def slow(x):
+        import time
+
+        time.sleep(5 if x == "x" else 0)
+        return x
+
+    got = A.annotate(d, "t", A.Remote(slow, tries=1, timeout=0.5)).collect()
+    assert sorted((r.t or "", r.annotation or "") for r in got) == [("", ""), ("x", ""), ("x", ""), ("y", "y")]
     ready = spark.createDataFrame([("x", "1")], "text string, annotation string")
     assert {r.annotation for r in A.annotate(d, "t", A.Precomputed(ready)).collect()} == {"1", None}
 
@@ -95,21 +103,109 @@ def test_repair_passes_failed_chunks(spark):
     assert P.translate(d, "k", "t", A.LocalRules(F.lower)).where("k = 1").first().translated == text
 
 
-def test_audio(spark, tmp_path):
-    x = np.sin(np.arange(16000) / 20) * 0.5
+def tone(hz, seconds=1.0, rate=16000, level=0.5):
+    return level * np.sin(2 * np.pi * hz * np.arange(int(seconds * rate)) / rate)
+
+
+def loudest(x, rate=16000):
+    return np.argmax(np.abs(np.fft.rfft(x * np.hanning(len(x))))) * rate / len(x)
+
+
+def test_augmentation():
+    x, rng = tone(440), np.random.default_rng(0)
     assert np.abs(audio.decode_wav(audio.encode_wav(x))[0] - x).max() < 1e-3
-    rng = np.random.default_rng(0)
     mixed = audio.background_noise(x, np.ones(10) * 0.1, 20, rng) - x
     assert 10 * np.log10((x**2).mean() / (mixed**2).mean()) == pytest.approx(20)
     assert (audio.augment(x, audio.Augmentation()) == audio.augment(x, audio.Augmentation())).all()
     assert np.abs(audio.reverb(x, rng)).max() == pytest.approx(1) and not audio.reverb(np.zeros(10), rng).any()
-    assert len(audio.pitch_shift(x, 2)) == pytest.approx(len(x), abs=2)
+    # a stretch keeps the pitch, a shift keeps the length
+    for steps in (12, 3, -5):
+        y = audio.pitch_shift(x, steps)
+        assert len(y) == len(x) and loudest(y) == pytest.approx(440 * 2 ** (steps / 12), rel=0.01)
+    for rate in (0.8, 1.25):
+        y = audio.time_stretch(x, rate)
+        assert len(y) == round(len(x) / rate) and loudest(y) == pytest.approx(440, rel=0.01)
+    assert len(audio.pitch_shift(np.zeros(0), 2)) == len(audio.time_stretch(np.zeros(0), 2)) == 0
+    only = audio.Augmentation(kind="volume", volume=0.5, white_noise=True)
+    assert np.allclose(audio.augment(x, only), x * 0.5)
+    assert np.abs(audio.augment(x * 9, audio.Augmentation(kind="volume"))).max() == 1
+
+
+def test_resampling():
+    x = tone(440, rate=8000)
+    y = audio.resample(x, 8000, 16000)
+    assert len(y) == 16000 and loudest(y) == 440 and np.abs(audio.resample(y, 16000, 8000) - x).max() < 1e-9
+    # what the lower rate can't hold is gone
+    assert np.abs(audio.resample(tone(6000), 16000, 8000)).max() < 1e-6
+    assert loudest(audio.load(audio.encode_wav(x, 8000))) == 440
+
+
+def test_wav_widths():
+    import io as bytes_io
+    import wave
+
+    for width, raw in ((1, bytes([128, 255, 0])), (2, np.array([0, 32767, -32768], "<i2").tobytes()), (3, b"\0\0\0\xff\xff\x7f\0\0\x80"), (4, np.array([0, 2**31 - 1, -(2**31)], "<i4").tobytes())):
+        out = bytes_io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            w.writeframes(raw)
+        x, rate = audio.decode_wav(out.getvalue())
+        assert rate == 8000 and x == pytest.approx([0, 1, -1], abs=0.01)
+
+
+def test_features_of_known_sounds():
+    s = audio.clip_stats(tone(220))
+    assert s["f0_mean"] == pytest.approx(220, rel=0.01) and s["f0_std"] < 2 and s["voiced_ratio"] > 0.9 and s["pause_ratio"] == 0 and s["energy_mean"] == pytest.approx(0.35, abs=0.02)
+    assert s["spectral_centroid_mean"] == pytest.approx(220, rel=0.1) and s["zero_crossing_rate_mean"] == pytest.approx(440 / 16000, rel=0.05)
+    rising = np.sin(np.cumsum(2 * np.pi * np.linspace(150, 300, 32000) / 16000)) * 0.5
+    r = audio.clip_stats(rising)
+    assert r["f0_slope"] > 1 and r["f0_range"] == pytest.approx(150, abs=25) and r["f0_median"] == pytest.approx(225, abs=10)
+    beats = np.zeros(16000 * 5)
+    for k in range(10):  # two a second
+        beats[k * 8000 : k * 8000 + 1500] = tone(300, 1500 / 16000) * np.exp(-np.arange(1500) / 300)
+    b = audio.clip_stats(beats)
+    assert b["tempo"] == pytest.approx(120, rel=0.06) and b["speaking_rate"] == pytest.approx(2, abs=0.5) and b["rhythm_regularity"] > 0.8 and b["pause_ratio"] > 0.3
+    assert set(s) == set(audio.PROSODY) | set(audio.FLUENCY) and len(s) == 22
+    assert not any(audio.clip_stats(np.zeros(0)).values()) and not any(audio.clip_stats(np.zeros(9000))[k] for k in audio.PROSODY)
+    noise = audio.clip_stats(np.random.default_rng(1).standard_normal(16000) * 0.1)
+    assert noise["voiced_ratio"] < 0.1 and noise["zero_crossing_rate_mean"] in (0.0, pytest.approx(0.5, abs=0.05))
+
+
+def test_audio(spark, tmp_path):
     (tmp_path / "sample_1.wav").write_bytes(audio.encode_wav(np.zeros(8000)))
     (tmp_path / "sample_2.wav").write_bytes(b"bad")
-    got = {r.path[-5]: r.pause_ratio for r in audio.clip_features(spark, str(tmp_path)).collect()}
-    assert got == {"1": 1.0, "2": 0.0}
+    (tmp_path / "sample_3.wav").write_bytes(audio.encode_wav(tone(440, rate=8000), 8000))
+    got = {r.path[-5]: r.f0_mean for r in audio.clip_features(spark, str(tmp_path)).collect()}
+    assert got == {"1": 0.0, "2": 0.0, "3": pytest.approx(440, rel=0.01)}
     ids = spark.createDataFrame([(1,), (9,)], "sample_id long")
     assert {r.sample_id: bool(r.audio_path) for r in io.audio_files(spark, ids, str(tmp_path)).collect()} == {1: True, 9: False}
+    made = audio.augmented(audio.wav_files(spark, str(tmp_path)), 7)
+    rows = made.collect()
+    assert len(rows) == 14 and {r.variant for r in rows} == set(range(7)) and all(audio.decode_wav(r.content)[1] in (8000, 16000) for r in rows)
+    assert {(r.name, r.content) for r in rows} == {(r.name, r.content) for r in made.collect()}
+    files = audio.write_clips(made, f"file://{tmp_path}/out").collect()
+    assert sorted(f.path.split("/")[-1] for f in files) == sorted(r.name for r in rows) == sorted(p.name for p in (tmp_path / "out").iterdir())
+
+
+def test_stt(spark):
+    from quillmark.operators import stt
+
+    clips = spark.createDataFrame([("a.wav",), ("b.wav",), ("c.wav",)], "audio_path string")
+    table = spark.createDataFrame([("a.wav", '{"transcript":"x"}', "hi"), ("a.wav", '{"transcript":"y"}', "en"), ("b.wav", '{"segments":[{"text":"p"},{"text":"q"}]}', "hi")], "audio_path string, reply string, language string")
+    got = stt.transcribe_batch(clips, stt.PrecomputedReplies(table)).orderBy("audio_path", "pos").collect()
+    assert [(r.audio_path, r.transcript) for r in got] == [("a.wav", "x"), ("b.wav", "p"), ("b.wav", "q")]
+
+    def call(path, language):
+        if path == "b.wav":
+            raise RuntimeError
+        return f'{{"transcript":"{path} {language}"}}'
+
+    got = {r.audio_path: (r.reply, r.backend) for r in stt.transcribe(clips, stt.RemoteReplies(call), "en").collect()}
+    assert got == {"a.wav": ('{"transcript":"a.wav en"}', "remote"), "b.wav": (None, "remote"), "c.wav": ('{"transcript":"c.wav en"}', "remote")}
+    cut = spark.createDataFrame([("a", audio.encode_wav(tone(440)), 0.25, 0.5), ("b", b"bad", 0.0, 1.0)], "audio_path string, content binary, start_ts double, end_ts double")
+    assert {r.audio_path: r.content and len(audio.decode_wav(bytes(r.content))[0]) for r in stt.slices(cut).collect()} == {"a": 4000, "b": None}
 
 
 def test_sources(spark, tmp_path):
@@ -120,6 +216,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "out" / "1.json").write_text('{"segments":[{"text":"a"},{"text":"b"}]}')
     (tmp_path / "out" / "x.txt").write_text("no")
     assert [s.transcript for s in io.stt_outputs(spark, str(tmp_path / "out")).orderBy("file", "pos").collect()] == ["a", "b"]
+    (tmp_path / "out" / "2.json").write_text('{\n "transcript": "over\\nlines"\n}')
+    (tmp_path / "ref.txt").write_text(" over\nlines \n")
+    r = io.training_samples(io.stt_with_reference(spark, str(tmp_path / "out" / "2.json"), str(tmp_path / "ref.txt"))).collect()
+    assert [(x.transcript, x.reference, x.quality_score) for x in r] == [("over\nlines", "over\nlines", 5)]
+    io.write_array(spark.createDataFrame([(i, "é\n\"") for i in range(5)], "i int, t string").repartition(2), str(tmp_path / "array"))
+    assert sorted(x["i"] for f in (tmp_path / "array").glob("part-*") for x in json.loads(f.read_text())) == [0, 1, 2, 3, 4]
+    rows = spark.createDataFrame([(k % 2, 1, k / 10) for k in range(7)], "prediction int, label int, confidence double")
+    io.write_calibration(rows, str(tmp_path / "cal"), rows=2)
+    assert sorted(map(tuple, io.calibration_pairs(spark, str(tmp_path / "cal"), lines=True).collect())) == sorted(map(tuple, rows.collect()))
     (tmp_path / "c.json").write_text(json.dumps({"predictions": [1, 0], "labels": [1, 1], "confidences": [0.9, 0.2]}))
     assert io.calibration_pairs(spark, str(tmp_path / "c.json")).count() == 2
     io.write_results(io.ladder(spark, str(tmp_path / "g.json")), str(tmp_path / "w"))

@@ -29,4 +29,17 @@ def test_against_sql(spark, name):
 
 
 def test_rows_only_queries_are_few():
-    assert set(Q.queries()) - set(Q.oracle_sql()) == {"rf_fit", "gbt_fit", "feature_importance"}
+    assert set(Q.queries()) - set(Q.oracle_sql()) == {"rf_fit", "gbt_fit", "feature_importance", "audio_features", "features36", "cross_validation", "model_artefact", "rerank_model"}
+
+
+def test_rows_only_queries(spark):
+    q = Q.queries()
+    heard = q["features36"](spark, SF).collect()
+    assert len(heard[0]) == 37 and any(r.f0_mean > 0 for r in heard) and any(not any(r[1:]) for r in heard)
+    assert q["audio_features"](spark, SF).where("f0_mean > 100").count() > 0
+    ranks = q["rerank_model"](spark, SF).collect()
+    best = {}
+    for r in sorted(ranks, key=lambda r: (r.lang, r.source or "", r["rank"])):
+        assert best.setdefault((r.lang, r.source), r.predicted_score) >= r.predicted_score and r["rank"] <= 3
+        best[r.lang, r.source] = r.predicted_score
+    assert q["cross_validation"](spark, SF).first().mse > 0 and q["model_artefact"](spark, SF).count() > 0
