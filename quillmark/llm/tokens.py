@@ -2,7 +2,7 @@
 
 A part of a table is three flat files: ``.ids`` (little-endian unsigned 16- or 32-bit ids, by the vocabulary's size),
 ``.off`` (64-bit offsets of its documents in the whole table's id stream, one more than documents) and ``.doc`` (64-bit
-document ids). Partition bases are prefix sums over the parts' counts. Readers map the files into memory.
+document ids, beside ``.null``: a byte per document, 1 where the id is null). Partition bases are prefix sums over the parts' counts. Readers map the files into memory.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ _WORDS = re.compile(f"[^{_WS}]+")
 
 #: Distinct segments kept by a worker; more are encoded each time they come. Longer ones are not kept.
 CACHE_SEGMENTS, CACHE_CHARS = 700_000, 40
+#: Bytes of text that one part holds, about, where the session's number of partitions would give more.
+PART_BYTES = 256 << 20
 #: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
 _LATIN = "ß-öø-ÿ"
 _RARE = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
@@ -162,15 +164,20 @@ def crc_u32(ids: bytes, dtype: np.dtype) -> int:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> list[dict]:
     """Write ``docs`` in ascending order of id below ``path`` (a folder that executors and driver share); the parts, in order.
 
-    Null text is an empty document (its end id alone); rows without an id come first, as id -1 with offset only; repeated
-    ids keep a row each, ordered by text; an empty table gives no parts. A part's files appear by one rename each, so a
-    task that is run again replaces them with the same bytes.
+    Null text is an empty document (its end id alone); rows without an id come first; repeated ids keep a row each, ordered by
+    a hash of the text; texts are read whole, however long; extra columns are ignored, whatever their names; an empty table
+    gives no parts. A part has about ``PART_BYTES`` of text at most. A part's files appear by one rename each, so a task that is
+    run again replaces them with the same bytes.
     """
     spark = docs.sparkSession
+    common.ship(spark)
     folder = common.local_path(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)
+    # ranges are sampled from ids and hashes: no text goes to the driver
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         end = np.array([end_id], enc.dtype).tobytes()
         os.makedirs(folder, exist_ok=True)
         name, tries = f"{folder}/part-{part:06d}", uuid.uuid4().hex
-        counts, ids, first = [], [], None
+        counts, ids, none = [], [], []
         with open(f"{name}.ids.{tries}", "wb") as f:
             for b in batches:
                 texts, at = b.column(1), 0
@@ -190,13 +197,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                         f.write(end)
                         counts.append(len(x) // enc.dtype.itemsize + 1)
                     at += 256
-                ids += [-1 if d is None else d for d in b.column(0).to_pylist()]
+                ids.append(b.column(0).fill_null(0).to_numpy())
+                none.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
         if not counts:
             os.remove(f"{name}.ids.{tries}")
             return
         np.array(counts, "<i8").tofile(f"{name}.n.{tries}")
-        np.array(ids, "<i8").tofile(f"{name}.doc.{tries}")
-        for kind in ("ids", "n", "doc"):
+        np.concatenate(ids).astype("<i8").tofile(f"{name}.doc.{tries}")
+        np.concatenate(none).astype("u1").tofile(f"{name}.null.{tries}")
+        for kind in ("ids", "n", "doc", "null"):
             os.replace(f"{name}.{kind}.{tries}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([len(counts)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int64())})
 
@@ -221,7 +230,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
 
 def read_tokens(spark: SparkSession, path: str, made: list[dict]) -> DataFrame:
-    """One row per document of the files: doc_id (null for -1), start, n_tokens, ids_crc32."""
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
+    common.ship(spark)
     folder = common.local_path(path)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not made:
@@ -233,12 +243,12 @@ def read_tokens(spark: SparkSession, path: str, made: list[dict]) -> DataFrame:
                 name, dtype = f"{folder}/part-{part:06d}", np.dtype(f"<u{width}")
                 off = np.memmap(f"{name}.off", "<i8", "r")
                 ids = np.memmap(f"{name}.ids", dtype, "r")
-                docs = np.fromfile(f"{name}.doc", "<i8")
+                docs, none = np.fromfile(f"{name}.doc", "<i8"), np.fromfile(f"{name}.null", "u1")
                 local = np.asarray(off) - base
                 crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(local[:-1].tolist(), local[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(docs, mask=docs == -1),
+                        "doc_id": pa.array(docs, mask=none == 1),
                         "start": pa.array(np.asarray(off[:-1])),
                         "n_tokens": pa.array(np.diff(local)),
                         "ids_crc32": pa.array(crc, pa.int64()),

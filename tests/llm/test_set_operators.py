@@ -166,6 +166,14 @@ def test_token_files(spark, docs, rows, none):
     assert T.read_tokens(spark, path, T.write_tokens(none, common.new_path(spark, "t"), BYTE, 2)).count() == 0
 
 
+def test_token_files_of_odd_ids(spark):
+    rows = [(-1, "a"), (None, "b"), (-1, "c"), (0, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    path = common.new_path(spark, "t")
+    got = T.read_tokens(spark, path, T.write_tokens(d, path, BYTE, 2)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -1, -1, 0] and sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 2]
+
+
 def shingle_set(t):
     w = W.findall((t or "").translate(LOWER))
     return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
@@ -249,7 +257,11 @@ def test_packing(docs, rows, none):
             at += p.length
         assert at <= 256
         short += at < 256
-    assert short <= len({s >> 32 for s in windows})
+    assert short <= len({s >> 32 for s in windows}) + sum(r.length for r in got) // 8000
+    # long documents of one route make several shards of a task
+    again = P.pack_documents(docs, WORD, 2, window=256, shard_tokens=300).collect()
+    assert sum(r.length for r in again) == sum(r.length for r in got) and len({(r.sequence_id, r.offset) for r in again}) == len(again)
+    assert sorted(map(tuple, again)) == sorted(map(tuple, P.pack_documents(docs, WORD, 2, window=256, shard_tokens=300).collect()))
     assert P.pack_documents(none, WORD, 2).count() == 0
 
 
