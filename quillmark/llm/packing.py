@@ -153,8 +153,10 @@ def pack(docs: list[np.ndarray], weight: np.ndarray, mean: float, window: int =
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id", text_col="text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null or empty text is its end id alone; repeated rows and ids are packed each; extra columns are ignored; an empty table
-    gives no rows. Each shard leaves at most one sequence that isn't full.
+    Null or empty text is its end id alone; null ids stay null; texts are read whole, however long; repeated rows and ids are
+    packed each; extra columns are ignored, whatever their names; an empty table gives no rows. Equal scores rank by order of
+    id. Each shard leaves at most one sequence that isn't full. A task's documents are more than one shard where they have over
+    twice ``shard_tokens``.
     """
     enc = tokens.Encoder.of(tokenizer)
     dtype, vocabulary = enc.dtype, max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
@@ -167,33 +169,46 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id"
     weight, mean = idf(df, n), total / n
     shards = max(1, -(-total // shard_tokens))
     # ranges of (route, size, id) hold about the same number of documents, also of one route
-    placed = routed(rows, dtype, weight).repartitionByRange(shards, "route", "n", "doc_id")
+    order = ("route", "n", "doc_id")
+    placed = routed(rows, dtype, weight).repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, raw = [], []
+        base, ids, raw, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal base, held
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
+            texts = [np.frombuffer(raw[i], dtype) for i in order]
+            pieces = pack(texts, weight, mean, window)
+            d = [p[0] for p in pieces]
+            crc = [zlib.crc32(texts[p[0]][p[1] : p[1] + p[2]].astype("<u4").tobytes()) for p in pieces]
+            out = pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": pa.array([ids[order[x]] for x in d], pa.int64()),
+                    "start": pa.array([p[1] for p in pieces], pa.int64()),
+                    "length": pa.array([p[2] for p in pieces], pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64()),
+                    "doc_tokens": pa.array([len(texts[x]) for x in d], pa.int64()),
+                    "sequence_id": pa.array([base + p[3] for p in pieces], pa.int64()),
+                    "offset": pa.array([p[4] for p in pieces], pa.int64()),
+                }
+            )
+            base += 1 + max(p[3] for p in pieces)
+            ids.clear()
+            raw.clear()
+            held = 0
+            return out
+
         for b in batches:
-            ids += b.column(0).to_pylist()
-            raw += b.column(2).to_pylist()
-        if not ids:
-            return
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
-        texts = [np.frombuffer(raw[i], dtype) for i in order]
-        pieces = pack(texts, weight, mean, window)
-        base = TaskContext.get().partitionId() << 32
-        d = [p[0] for p in pieces]
-        crc = [zlib.crc32(texts[p[0]][p[1] : p[1] + p[2]].astype("<u4").tobytes()) for p in pieces]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": pa.array([ids[order[x]] for x in d], pa.int64()),
-                "start": pa.array([p[1] for p in pieces], pa.int64()),
-                "length": pa.array([p[2] for p in pieces], pa.int64()),
-                "ids_crc32": pa.array(crc, pa.int64()),
-                "doc_tokens": pa.array([len(texts[x]) for x in d], pa.int64()),
-                "sequence_id": pa.array([base + p[3] for p in pieces], pa.int64()),
-                "offset": pa.array([p[4] for p in pieces], pa.int64()),
-            }
-        )
+            for d, n_ids, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                ids.append(d)
+                raw.append(x)
+                held += n_ids
+                if held >= 2 * shard_tokens:
+                    yield packed()
+        if ids:
+            yield packed()
 
     return placed.select("doc_id", "n", "ids").mapInArrow(run, SCHEMA)
