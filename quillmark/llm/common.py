@@ -1,15 +1,16 @@
-"""Shared folder, staging and text-normalisation helpers of the operators."""
+"""Text-normalisation, joins and staging helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shared import new_path, shared_dir, staged
+from ..ship import ship
+
+__all__ = ["HOT", "LOWER", "UPPER", "WARM", "WORD", "fresh", "join_hot", "local_path", "lower_ascii", "new_path", "shared_dir", "ship", "staged", "table", "word_count"]
+
 #: Rows of a table that are broadcast as its hot ones, at most; rows that make a key hot, at least.
 HOT, WARM = 1 << 14, 1000
 
@@ -20,45 +21,6 @@ LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``.
-
-    Only where that setting is absent and everything runs on this machine (tests, a laptop) a temporary folder is made and set
-    as checkpoint folder.
-    """
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not top:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        sc.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/quillmark-{sc.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for one staged table; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have gone before; the folder is then left to the cluster's own cleaning
-        pass
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each made longer until no column has it (Spark doesn't tell upper case from lower)."""
     used, out = {c.lower() for c in taken}, []
@@ -103,26 +65,6 @@ def word_count(c: Column | str) -> Column:
     return F.regexp_count(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), F.lit(WORD)).cast("long")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application: they need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="quillmark-"), "quillmark_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

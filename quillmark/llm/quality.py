@@ -133,8 +133,9 @@ def quality_filter(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_co
 
     ``trusted``: ids of the trusted target. The threshold is the grid value below which at most the share ``lose`` of the
     trusted documents that pass the word rules lies; without any, everything that passes is kept. Null text counts as
-    empty; a text without n-grams has ratio 0; repeated rows and ids give a row each; extra columns are ignored; an empty
-    table gives no rows.
+    empty; a text without n-grams has ratio 0; texts are read whole, however long; a ratio that ties with the threshold is kept;
+    repeated rows and ids give a row each (of a trusted id, all count); extra columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

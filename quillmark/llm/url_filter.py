@@ -65,8 +65,9 @@ def judge_urls(pages: DataFrame, id_col="page_id", url_col="url", html_col="html
     """One row per input row: page_id, host, path, rule, verdict, trust, distrust.
 
     A url that is null or has no ``://`` has host and path '' and no rule, and is allowed. Seeds weigh a host by the share of
-    its pages that the rules allow or block. A host that neither score reaches is allowed. Repeated rows give a row each and
-    count each; extra columns are ignored; an empty table gives no rows.
+    its pages that the rules allow or block. A host that neither score reaches is allowed. Of rules that fit, the longest wins;
+    a distrust that ties with the trust doesn't block. Null html has no links. Urls and pages are read whole, however long.
+    Repeated rows give a row each and count each; extra columns are ignored, whatever their names; an empty table gives no rows.
     """
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -79,8 +80,10 @@ def judge_urls(pages: DataFrame, id_col="page_id", url_col="url", html_col="html
     distrust = propagate(back, seeds.where("bad > 0").select("host", F.col("bad").alias("seed")), damping, rounds)
     scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full")
     scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = common.staged(scores.join(hosts.select("host", F.col("n").alias("pages")), "host"), "host-scores")
+    total = rows.count()
     blocked = F.coalesce((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") >= floor), F.lit(False))
-    return rows.join(scores, "host", "left").select(
+    return common.join_hot(rows, scores, ["host"], "pages", total, "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
