@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, mixing, url_filter as U
+from . import common, mixing, quality as Q, url_filter as U
 
 LOWER = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -77,6 +77,30 @@ w as (select *, {', '.join(f'{words_of(k)} as w{k}' for k in range(3))} from p),
 m as (select *, {', '.join(f'({k} * source_size + before + w{k}::double / 2) / target as m{k}' for k in range(3))} from w)
 select doc_id, size, source_size, round(target, 6) as target, (w0 + w1 + w2)::bigint as taken, {', '.join(position(k) for k in range(3))} from m"""
 
+NGRAMS = " union all ".join(
+    f"select rn, (((({' + '.join([f'{n}::hugeint * {257**n}'] + [f'b{k}::bigint * {257 ** (n - 1 - k)}' for k in range(n)])}) * 11400714819323198485::hugeint) % 18446744073709551616::hugeint) // 281474976710656::hugeint)::int as bucket from g where b{n - 1} is not null"
+    for n in Q.ORDERS
+)
+
+OP4 = f"""with d as (select row_number() over () as rn, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as w, doc_id in (select doc_id from labels where quality = 1) as trusted from documents),
+win as (select rn, unnest(range(1, len(w) - 6)) as i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' '))) as x from d where len(w) >= 8),
+twice as (select rn, i from (select *, count(*) over (partition by rn, x) as k from win) where k > 1),
+cover as (select rn, count(distinct place) as n_repeat_words from (select rn, unnest(range(i, i + 8)) as place from twice) group by rn),
+r as (select rn, doc_id, trusted, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from d left join cover using (rn)),
+b as (select rn, unnest(regexp_extract_all(hex(encode(t)), '..')) as x, unnest(range(0, octet_length(encode(t)))) as i from d),
+n as (select rn, i, ('0x' || x)::int as b0 from b),
+g as (select rn, b0, {', '.join(f'lead(b0, {k}) over p as b{k}' for k in range(1, max(Q.ORDERS)))} from n window p as (partition by rn order by i)),
+m as (select rn, bucket, count(*) as k from ({NGRAMS}) group by rn, bucket),
+c as (select bucket, sum(k)::double as raw, coalesce(sum(k) filter (trusted), 0)::double as target from m join d using (rn) group by bucket),
+o as (select sum(raw) + {Q.SMOOTH * Q.BUCKETS} as raws, sum(target) + {Q.SMOOTH * Q.BUCKETS} as targets from c),
+v as (select bucket, ln((target + {Q.SMOOTH}) / targets) - ln((raw + {Q.SMOOTH}) / raws) as weight from c, o),
+s as (select rn, sum(k * weight) / (sum(k) + {Q.SHRINK}) as llr from m join v using (bucket) group by rn),
+a as (select r.*, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(llr, 0.0)::double as llr from r left join s using (rn)),
+z as (select floor(llr * {Q.GRID}) as g, row_number() over (order by floor(llr * {Q.GRID})) as place, count(*) over () as total from a where trusted and not base_failed),
+th as (select min(g) / {Q.GRID} as threshold from z where place > {Q.LOSE} * total)
+select doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, n_repeat_words, base_failed, round(llr, 9) as llr, not base_failed and llr >= coalesce(threshold, llr) as kept from a, th"""
+
 OP8 = f"""with recursive w as (select doc_id, regexp_extract_all({LOWER}, '{WORD}') as w from documents),
 s as (select doc_id, unnest(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as x from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
@@ -87,4 +111,4 @@ r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id,
 m as (select doc_id, min(other) as component_id from r group by doc_id)
 select doc_id, coalesce(n, 0) as n_shingles, component_id from m left join n using (doc_id)"""
 
-SQL = {"op2_url_link_graph": OP2, "op3_extendible_dedup": OP3, "op6_curriculum_mix": OP6, "op8_count_vector_join": OP8}
+SQL = {"op2_url_link_graph": OP2, "op3_extendible_dedup": OP3, "op4_ngram_ratio": OP4, "op6_curriculum_mix": OP6, "op8_count_vector_join": OP8}

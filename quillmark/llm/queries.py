@@ -28,7 +28,7 @@ def op3_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = common.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.quality_filter(common.table(spark, sf_dir, "documents"), trusted)
+    return quality.quality_filter(common.table(spark, sf_dir, "documents"), trusted).withColumn("llr", F.round("llr", 9))
 
 
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
