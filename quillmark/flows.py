@@ -209,7 +209,7 @@ def stt_slices(spark, sf_dir):
 
 
 def features36(spark, sf_dir):
-    """The 36 features of each document's pair and the clip of its number; without a clip all are 0, as for a failed sample."""
+    """The 36 features of each document's pair and the clip of its number; without a clip all are defaults."""
     p = edit.aligned(text_pairs(spark, sf_dir).select("doc_id", "ref", "hyp", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
     r, h, n, m = F.col("ref_words"), F.col("hyp_words"), F.size("ref_words"), F.size("hyp_words")
     rates = {"wer": edit.error_rate(F.col("distance"), n, m), "mer": edit.match_error_rate(F.col("distance"), F.col("hits")), "wil": edit.information_lost(F.col("hits"), n, m)}
@@ -220,7 +220,16 @@ def features36(spark, sf_dir):
     heard = audio.stats_of(_clips(spark, sf_dir).select(F.col("conv_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long")).drop("path")
     p = p.select("doc_id", *(c.cast("double").alias(k) for k, c in cols.items())).join(heard.withColumn("has_clip", F.lit(True)), "doc_id", "left")
     names = [*audio.PROSODY, *audio.FLUENCY, *cols]
-    return p.select("doc_id", *(Q._r(F.when(F.col("has_clip"), F.coalesce(F.col(k), F.lit(0.0))).otherwise(F.lit(0.0))).alias(k) for k in names))
+    p = p.select("doc_id", *(F.when(F.col("has_clip"), F.col(k)).alias(k) for k in names))
+    return models.with_defaults(p, names).select("doc_id", *(Q._r(F.col(k)).alias(k) for k in names))
+
+
+def default_features(spark, sf_dir):
+    """The reranker's features; every seventh document is a sample that failed."""
+    p = Q.rerank_features(spark, sf_dir)
+    names = p.columns[1:]
+    p = p.select("doc_id", *(F.when(F.col("doc_id") % 7 != 0, F.col(k)).alias(k) for k in names), F.when(F.col("doc_id") % 7 != 0, F.col("wer_reward")).alias("target"))
+    return models.with_defaults(p, names, "target")
 
 
 def cross_validation(spark, sf_dir):

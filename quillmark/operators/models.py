@@ -12,9 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MIN_ROWS = 10
 
 
-def _with_defaults(df: DataFrame, features: list[str], default: float = 0.0) -> DataFrame:
-    """A feature that failed is its default."""
-    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(default)) for f in features})
+#: What a feature is where it can't be had, if not 0; and a sample's target. Fixed values.
+DEFAULTS = {"wer_score": 1.0, "mer_score": 1.0, "wil_score": 1.0, "length_ratio": 1.0, "mean_confidence": 0.8, "min_confidence": 0.8, "max_confidence": 0.8, "high_confidence_ratio": 1.0}
+DEFAULT_TARGET = 1.0
+
+
+def with_defaults(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
+    """A feature that failed is its default, as is a target."""
+    out = {f: F.coalesce(F.col(f).cast("double"), F.lit(DEFAULTS.get(f, 0.0))) for f in features}
+    if target:
+        out[target] = F.coalesce(F.col(target).cast("double"), F.lit(DEFAULT_TARGET))
+    return df.withColumns(out)
 
 
 def forest(label: str) -> RandomForestRegressor:
@@ -30,11 +38,11 @@ def fit(df: DataFrame, features: list[str], label: str, regressor=None) -> Pipel
     if len(df.select(label).limit(MIN_ROWS).take(MIN_ROWS)) < MIN_ROWS:
         raise ValueError(f"fewer than {MIN_ROWS} training rows")
     stages = [VectorAssembler(inputCols=features, outputCol="features"), regressor or forest(label)]
-    return Pipeline(stages=stages).fit(_with_defaults(df, features))
+    return Pipeline(stages=stages).fit(with_defaults(df, features))
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
-    return model.transform(_with_defaults(df, model.stages[0].getInputCols())).drop("features")
+    return model.transform(with_defaults(df, model.stages[0].getInputCols())).drop("features")
 
 
 def importance(spark: SparkSession, model: PipelineModel, k: int = 10) -> DataFrame:
@@ -46,7 +54,7 @@ def cross_validated(df: DataFrame, features: list[str], label: str, regressor=No
     """Mean squared error over the folds."""
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), regressor or forest(label)])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=RegressionEvaluator(labelCol=label, metricName="mse"), numFolds=folds, seed=42)
-    return float(cv.fit(_with_defaults(df, features)).avgMetrics[0])
+    return float(cv.fit(with_defaults(df, features)).avgMetrics[0])
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -189,7 +189,9 @@ def some(c: str) -> str:
     return f"round(coalesce({c}, 0.0)::double, 6)"
 
 
-def rerank_cols() -> str:
+def rerank_cols(failed: str = "false") -> str:
+    from .operators.models import DEFAULTS
+
     v = "(case when m > 0 then list_transform(h, lambda w: (length(w) % 10) / 10.0::double) else [0.8::double] end)"
     k = f"len({v})::double"
     cols = {
@@ -203,7 +205,7 @@ def rerank_cols() -> str:
         "char_diversity": "case when length(hyp) > 0 then len(list_distinct(string_split(hyp, '')))::double / length(hyp) else 0.0 end",
         "punct_ratio": share("hyp", "[.,!?;:]"), "digit_ratio": share("hyp", "\\p{Nd}"), "special_ratio": share("hyp", "[^\\p{L}\\p{N}\\s]"),
     }
-    return ", ".join(f"{some(c)} as {n}" for n, c in cols.items())
+    return ", ".join(f"case when {failed} then {DEFAULTS.get(n, 0.0)}::double else {some(c)} end as {n}" for n, c in cols.items())
 
 
 def chunk_sql(items: str, size: int, step: int, more: str = "", name: str = "chunk") -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.audio import KINDS
-from .oracles import FRAGMENTS, JACCARD_CI, PAIRS, RATES, SQL as OWN, TURNS, chunk_sql, ladder, tok
+from .oracles import ALIGNED, FRAGMENTS, JACCARD_CI, PAIRS, RATES, SQL as OWN, TURNS, chunk_sql, ladder, rerank_cols, tok
 
 SAMPLE = "'sample_' || doc_id || '.wav'"
 CLIP = "'clip_' || conv_id || '.wav'"
@@ -27,6 +27,7 @@ def joined(chunks: str, name: str) -> str:
 
 
 SQL = {
+    "default_features": f"with {ALIGNED} select doc_id, {rerank_cols('doc_id % 7 = 0')}, case when doc_id % 7 = 0 then 1.0::double else round(greatest(0.0, 1 - wer)::double, 6) end as target from aligned",
     "ground_truth_scan": f"select {SAMPLE} as audio_path, text as reference_text, case when doc_id % 2 = 1 then 'sample_' || (doc_id - 1) || '.wav' else {SAMPLE} end as original_audio, doc_id % 2 = 1 as is_augmented from documents",
     "training_scan": f"select transcript, quality_score, wer, label from ({ladder()})",
     "combined_dataset": f"""with o as (select {SAMPLE} as audio_path, text as reference_text from documents), {variants('o', 'audio_path', 2)}
