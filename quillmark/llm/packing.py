@@ -20,6 +20,9 @@ from . import common, tokens
 WINDOW = 4096
 #: Tokens of a shard, about; BM25's constants.
 SHARD_TOKENS, K1, B = 1 << 20, 1.2, 0.75
+#: Documents that are counted at once (their number times the vocabulary stays under 2**32); a term of more than one in COMMON
+#: documents has a row of a table; neighbours that are put in order at once.
+BATCH, COMMON, FIRST = 512, 16, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,15 +40,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id", tex
         for b in batches:
             at = 0
             while at < b.num_rows:
-                part = b.column(0).slice(at, 512)
-                ids = [x + end for x in enc.encode([t or "" for t in b.column(1).slice(at, 512).to_pylist()])]
+                part = b.column(0).slice(at, BATCH)
+                ids = [x + end for x in enc.encode([t or "" for t in b.column(1).slice(at, BATCH).to_pylist()])]
                 n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
-                found = np.repeat(np.arange(len(n)) * len(df), n) + np.frombuffer(b"".join(ids), enc.dtype)
-                df += np.bincount(np.unique(found) % len(df), minlength=len(df))
+                found = np.repeat(np.arange(len(n), dtype=np.uint32) * np.uint32(len(df)), n) + np.frombuffer(b"".join(ids), enc.dtype)
+                df += np.bincount(runs(found)[0] % np.uint32(len(df)), minlength=len(df))
                 docs, total = docs + len(n), total + int(n.sum())
                 zero = np.zeros(len(n), np.int64)
                 yield pa.RecordBatch.from_pydict({"doc_id": part, "n": n, "ids": pa.array(ids, pa.binary()), "term": zero, "df": zero, "kind": zero})
-                at += 512
+                at += BATCH
         if docs:
             at = np.flatnonzero(df)
             term, count = np.concatenate((at, [-1, -2])), np.concatenate((df[at], [docs, total]))
@@ -87,31 +90,51 @@ def routed(rows: DataFrame, dtype: np.dtype, weight: np.ndarray) -> DataFrame:
     return rows.select("doc_id", "n", "ids").mapInArrow(run, "doc_id long, n long, ids binary, route long")
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(first)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
 class Index:
-    """BM25 inverted index of a shard: postings by term, used documents weigh nothing."""
+    """BM25 inverted index of a shard, used documents weigh nothing. Postings by term; a common term's are a row over all documents."""
 
     def __init__(self, docs: list[np.ndarray], weight: np.ndarray, mean: float):
-        found = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in found]
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms).astype(np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(np.float32)
-        size = np.array([len(d) for d in docs], np.float32)
+        size = np.array([len(d) for d in docs], np.int64)
+        key, tf = runs(np.repeat(np.arange(len(docs), dtype=np.uint64) * np.uint64(len(weight)), size) + np.concatenate(docs))
+        doc, term = np.divmod(key.astype(np.int64), len(weight))
+        cut = np.searchsorted(doc, np.arange(len(docs) + 1))
         impact = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[order], impact[order].astype(np.float64)
-        self.first = np.searchsorted(term[order], np.arange(len(weight) + 1))
+        held = np.bincount(term, minlength=len(weight))
+        row_of = np.full(len(weight), -1)
+        often = np.flatnonzero(held * COMMON > len(docs))
+        row_of[often] = np.arange(len(often))
+        at = row_of[term]
+        self.rows = np.zeros((len(often), len(docs)), np.float32)
+        self.rows[at[at >= 0], doc[at >= 0]] = impact[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.doc, self.impact = doc[rare], impact[rare].astype(np.float64)
+        self.first = np.searchsorted(term[rare], np.arange(len(weight) + 1))
+        self.often, self.rare = ([x[a:z][m[a:z]] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] for x, m in ((at, at >= 0), (term, at < 0)))
         self.unused = np.ones(len(docs), bool)
 
-    def neighbours(self, d: int) -> np.ndarray:
-        """Unused documents that share a term with document ``d``, the best first."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.terms[d]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        hit, s = np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.impact[x] for x in spans])
-        score = np.bincount(hit, s, minlength=len(self.unused))
+    def neighbours(self, d: int) -> Iterator[int]:
+        """Unused documents that share a term with document ``d``, the best first; equal ones by their order."""
+        score = self.rows[self.often[d]].sum(0, dtype=np.float64)
+        spans = [slice(a, z) for a, z in zip(self.first[self.rare[d]].tolist(), self.first[self.rare[d] + 1].tolist(), strict=True) if z - a > 1]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.impact[x] for x in spans]), minlength=len(score))
         found = np.flatnonzero(self.unused & (score > 0))
-        return found[np.argsort(-score[found], kind="stable")]
+        value = -score[found]
+        if len(found) > 2 * FIRST:  # mostly the first few fill the window
+            near = value <= np.partition(value, FIRST)[FIRST]
+            yield from found[near][np.argsort(value[near], kind="stable")].tolist()
+            found, value = found[~near], value[~near]
+        yield from found[np.argsort(value, kind="stable")].tolist()
 
 
 def pack(docs: list[np.ndarray], weight: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -144,7 +167,7 @@ def pack(docs: list[np.ndarray], weight: np.ndarray, mean: float, window: int =
                 seed = None
                 continue
         last, seed = seed, None
-        for d in index.neighbours(last).tolist():
+        for d in index.neighbours(last):
             if put(d):
                 seed = d if offset else None
                 break

@@ -147,6 +147,7 @@ def test_encoder_is_exact(rows, path):
     rng = random.Random(1)
     alphabet = "ab Z9 0'''stremvld.,!?\n\t\r é\x85\xa0　\x1c\x7f<|endoftext|>ßİ日#$_-"
     texts = [t or "" for _, t, *_ in rows] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(rng.choice(" \n\t a,.\x1c") for _ in range(rng.randint(0, 9))) for _ in range(4000)]
     enc = T.Encoder.of(path)
     assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == direct(path, texts)
 
@@ -270,22 +271,26 @@ def test_bm25_neighbours_are_lexical():
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=16)
     index = P.Index(docs, P.idf(df, 4), 4.0)
     index.unused[0] = False
-    assert index.neighbours(0)[0] == 2
+    assert next(index.neighbours(0)) == 2
     index.unused[2] = False
-    assert 2 not in index.neighbours(0)
+    assert 2 not in list(index.neighbours(0))
 
 
-def test_neighbours_by_all_terms():
+@pytest.mark.parametrize("n,common", [(30, 16), (300, 16), (300, 10**9), (300, 1)])
+def test_neighbours_by_all_terms(monkeypatch, n, common):
+    monkeypatch.setattr(P, "COMMON", common)
     rng = np.random.default_rng(2)
-    docs = [np.unique(rng.choice(np.arange(1, 400), 80, replace=False)).astype(np.uint16) for _ in range(30)]
-    df = np.bincount(np.concatenate(docs), minlength=400)
-    weight, mean = P.idf(df, 30), 80.0
+    docs = [rng.choice(np.concatenate((np.arange(1, 400), np.arange(1, 40))), rng.integers(1, 90)).astype(np.uint16) for _ in range(n)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    weight, mean = P.idf(df, n), 45.0
     index = P.Index(docs, weight, mean)
-    for d in range(30):
+    tf = [Counter(d.tolist()) for d in docs]
+    bm = lambda t, e: float(weight[t]) * tf[e][t] * (P.K1 + 1) / (tf[e][t] + P.K1 * (1 - P.B + P.B * len(docs[e]) / mean))
+    for d in range(25):
         index.unused[d] = False
-        score = {e: sum(float(weight[t]) * (P.K1 + 1) / (1 + P.K1 * (1 - P.B + P.B * len(docs[e]) / mean)) for t in set(docs[d].tolist()) & set(docs[e].tolist())) for e in range(d + 1, 30)}
-        got = index.neighbours(d).tolist()
-        assert sorted(got) == sorted(e for e in score if score[e] > 0) and [score[e] for e in got] == pytest.approx(sorted(score.values(), reverse=True)[: len(got)], rel=1e-5)
+        score = {e: sum(bm(t, e) for t in tf[d] if t in tf[e]) for e in range(d + 1, n)}
+        got = list(index.neighbours(d))
+        assert sorted(got) == sorted(e for e in score if score[e] > 0) and [score[e] for e in got] == pytest.approx(sorted((x for x in score.values() if x > 0), reverse=True), rel=1e-5)
 
 
 def test_pipeline(spark, tmp_path, rows, docs):
