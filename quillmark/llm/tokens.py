@@ -28,8 +28,8 @@ _WS = "\t-\r \x85\xa0  -     　"
 _BYTE_LEVEL = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _WORDS = re.compile(f"[^{_WS}]+")
 
-#: Distinct segments kept by a worker; more are encoded each time they come. Longer ones are not kept.
-CACHE_SEGMENTS, CACHE_CHARS = 700_000, 40
+#: Distinct words, pieces of words and other segments kept by a worker, of so many characters; more are encoded each time they come.
+CACHE_WORDS, CACHE_PIECES, CACHE_SEGMENTS, CACHE_CHARS = 600_000, 300_000, 100_000, 40
 #: Bytes of text that one part holds, about, where the session's number of partitions would give more.
 PART_BYTES = 256 << 20
 #: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
@@ -37,6 +37,9 @@ _LATIN = "ß-öø-ÿ"
 _RARE = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _LATIN_BYTE_LEVEL = re.compile(rf"{_CONTRACTIONS}| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+#: Where a blank may not start a word's segment, for byte-level patterns; what str.split takes for white space and they don't.
+_ODD_BLANK = re.compile(r"[ \t-\r] (?:[ \t-\r]|\Z)")
+_ODD_SPLIT = re.compile("[\x1c-\x1f]")
 _LATIN_WORDS = re.compile(rf"{_CONTRACTIONS}|[a-z{_LATIN}]+|[0-9]|[^ \t-\ra-z0-9{_LATIN}]+")
 
 
@@ -57,11 +60,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Cache(dict):
+    """Ids by text, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, s: str) -> bytes:
+        ids = self.make(s)
+        if len(self) < self.most and len(s) <= CACHE_CHARS:
+            self[s] = ids
+        return ids
+
+
 class Encoder:
     """Exact ids of a tokenizer file, encoding each distinct segment once.
 
     Byte-level and word-level patterns never cross the cuts made here, so the ids of a text are those of its segments. Texts of
-    common characters are cut by the pattern itself, and the library's merges are applied to each piece.
+    common characters are cut at blanks; each new word is cut by the pattern itself, and the library's merges are applied to
+    each new piece.
     Special tokens' strings in a text are ordinary text. A tokenizer of another kind is applied to whole texts.
     """
 
@@ -81,6 +99,9 @@ class Encoder:
         self.byte_level = self.segments == _BYTE_LEVEL.findall
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.cache: dict[str, bytes] = {}
+        self.pieces = _Cache(self._piece_ids, CACHE_PIECES)
+        # a byte-level word is kept without the blank before it
+        self.words = _Cache((lambda w: self._cut_ids(" " + w)) if self.byte_level else self._cut_ids, CACHE_WORDS)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -107,14 +128,25 @@ class Encoder:
             return [array(self.code, e.ids).tobytes() for e in found]
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _model_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the pattern has cut already: the library's merges on their bytes' letters."""
-        apply, out = self.tokenizer.model.tokenize, []
-        for p in pieces:
-            letters = p if _PLAIN(p) else "".join([_LETTER[b] for b in p.encode()])
-            ids = [t.id for t in apply(letters)]
-            out.append(array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes())
-        return out
+    def _piece_ids(self, p: str) -> bytes:
+        """Ids of a piece that the pattern has cut already: the library's merges on its bytes' letters."""
+        letters = p if _PLAIN(p) else "".join([_LETTER[b] for b in p.encode()])
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+
+    def _cut_ids(self, s: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, (_LATIN_BYTE_LEVEL if self.byte_level else _LATIN_WORDS).findall(s)))
+
+    def _common_ids(self, t: str) -> bytes:
+        """Ids of a text of common characters."""
+        if self.byte_level:
+            if _ODD_BLANK.search(t):
+                return self._cut_ids(t)
+            first, *rest = t.split(" ")
+            return self._cut_ids(first) + b"".join(map(self.words.__getitem__, rest))
+        if _ODD_SPLIT.search(t):
+            return self._cut_ids(t.lower())
+        return b"".join(map(self.words.__getitem__, t.lower().split()))
 
     def _keep(self, new: dict[str, bytes]) -> None:
         room = CACHE_SEGMENTS - len(self.cache)
@@ -129,21 +161,18 @@ class Encoder:
         """The ids of each text as bytes of ``dtype``."""
         if self.segments is None:
             return self._ids(texts)
-        out = []
+        out: list[bytes] = []
         for at in range(0, len(texts), 512):
-            cut, latin, rest = [], set(), set()
-            for t in texts[at : at + 512]:
+            cut = {}
+            for k, t in enumerate(texts[at : at + 512], at):
                 if _RARE.search(t):
-                    parts = self.segments(t)
-                    rest.update(parts)
+                    cut[k] = self.segments(t)
+                    out.append(b"")
                 else:
-                    parts = _LATIN_BYTE_LEVEL.findall(t) if self.byte_level else _LATIN_WORDS.findall(t.lower())
-                    latin.update(parts)
-                cut.append(parts)
-            # what this batch has, small enough to stay near the processor
-            known = self._known(list(latin), self._model_ids)
-            known |= self._known([p for p in rest if p not in latin], self._ids)
-            out += [b"".join(map(known.__getitem__, parts)) for parts in cut]
+                    out.append(self._common_ids(t))
+            known = self._known(list(set().union(*cut.values())), self._ids)
+            for k, parts in cut.items():
+                out[k] = b"".join(map(known.__getitem__, parts))
         return out
 
     def _known(self, parts: list[str], encode) -> dict[str, bytes]:
