@@ -117,17 +117,19 @@ class Index:
         self.rows[at[at >= 0], doc[at >= 0]] = impact[at >= 0]
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
-        self.doc, self.impact = doc[rare], impact[rare].astype(np.float64)
+        self.doc, self.impact = doc[rare], impact[rare].astype(np.float32)
         self.first = np.searchsorted(term[rare], np.arange(len(weight) + 1))
         self.often, self.rare = ([x[a:z][m[a:z]] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] for x, m in ((at, at >= 0), (term, at < 0)))
         self.unused = np.ones(len(docs), bool)
 
     def neighbours(self, d: int) -> Iterator[int]:
         """Unused documents that share a term with document ``d``, the best first; equal ones by their order."""
-        score = self.rows[self.often[d]].sum(0, dtype=np.float64)
-        spans = [slice(a, z) for a, z in zip(self.first[self.rare[d]].tolist(), self.first[self.rare[d] + 1].tolist(), strict=True) if z - a > 1]
-        if spans:
-            score += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.impact[x] for x in spans]), minlength=len(score))
+        score = self.rows[self.often[d]].sum(0)
+        first = self.first[self.rare[d]]
+        held = self.first[self.rare[d] + 1] - first
+        at = np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
+        if len(at):
+            score = score + np.bincount(self.doc[at], self.impact[at], minlength=len(score))
         found = np.flatnonzero(self.unused & (score > 0))
         value = -score[found]
         if len(found) > 2 * FIRST:  # mostly the first few fill the window
