@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common, tokens
+from . import caches, common, tokens
 
 WINDOW = 4096
 #: Tokens of a shard, about; BM25's constants.
 SHARD_TOKENS, K1, B = 1 << 20, 1.2, 0.75
+#: Shards that a task packs one after the other.
+TASK_SHARDS = 4
 #: Documents that are counted at once (their number times the vocabulary stays under 2**32); a term of more than one in COMMON
 #: documents has a row of a table; neighbours that are put in order at once.
 BATCH, COMMON, FIRST = 512, 16, 64
@@ -180,8 +182,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id"
 
     Null or empty text is its end id alone; null ids stay null; texts are read whole, however long; repeated rows and ids are
     packed each; extra columns are ignored, whatever their names; an empty table gives no rows. Equal scores rank by order of
-    id. Each shard leaves at most one sequence that isn't full. A task's documents are more than one shard where they have over
-    twice ``shard_tokens``.
+    id. Each shard leaves at most one sequence that isn't full: a task goes through its documents in order and starts a new shard
+    after about ``shard_tokens``, however many documents share a route.
     """
     enc = tokens.Encoder.of(tokenizer)
     dtype, vocabulary = enc.dtype, max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
@@ -192,14 +194,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id"
     if not n:
         return spark.createDataFrame([], SCHEMA)
     weight, mean = idf(df, n), total / n
-    shards = max(1, -(-total // shard_tokens))
+    tasks = max(1, -(-total // (TASK_SHARDS * shard_tokens)))
     # ranges of (route, size, id) hold about the same number of documents, also of one route
     order = ("route", "n", "doc_id")
-    placed = routed(rows, dtype, weight).repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids")
+    placed = routed(rows, dtype, weight).repartitionByRange(tasks, *order).sortWithinPartitions(*order, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        caches.claim("packing", lambda: None)  # the encoder's words are not needed any more
         base, ids, raw, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def packed() -> pa.RecordBatch:
@@ -231,7 +234,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id"
                 ids.append(d)
                 raw.append(x)
                 held += n_ids
-                if held >= 2 * shard_tokens:
+                if held >= shard_tokens:
                     yield packed()
         if ids:
             yield packed()
