@@ -28,8 +28,9 @@ _WS = "\t-\r \x85\xa0  -     　"
 _BYTE_LEVEL = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _WORDS = re.compile(f"[^{_WS}]+")
 
-#: Distinct words, pieces of words and other segments kept by a worker, of so many characters; more are encoded each time they come.
-CACHE_WORDS, CACHE_PIECES, CACHE_SEGMENTS, CACHE_CHARS = 500_000, 250_000, 100_000, 40
+#: Distinct words, pieces of words and other segments kept by a worker, of so many characters
+#: (just under what makes their tables double); more are encoded each time they come.
+CACHE_WORDS, CACHE_PIECES, CACHE_SEGMENTS, CACHE_CHARS = 690_000, 340_000, 100_000, 40
 #: Bytes of text that one part holds, about, where the session's number of partitions would give more.
 PART_BYTES = 256 << 20
 #: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
