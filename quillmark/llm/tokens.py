@@ -52,7 +52,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTER = _byte_letters()
-_PLAIN = re.compile(r"[!-~]+").fullmatch
+_MARKS = frozenset(".,;:!?")
 
 
 def tokenizer_path(name: str) -> str:
@@ -102,7 +102,7 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.pieces = _Cache(self._piece_ids, CACHE_PIECES)
         # a byte-level word is kept without the blank before it
-        self.words = _Cache((lambda w: self._cut_ids(" " + w)) if self.byte_level else self._cut_ids, CACHE_WORDS)
+        self.words = _Cache(self._word_ids, CACHE_WORDS)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -131,10 +131,19 @@ class Encoder:
 
     def _piece_ids(self, p: str) -> bytes:
         """Ids of a piece that the pattern has cut already: the library's merges on its bytes' letters."""
-        letters = p if _PLAIN(p) else "".join([_LETTER[b] for b in p.encode()])
+        letters = p.replace(" ", _LETTER[32]) if p.isascii() and p.isprintable() else "".join([_LETTER[b] for b in p.encode()])
         ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
+    def _word_ids(self, w: str) -> bytes:
+        """Ids of a word (a byte-level one has a blank before it): letters are one piece, a mark at their end is one more."""
+        lead = " " if self.byte_level else ""
+        if w.isalpha():
+            return self.pieces[lead + w]
+        if w[-1:] in _MARKS and w[:-1].isalpha():
+            return self.pieces[lead + w[:-1]] + self.pieces[w[-1]]
+        return self._cut_ids(lead + w)
+
     def _cut_ids(self, s: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, (_LATIN_BYTE_LEVEL if self.byte_level else _LATIN_WORDS).findall(s)))
 
