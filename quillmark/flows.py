@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import queries as Q
 from .functions import edit, json as js, metrics as M, text as T
 from .operators import annotate, audio, models, report as R, stt
-from .pairs import table, text_pairs, timed_turns
+from .pairs import documents, table, text_pairs, timed_turns
 from .plans import repair
 from .shared import new_path, staged
 from .ship import ship
@@ -129,12 +129,12 @@ def _marked(chunk: Column) -> Column:
 
 
 def repair_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = documents(spark, sf_dir).select("doc_id", "text")
     return repair.repair(d, "doc_id", "text", annotate.LocalRules(_marked)).select("doc_id", "repaired")
 
 
 def translate_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = documents(spark, sf_dir).select("doc_id", "text")
     return repair.translate(d, "doc_id", "text", annotate.LocalRules(_marked)).select("doc_id", "translated")
 
 

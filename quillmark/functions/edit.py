@@ -84,25 +84,30 @@ def error_rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
 
 
 def align(ref, hyp) -> tuple[int, int]:
-    """(distance, hits): the most equal words among alignments of least cost. Two rows, vectorised along the hypothesis."""
+    """(distance, hits): the most equal words among alignments of least cost. A row at a time, vectorised along the hypothesis."""
     n, m = len(ref), len(hyp)
     if not n or not m:
         return max(n, m), 0
     ids: dict = {}
     a = [ids.setdefault(w, len(ids)) for w in ref]
     b = np.array([ids.setdefault(w, len(ids)) for w in hyp])
-    # cost and hits in one number: a step costs BIG, a hit takes 1 off
+    # cost and hits in one number: a step costs BIG, a hit takes 1 off. Cells are less by their column's insertions, so that
+    # insertions along the row are a running minimum, and a replacement costs nothing more
     big = 2 * (n + m + 1)
-    steps = np.arange(m + 1, dtype=np.int64) * big
-    row = steps.copy()
+    kind = np.int32 if big * (n + m) < 1 << 31 else np.int64
+    row, best = np.zeros(m + 1, kind), np.empty(m + 1, kind)
+    hit: dict[int, np.ndarray] = {}
     for x in a:
-        same = b == x
-        best = np.minimum(row[1:] + big, row[:-1] + np.where(same, -1, big))
-        first = row[0] + big
-        # insertions run along the row: a running minimum of the rest
-        row = np.minimum.accumulate(np.concatenate(([first], best)) - steps) + steps
-    distance = -(-int(row[-1]) // big)
-    return distance, distance * big - int(row[-1])
+        if x not in hit:
+            if len(hit) * m > 1 << 24:  # bounds the rows that are kept
+                hit.clear()
+            hit[x] = np.where(b == x, kind(-1 - big), kind(0))
+        np.add(row, kind(big), out=best)
+        np.minimum(best[1:], row[:-1] + hit[x], out=best[1:])
+        np.minimum.accumulate(best, out=row)
+    cost = int(row[-1]) + m * big
+    distance = -(-cost // big)
+    return distance, distance * big - cost
 
 
 def aligned(df: DataFrame, ref: str = "ref_words", hyp: str = "hyp_words") -> DataFrame:

@@ -17,9 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it has fewer partitions than two a core: small files, of one row group even, keep one core
+    busy otherwise. A table of many partitions is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, r and h (words), ref and hyp (texts): a whole document and a corrupted copy of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", tokens("text").alias("r"))
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", tokens("text").alias("r"))
     docs = docs.withColumn("h", corrupted("r", double=None, filler=FILLER))
     return docs.withColumn("ref", F.array_join("r", " ")).withColumn("hyp", F.array_join("h", " "))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import edit, json as js, metrics as M, text as T
 from .operators import entities as E, models, report as R, segments as S
-from .pairs import FILLER, labelled_transcripts, table, text_pairs, timed_turns
+from .pairs import FILLER, documents, labelled_transcripts, table, text_pairs, timed_turns
 
 #: Fixtures: the tables' invented prose has no number words and no names, so these of its own words stand for some.
 FIXTURE_NUMBERS = T.NUMBERS | {"un": "1", "una": "1", "ein": "1", "eine": "1"}
@@ -20,7 +20,7 @@ def _r(c: Column) -> Column:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return documents(spark, sf_dir)
 
 
 def token_stats(spark, sf_dir):
