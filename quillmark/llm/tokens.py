@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import caches, common
@@ -28,9 +29,10 @@ _WS = "\t-\r \x85\xa0  -     　"
 _BYTE_LEVEL = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _WORDS = re.compile(f"[^{_WS}]+")
 
-#: Distinct words, pieces of words and other segments kept by a worker, of so many characters
-#: (just under what makes their tables double); more are encoded each time they come.
-CACHE_WORDS, CACHE_PIECES, CACHE_SEGMENTS, CACHE_CHARS = 690_000, 340_000, 100_000, 40
+#: Distinct words, pieces of words and other segments kept by a worker, of so many characters; more are encoded each time they come.
+CACHE_WORDS, CACHE_PIECES, CACHE_SEGMENTS, CACHE_CHARS = 1_000_000, 340_000, 100_000, 40
+#: Characters of texts that are worked on at once.
+CHUNK = 16 << 20
 #: Bytes of text that one part holds, about, where the session's number of partitions would give more.
 PART_BYTES = 256 << 20
 #: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
@@ -101,8 +103,9 @@ class Encoder:
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.cache: dict[str, bytes] = {}
         self.pieces = _Cache(self._piece_ids, CACHE_PIECES)
-        # a byte-level word is kept without the blank before it
-        self.words = _Cache(self._word_ids, CACHE_WORDS)
+        # words whose ids are known, those ids one after the other, and where a word's begin (a byte-level word is kept without the
+        # blank before it): no Python object is made for a word that is known
+        self.words, self.word_ids, self.word_at = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -138,6 +141,8 @@ class Encoder:
     def _word_ids(self, w: str) -> bytes:
         """Ids of a word (a byte-level one has a blank before it): letters are one piece, a mark at their end is one more."""
         lead = " " if self.byte_level else ""
+        if not self.byte_level:
+            w = w.lower()
         if w.isalpha():
             return self.pieces[lead + w]
         if w[-1:] in _MARKS and w[:-1].isalpha():
@@ -147,16 +152,37 @@ class Encoder:
     def _cut_ids(self, s: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, (_LATIN_BYTE_LEVEL if self.byte_level else _LATIN_WORDS).findall(s)))
 
-    def _common_ids(self, t: str) -> bytes:
-        """Ids of a text of common characters."""
-        if self.byte_level:
-            if _ODD_BLANK.search(t):
-                return self._cut_ids(t)
-            first, *rest = t.split(" ")
-            return self._cut_ids(first) + b"".join(map(self.words.__getitem__, rest))
-        if _ODD_SPLIT.search(t):
-            return self._cut_ids(t.lower())
-        return b"".join(map(self.words.__getitem__, t.lower().split()))
+    def _common_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of common characters: each distinct word is looked up once, its ids are copied to all its places."""
+        whole = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(whole, " ") if self.byte_level else pc.ascii_split_whitespace(whole)
+        words = cut.flatten().dictionary_encode()
+        code, at, distinct = words.indices.to_numpy(), cut.offsets.to_numpy(), words.dictionary
+        place = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        missing = distinct.take(pa.array(new))
+        ids = [self._word_ids(w) for w in missing.to_pylist()]
+        fresh = np.frombuffer(b"".join(ids), self.dtype) if any(ids) else np.zeros(0, self.dtype)
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize)
+        known = np.concatenate((self.word_ids, fresh))
+        edge = np.concatenate((self.word_at, self.word_at[-1] + ends))
+        place[new] = len(self.words) + np.arange(len(new))
+        first, size = edge[place], edge[place + 1] - edge[place]
+        keep = min(len(new), CACHE_WORDS - len(self.words))
+        if keep > 0:
+            self.words = pa.concat_arrays([self.words, missing.slice(0, keep)])
+            self.word_at = edge[: len(self.words) + 1].copy()
+            self.word_ids = known[: self.word_at[-1]].copy()
+        held = size[code]
+        if self.byte_level:  # the first word of a text has no blank before it
+            held[at[:-1]] = 0
+        upto = np.zeros(len(held) + 1, np.int64)
+        np.cumsum(held, out=upto[1:])
+        source = np.repeat(first[code] - upto[:-1], held)
+        source += np.arange(len(source))
+        raw, bounds = known[source].tobytes(), (upto[at] * self.dtype.itemsize).tolist()
+        found = [raw[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [self._cut_ids(t.split(" ", 1)[0]) + x for t, x in zip(texts, found, strict=True)] if self.byte_level else found
 
     def _keep(self, new: dict[str, bytes]) -> None:
         room = CACHE_SEGMENTS - len(self.cache)
@@ -171,18 +197,31 @@ class Encoder:
         """The ids of each text as bytes of ``dtype``."""
         if self.segments is None:
             return self._ids(texts)
-        out: list[bytes] = []
-        for at in range(0, len(texts), 512):
-            cut = {}
-            for k, t in enumerate(texts[at : at + 512], at):
-                if _RARE.search(t):
-                    cut[k] = self.segments(t)
-                    out.append(b"")
-                else:
-                    out.append(self._common_ids(t))
-            known = self._known(list(set().union(*cut.values())), self._ids)
-            for k, parts in cut.items():
+        out, rare, common, size = [b""] * len(texts), {}, [], 0
+
+        def flush() -> None:
+            nonlocal size
+            for k, x in zip(common, self._common_ids([texts[k] for k in common]), strict=True):
+                out[k] = x
+            known = self._known(list(set().union(*rare.values())), self._ids)
+            for k, parts in rare.items():
                 out[k] = b"".join(map(known.__getitem__, parts))
+            common.clear()
+            rare.clear()
+            size = 0
+
+        odd = _ODD_BLANK if self.byte_level else _ODD_SPLIT
+        for k, t in enumerate(texts):
+            if _RARE.search(t):
+                rare[k] = self.segments(t)
+            elif odd.search(t):
+                out[k] = self._cut_ids(t if self.byte_level else t.lower())
+            else:
+                common.append(k)
+            size += len(t)
+            if size > CHUNK:
+                flush()
+        flush()
         return out
 
     def _known(self, parts: list[str], encode) -> dict[str, bytes]:
@@ -231,11 +270,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             for b in batches:
                 texts, at = b.column(1), 0
                 while at < len(texts):
-                    for x in enc.encode(texts.slice(at, 256).to_pylist()):
+                    for x in enc.encode(texts.slice(at, 4096).to_pylist()):
                         f.write(x)
                         f.write(end)
                         counts.append(len(x) // enc.dtype.itemsize + 1)
-                    at += 256
+                    at += 4096
                 ids.append(b.column(0).fill_null(0).to_numpy())
                 none.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
         if not counts:
