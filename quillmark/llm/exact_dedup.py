@@ -112,7 +112,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     sha, own_id, own_sha, n, kept = common.fresh(cols, "sha", "own_id", "own_sha", "n_rows", "is_kept")
     found = extendible_dedup(docs, id_col, text_col, **how)
     found = found.groupBy(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).agg(F.count(F.lit(1)).alias(n), F.max("kept").alias(kept))
-    found = common.staged(found.where(F.expr(f"{n} > 1 or not {kept}")), "dedup-dropped")
+    # by a sort at every size: what is dropped grows with the documents
+    found = common.staged(found.where(F.expr(f"{n} > 1 or not {kept}")), "dedup-dropped").hint("merge")
     hashed = docs.withColumn(sha, F.sha2(common.lower_ascii(F.col(text_col)), 256))
     out = hashed.join(found, hashed[id_col].eqNullSafe(found[own_id]) & (hashed[sha] == found[own_sha]), "left")
     once = out.where(F.col(n).isNull()).select(*(hashed[c] for c in cols))
