@@ -24,7 +24,7 @@ SHARD_TOKENS, K1, B = 1 << 20, 1.2, 0.75
 TASK_SHARDS = 4
 #: Documents that are counted at once (their number times the vocabulary stays under 2**32); a term of more than one in COMMON
 #: documents has a row of a table; neighbours that are put in order at once.
-BATCH, COMMON, FIRST = 4096, 16, 64
+BATCH, COMMON, FIRST = 2048, 16, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

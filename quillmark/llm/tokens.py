@@ -32,7 +32,7 @@ _WORDS = re.compile(f"[^{_WS}]+")
 #: Distinct words, pieces of words and other segments kept by a worker, of so many characters; more are encoded each time they come.
 CACHE_WORDS, CACHE_PIECES, CACHE_SEGMENTS, CACHE_CHARS = 1_000_000, 340_000, 100_000, 40
 #: Characters of texts that are worked on at once.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of text that one part holds, about, where the session's number of partitions would give more.
 PART_BYTES = 256 << 20
 #: Texts of these characters alone are cut by the tokenizers' own patterns, written out for them: ASCII and Latin letters.
@@ -270,11 +270,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             for b in batches:
                 texts, at = b.column(1), 0
                 while at < len(texts):
-                    for x in enc.encode(texts.slice(at, 4096).to_pylist()):
+                    for x in enc.encode(texts.slice(at, 2048).to_pylist()):
                         f.write(x)
                         f.write(end)
                         counts.append(len(x) // enc.dtype.itemsize + 1)
-                    at += 4096
+                    at += 2048
                 ids.append(b.column(0).fill_null(0).to_numpy())
                 none.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
         if not counts:
