@@ -43,7 +43,7 @@ class Model:
 
 
 class Gains:
-    """Bytes saved per window, remembered per process and model."""
+    """Bytes saved per window, remembered per process and model until a task ends."""
 
     _of: dict[tuple[int, int], "Gains"] = {}
 
@@ -69,6 +69,12 @@ class Gains:
             cls._of[key] = cls(model)
         return cls._of[key]
 
+    @classmethod
+    def release(cls) -> None:
+        """At a task's end: the worker waits with little memory, whatever comes next."""
+        cls._of.clear()
+        pa.default_memory_pool().release_unused()
+
     def gain(self, window: str) -> int:
         g = self.known.get(window)
         if g is None:
@@ -185,6 +191,7 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probabilities(model, b.column(1)))], names=["doc_id", "score"])
+        Gains.release()
 
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -199,6 +206,7 @@ def non_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(probabilities(model, b.column(at)) < threshold))
+        Gains.release()
 
     return docs.mapInArrow(run, docs.schema)
 
