@@ -6,10 +6,10 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shared import new_path, shared_dir, staged
+from ..shared import new_path, remove, shared_dir, staged
 from ..ship import ship
 
-__all__ = ["HOT", "LOWER", "UPPER", "WARM", "WORD", "fresh", "join_hot", "local_path", "lower_ascii", "new_path", "shared_dir", "ship", "staged", "table", "word_count"]
+__all__ = ["HOT", "LOWER", "UPPER", "WARM", "WORD", "fresh", "join_hot", "local_path", "lower_ascii", "new_path", "remove", "shared_dir", "ship", "staged", "table", "word_count"]
 
 #: Rows of a table that are broadcast as its hot ones, at most; rows that make a key hot, at least.
 HOT, WARM = 1 << 14, 1000

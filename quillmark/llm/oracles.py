@@ -111,4 +111,34 @@ r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id,
 m as (select doc_id, min(other) as component_id from r group by doc_id)
 select doc_id, coalesce(n, 0) as n_shingles, component_id from m left join n using (doc_id)"""
 
-SQL = {"op2_url_link_graph": OP2, "op3_extendible_dedup": OP3, "op4_ngram_ratio": OP4, "op6_curriculum_mix": OP6, "op8_count_vector_join": OP8}
+OP11 = f"""with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+f as (select doc_id, part, concat(case when len(w) < 50 then 'A' end, case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' end, case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' end,
+ case when regexp_matches(t, '[#$%&*|]') then 'D' end, case when doc_id > min(doc_id) over (partition by t) then 'E' end) as fails from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+m as (select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from f left join l using (doc_id) group by part, fails),
+s as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from s a, s b, s c, s d, s e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+c as (select part, filter_order, k, filter_order[k] as letter from (select distinct part from m), o, (select unnest(range(1, 6)) as k)),
+g as (select part, filter_order, n, good, toxic, fails, list_min(list_filter(range(1, 6), lambda i: contains(fails, filter_order[i]))) as gone from m, o),
+z as (select c.part, c.filter_order, c.k, c.letter, coalesce(sum(n) filter (gone is null or gone > k), 0)::bigint as kept, coalesce(sum(n) filter (gone = k), 0)::bigint as removed, coalesce(sum(n) filter (gone < k and contains(fails, letter)), 0)::bigint as redundant,
+ coalesce(sum(n) filter (fails = letter), 0)::bigint as unique_fails, coalesce(sum(good) filter (gone = k), 0)::bigint as good_lost, coalesce(sum(toxic) filter (gone = k), 0)::bigint as toxic_lost from c join g using (part, filter_order) group by all)
+select part, filter_order, k::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from z"""
+
+
+def op12(k: int = 8, rounds: int = 10, seed: int = 3, width: int = 64) -> str:
+    """Every round as CTEs: all distances, the nearest, floored means."""
+    out = [
+        f"v as (select row_number() over () as rn, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {width})",
+        f"c_0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id), v) - 1 as c, v as centre from v qualify c < {k})",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"d_{r} as (select rn, c, list_sum(list_transform(list_zip(v, centre), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c_{r})")
+        out.append(f"a_{r} as materialized (select rn, arg_min(c, d * {k} + c) as c, min(d) as d from d_{r} group by rn)")
+        if r < rounds:
+            out.append(f"p_{r} as (select c, i, sum(x)::hugeint as s, count(*) as n from (select c, unnest(v) as x, unnest(range(1, {width + 1})) as i from a_{r} join v using (rn)) group by c, i)")
+            out.append(f"m_{r} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as centre from p_{r} group by c)")
+            out.append(f"c_{r + 1} as materialized (select c, coalesce(m.centre, o.centre) as centre from c_{r} o left join m_{r} m using (c))")
+    return f"""with {', '.join(out)} select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(centre, ',')) as centroid_sha256 from a_{rounds} join v using (rn) join c_{rounds} using (c)"""
+
+
+SQL = {"op2_url_link_graph": OP2, "op3_extendible_dedup": OP3, "op4_ngram_ratio": OP4, "op6_curriculum_mix": OP6, "op8_count_vector_join": OP8, "op11_first_failure_audit": OP11, "op12_exponion_clusters": op12()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, exact_dedup, html_text, lattice_lm, mixing, near_join, oracles, packing, quality, tokens, toxicity, url_filter
+from . import common, exact_dedup, exponion, filter_audit, html_text, lattice_lm, media, mixing, near_join, oracles, packing, quality, tokens, toxicity, url_filter
 
 END = 2
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -63,6 +63,20 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path(WORD_BPE), END)
 
 
+def op11_first_failure_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, _ = exponion.cluster(common.table(spark, sf_dir, "embeddings"))
+    return clusters
+
+
+def op13_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.wav_column(common.table(spark, sf_dir, "documents")))
+    return media.with_feature(read).drop("pairs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
