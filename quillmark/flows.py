@@ -114,6 +114,15 @@ def reply_path(spark, sf_dir):
     return t.select("conv_id", "turn", js.reply_text(reply).alias("text"))
 
 
+def number_reply(spark, sf_dir):
+    """The numbers of a judge's reply about each document: fenced, bare, without the list or broken."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    body = F.to_json(F.struct(F.array(F.col("doc_id").cast("string"), F.concat(F.col("n_chars").cast("string"), F.lit(".5"))).alias("numbers")))
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit("Found:\n```json\n"), body, F.lit("\n```"))).when(k == 1, body).when(k == 2, F.lit('{"digits": ["1"]}')).otherwise(F.lit("none"))
+    return d.select("doc_id", F.array_join(js.reply_numbers(reply), " ").alias("numbers"))
+
+
 def similarity_reply(spark, sf_dir):
     """A judge's number out of its reply, else the pair's own similarity."""
     p = text_pairs(spark, sf_dir).select("doc_id", "r", "h")

@@ -24,10 +24,10 @@ def _segment(s: Column) -> Column:
 def stt_segments(reply: Column) -> Column:
     """array<struct<start_ts, end_ts, transcript, speaker>> of a reply in any of five shapes; a null field is a missing one.
 
-    Diarized entries come first, then segments, the first result that has segments, the data's segments, the bare transcript.
+    Diarized entries come first, then segments, the first result that has the field (an empty one, too), the data's segments, the bare transcript.
     """
     j = F.from_json(reply, SCHEMA)
-    results = F.filter(j["results"], lambda r: F.size(r["segments"]) > 0)
+    results = F.filter(j["results"], lambda r: r["segments"].isNotNull())
     whole = F.when(j["transcript"].isNotNull(), F.array(_out(F.lit(0.0), F.lit(0.0), j["transcript"], F.lit(DEFAULT_SPEAKER))))
     return F.coalesce(
         F.transform(j["diarized_transcript"]["entries"], lambda e: _out(e["start_time_seconds"], e["end_time_seconds"], e["transcript"], e["speaker_id"])),
@@ -50,6 +50,11 @@ def fenced_object(reply: Column, schema: str) -> Column:
     return F.from_json(fenced(reply), schema)
 
 
+def reply_numbers(reply: Column) -> Column:
+    """The digit strings of an annotator's {"numbers": [...]}, fenced or not; none where there is no such list."""
+    return F.coalesce(fenced_object(reply, "numbers array<string>")["numbers"], F.array().cast("array<string>"))
+
+
 def reply_text(reply: Column) -> Column:
     return F.get_json_object(reply, "$.candidates[0].content.parts[0].text")
 

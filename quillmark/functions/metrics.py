@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import NUMBERS, numbers, ratio
+from .numbers import numbers
+from .text import ratio
 
 
 def length_penalty(n_ref: Column, n_hyp: Column) -> Column:
@@ -56,8 +57,9 @@ def number_recall(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(r) > 0, F.size(F.array_intersect(r, hyp)).cast("double") / F.size(r)).otherwise(F.lit(1.0))
 
 
-def number_accuracy(ref_text: Column, hyp_text: Column, words: dict[str, str] = NUMBERS) -> Column:
-    return number_recall(numbers(ref_text, words), numbers(hyp_text, words))
+def number_accuracy(ref_text: str, hyp_text: str) -> Column:
+    """Recall of numbers between two text columns, by their names."""
+    return number_recall(numbers(ref_text), numbers(hyp_text))
 
 
 def grade(rate: Column) -> Column:

@@ -183,18 +183,3 @@ def corrupted(words, drop: int | None = 7, swap: int | None = 11, double: int |
         return out if drop is None else F.when(i % drop == 3, F.array().cast("array<string>")).otherwise(out)
 
     return F.flatten(F.transform(_col(words), step))
-
-
-#: Number words of the local rules, fixed values: Hindi, romanised and English.
-NUMBERS = {"das": "10", "दस": "10", "ten": "10", "paanch": "5", "पांच": "5", "five": "5", "sau": "100", "सौ": "100", "hundred": "100"}
-
-
-def normalize_numbers(c, words: dict[str, str] = NUMBERS) -> Column:
-    """Number words as digits; white space and everything else as it was."""
-    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
-    parts = F.regexp_extract_all(_col(c), F.lit(r"(?U)\s+|[^\s]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), "")
-
-
-def numbers(c, words: dict[str, str] = NUMBERS) -> Column:
-    return F.regexp_extract_all(normalize_numbers(c, words), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))

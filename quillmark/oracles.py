@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators.entities import ALIASES
-from .pairs import FILLER
-from .queries import FIXTURE_NAMES, FIXTURE_NUMBERS
+from .functions.numbers import AND, FOLD_FROM, FOLD_TO, table
+from .operators.entities import CATEGORIES
+from .pairs import CAPITALS, FILLER, LEAST
 
 
 def tok(c: str) -> str:
@@ -34,17 +34,23 @@ def rate(d: str, r: str = "r", h: str = "h") -> str:
 RATES = f"""{PAIRS}, rates as (select *, {distance('r', 'h')} as distance from pairs), rated as (select *, {rate('distance')} as wer from rates)"""
 
 
-def in_map(m: dict[str, str], x: str) -> str:
-    cases = " ".join(f"when {x} = '{k}' then '{v}'" for k, v in m.items())
-    return f"case {cases} end"
+#: Number words that mean a number by themselves.
+ALONE = "MAP {" + ", ".join(f"'{w}': '{n}'" for w, (kind, n) in table().items() if kind < AND) + "}"
 
 
 def norm(c: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all({c}, '\\s+|[^\\s]+'), lambda w: coalesce({in_map(FIXTURE_NUMBERS, 'lower(w)')}, w)), '')"
+    """Number words of the prose as digits, word by word: no two that make one number follow each other there."""
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: coalesce({ALONE}[translate(lower(w), '{FOLD_FROM}', '{FOLD_TO}')], w)), '')"
 
 
-def nums(c: str) -> str:
-    return f"regexp_extract_all({norm(c)}, '[0-9]+(?:\\.[0-9]+)?')"
+def said(side: str) -> str:
+    """A pair's text as digits: what the speaker adds in words is known."""
+    item = "doc_id" if side == "ref" else "doc_id + (doc_id % 3 = 0)::int"
+    return f"({norm(side)} || ' total ' || length(ref) || ' item ' || ({item}))"
+
+
+def nums(side: str) -> str:
+    return f"regexp_extract_all({said(side)}, '[0-9]+(?:\\.[0-9]+)?')"
 
 
 def total(c: str) -> str:
@@ -81,8 +87,8 @@ def diff(a: str, b: str) -> str:
     return f"coalesce(list_sum(list_transform(list_zip(string_split({a}, ''), string_split({b}, '')), lambda x: (x[1] <> x[2])::int)), 0)"
 
 
-def prepare(c: str) -> str:
-    t = norm(c)
+def prepare(t: str) -> str:
+    """Text with its numbers as digits, as error rates are worked out on."""
     for what, to in (("(?m)^[\\p{L}\\p{N}_]+:\\s*", ""), ("\\(\\p{Nd}+:\\p{Nd}+\\.?\\p{Nd}*-\\p{Nd}+:\\p{Nd}+\\.?\\p{Nd}*\\)", ""), ("\\s+", " "), ("^\\s+|\\s+$", "")):
         t = f"regexp_replace({t}, '{what}', '{to}', 'g')"
     return f"lower({t})"
@@ -113,37 +119,38 @@ def segs(name: str, src: str, key: str, c: str) -> str:
  string_agg(case when instr(line, ':') > 0 then regexp_replace(substring(line, instr(line, ':') + 1), '^\\s+|\\s+$', '', 'g') else line end, ' ' order by line_no) as text from {name}1 where seg > 0 group by {key}, seg)"""
 
 
-CANON = f"coalesce({in_map(ALIASES, 'lower({x})')}, lower({{x}}))"
-
-
-def canon(x: str) -> str:
-    return f"coalesce({in_map(ALIASES, f'lower({x})')}, lower({x}))"
+NAME = "[\\p{L}\\p{M}\\p{N}_]+"
 
 
-def ents(c: str, words: str) -> str:
-    w = f"list_distinct({low(words)})"
-    parts = []
-    for cat in ("PERSON", "ORG", "LOCATION", "PRODUCT", "TICKER"):
-        own = [k for k, v in FIXTURE_NAMES.items() if v == cat]
-        names = f"list_filter({w}, lambda x: list_contains([{', '.join(repr(x) for x in own)}]::varchar[], x))"
-        if cat == "PERSON":
-            names = f"list_distinct(list_concat({names}, regexp_extract_all({ascii_only(c)}, '{NOUN}')))"
-        parts.append(f"{{'category': '{cat}', 'names': {names}}}")
-    return "[" + ", ".join(parts) + "]"
+def runs(c: str, pattern: str = NOUN) -> str:
+    return f"unnest(list_transform(regexp_extract_all({ascii_only(c)}, '{pattern}'), lambda x: array_to_string(regexp_extract_all(lower(x), '{NAME}'), ' ')))"
 
 
-ENTITY = f"""{PAIRS}, e0 as (select doc_id, unnest({ents('ref', 'r')}) as e, unnest({ents('hyp', 'h')}) as g from pairs),
-e1 as (select doc_id, e.category as category, len(e.names) as n_ref, len(list_filter(e.names, lambda x: list_contains(list_transform(g.names, lambda y: {canon('y')}), {canon('x')}))) as n_matched from e0)"""
+ALLOWED = "case when least(length(a.canon), length(b.canon)) < 5 then 0 when least(length(a.canon), length(b.canon)) < 9 then 1 else 2 end"
+ENTITIES = f"""known as (select name, {list(CATEGORIES)}[(length(name) % 5)::int + 1] as category, string_split(name, ' ') as nw from (select doc_id, {runs('text', CAPITALS)} as name from documents) where length(name) >= {LEAST} group by name having count(distinct doc_id) >= 2),
+side as (select doc_id, 'ref' as side, ref as t from pairs union all select doc_id, 'hyp', hyp from pairs),
+wrd as (select doc_id, side, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from (select doc_id, side, regexp_extract_all(lower(t), '{NAME}') as w from side)),
+nwd as (select name, len(nw) as n, unnest(nw) as x, unnest(range(0, len(nw))) as k from known),
+hits as (select doc_id, side, p - k as start, name, n from wrd join nwd using (x) group by all having count(*) = n),
+cov as (select *, max(start + n) over (partition by doc_id, side order by start, n desc rows between unbounded preceding and 1 preceding) as upto from hits),
+own as (select distinct doc_id, side, {runs('t')} as name from side),
+ent as (select distinct doc_id, side, category, name from cov join known using (name) where upto is null or upto < start + n union select doc_id, side, 'PERSON', name from own where name not in (select name from known)),
+als as (select case when len(nw) >= 3 then array_to_string(nw[1:2], ' ') else name[1:7] end as alias, min(name) as target from known where len(nw) >= 3 or (len(nw) = 1 and length(name) >= 10) group by 1 having alias not in (select name from known)),
+dn as (select side, name, coalesce(target, name) as canon from (select distinct side, name from ent) left join als on name = alias),
+same as (select a.name, b.name as other from dn a join dn b on a.side = 'ref' and b.side = 'hyp' where a.canon = b.canon or (case when abs(length(a.canon) - length(b.canon)) <= 2 then levenshtein(a.canon, b.canon) <= {ALLOWED} else false end)),
+mt as (select distinct r.doc_id, r.category, r.name from ent r join same s on r.name = s.name join ent h on h.side = 'hyp' and h.doc_id = r.doc_id and h.category = r.category and h.name = s.other where r.side = 'ref'),
+cnt as (select e.doc_id, e.category, count(*) as n_ref, count(mt.name) as n_matched from ent e left join mt using (doc_id, category, name) where side = 'ref' group by 1, 2),
+e1 as (select doc_id, category, coalesce(n_ref, 0) as n_ref, coalesce(n_matched, 0) as n_matched from (select doc_id, unnest({list(CATEGORIES)}) as category from documents) left join cnt using (doc_id, category))"""
+ENTITY = f"{PAIRS}, {ENTITIES}"
 
-PREPARED = f"""{PAIRS}, q0 as (select *, {tok(prepare('ref'))} as pr, {tok(prepare('hyp'))} as ph from pairs), rates as (select *, {distance('pr', 'ph')} as distance from q0), rated as (select *, {rate('distance', 'pr', 'ph')} as wer from rates)"""
+PREPARED = f"""{PAIRS}, q0 as (select *, {tok(prepare(said('ref')))} as pr, {tok(prepare(said('hyp')))} as ph from pairs), rates as (select *, {distance('pr', 'ph')} + (doc_id % 3 = 0)::int as distance from q0), rated as (select *, {rate('distance', 'pr', 'ph')} as wer from rates)"""
 
 SCORED = f"""{PREPARED},
-e0 as (select doc_id, unnest({ents('ref', 'r')}) as e, unnest({ents('hyp', 'h')}) as g from pairs),
-e1 as (select doc_id, sum(len(e.names)) as n, sum(len(list_filter(e.names, lambda x: list_contains(list_transform(g.names, lambda y: {canon('y')}), {canon('x')})))) as m from e0 group by doc_id),
+{ENTITIES}, e2 as (select doc_id, sum(n_ref) as n, sum(n_matched) as m from e1 group by doc_id),
 {segs('sr', 'pairs', 'doc_id', 'ref')}, {segs('sh', 'pairs', 'doc_id', 'hyp')},
 sp as (select a.doc_id, avg((lower(a.speaker) = lower(b.speaker))::int) as speaker from sr a join sh b on a.doc_id = b.doc_id and a.pos = b.pos group by a.doc_id),
 feat as (select x.doc_id, wer, case when n > 0 then m::double / n else 1.0 end as entity, {adjacent('h')} as repetition, {JACCARD_CI} as semantic, coalesce(speaker, 0.0) as speaker, {NUMBER_ACC} as number
- from rated x join e1 using (doc_id) left join sp using (doc_id)),
+ from rated x join e2 using (doc_id) left join sp using (doc_id)),
 parts as (select *, greatest(0.0, 1 - wer) * 0.15 as part_wer, entity * 0.40::double as part_entity, greatest(0.0, 1 - repetition / 5) * 0.10 as part_repetition, semantic * 0.15::double as part_semantic, speaker * 0.10::double as part_speaker, number * 0.10::double as part_number from feat),
 scored as (select *, least(greatest(part_wer + part_entity + part_repetition + part_semantic + part_speaker + part_number, 0.0), 1.0)::double as reward from parts)"""
 
@@ -216,8 +223,8 @@ SQL = {
     "token_stats": f"select doc_id, len({tok('text')}) as n_words, length(text) as n_chars, round(case when len({tok('text')}) > 0 then list_sum(list_transform({tok('text')}, lambda x: length(x)))::double / len({tok('text')}) else 0.0 end, 6) as avg_word_length from documents",
     "transcript_totals": f"select conv_id, count(*) as n_segments, sum(len({tok('text')}))::bigint as n_words, sum(length(text))::bigint as n_chars from conversations group by conv_id",
     "preview": "select doc_id, substring(text, 1, 500) as p500, substring(text, 1, 50) as p50 from documents",
-    "wer_preprocess": f"select doc_id, {prepare("'ss: ' || text || ' (0:01-0:02.5)' || chr(10) || 'ps: Un x'")} as prepared from documents",
-    "number_normalize": f"select doc_id, {norm('text')} as normalized, {norm('text')} <> text as changed from documents",
+    "wer_preprocess": f"select doc_id, {prepare("'ss: ' || " + norm('text') + " || ' (0:01-0:02.5)' || chr(10) || 'ps: 235 x'")} as prepared from documents",
+    "number_normalize": f"with {PAIRS} select doc_id, {said('ref')} as normalized, {norm('ref')} <> ref as changed from pairs",
     "number_recall": f"with {PAIRS} select doc_id, len(list_distinct({nums('ref')})) as n_numbers, round({NUMBER_ACC}, 6) as number_accuracy from pairs",
     "adjacent_repetition": f"with d as (select doc_id, {tok('text')} as w from documents) select doc_id, round({adjacent('w')}, 6) as repetition from d",
     "global_repetition": f"""with d as (select doc_id, {tok('text')} as w from documents), x as (select doc_id, unnest(w) as t from d), c as (select doc_id, t, count(*) n from x group by 1, 2), g as (select doc_id, count(*) filter (n > 1) as k from c group by 1)

@@ -27,6 +27,7 @@ def joined(chunks: str, name: str) -> str:
 
 
 SQL = {
+    "number_reply": "select doc_id, case when doc_id % 4 < 2 then doc_id || ' ' || n_chars || '.5' else '' end as numbers from documents",
     "default_features": f"with {ALIGNED} select doc_id, {rerank_cols('doc_id % 7 = 0')}, case when doc_id % 7 = 0 then 1.0::double else round(greatest(0.0, 1 - wer)::double, 6) end as target from aligned",
     "ground_truth_scan": f"select {SAMPLE} as audio_path, text as reference_text, case when doc_id % 2 = 1 then 'sample_' || (doc_id - 1) || '.wav' else {SAMPLE} end as original_audio, doc_id % 2 = 1 as is_augmented from documents",
     "training_scan": f"select transcript, quality_score, wer, label from ({ladder()})",

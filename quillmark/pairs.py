@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .functions.numbers import LANGUAGES, spelled
 from .functions.text import corrupted, tokens
+from .operators.entities import CATEGORIES
+from .operators.names import folded_name
 from .ship import ship
 
 #: What a recogniser writes for a sound that is no word; no text of the tables has it. With words only left out or replaced by it,
@@ -36,6 +39,39 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("ref", F.array_join("r", " ")).withColumn("hyp", F.array_join("h", " "))
 
 
+def spoken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_pairs`` with ref_said and hyp_said: each text and, in number words of a language, its reference's length and its own
+    number, which the hypothesis gets wrong by one in every third document."""
+    item = F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    pairs = text_pairs(spark, sf_dir).withColumn("length", F.length("ref")).withColumn("item", item)
+
+    def said(text: str, item: str) -> Column:
+        way = lambda k, x: F.when(F.col("doc_id") % len(LANGUAGES) == k, F.concat(F.lit(" total "), spelled("length", x), F.lit(" item "), spelled(item, x)))
+        return F.concat(text, F.coalesce(*(way(k, x) for k, x in enumerate(LANGUAGES))))
+
+    return pairs.withColumn("ref_said", said("ref", "doc_id")).withColumn("hyp_said", said("hyp", "item")).drop("length", "item")
+
+
+#: Runs of one or more capitalised ASCII words, and letters that a fixture's name has at least.
+CAPITALS, LEAST = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", 6
+
+
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, category: a gazetteer of the tables' own capitalised runs that two documents have, with a category by their length."""
+    runs = documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(CAPITALS), F.lit(0))).alias("run")).select("doc_id", folded_name(F.col("run")).alias("name"))
+    names = runs.where(F.length("name") >= LEAST).groupBy("name").agg(F.count_distinct("doc_id").alias("n")).where("n >= 2")
+    return names.select("name", F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.length("name") % len(CATEGORIES) + 1)).alias("category"))
+
+
+def name_aliases(names: DataFrame) -> DataFrame:
+    """alias, name: the first two words of longer names stand for them, as do the first seven letters of long single words that
+    aren't names themselves."""
+    words = F.split("name", " ")
+    two = names.where(F.size(words) >= 3).select(F.array_join(F.slice(words, 1, 2), " ").alias("alias"), "name")
+    short = names.where((F.size(words) == 1) & (F.length("name") >= 10)).select(F.substring("name", 1, 7).alias("alias"), "name")
+    return two.unionByName(short).join(names.select(F.col("name").alias("alias")), "alias", "left_anti")
+
+
 def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, speaker, transcript, start_ts, end_ts: turns one after the other, 0.4 s a word."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.col("text").alias("transcript"), F.size(tokens("text")).alias("n"))

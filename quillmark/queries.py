@@ -6,13 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions import edit, json as js, metrics as M, text as T
+from .functions import edit, json as js, metrics as M, numbers as N, text as T
 from .operators import entities as E, models, report as R, segments as S
-from .pairs import FILLER, documents, labelled_transcripts, table, text_pairs, timed_turns
-
-#: Fixtures: the tables' invented prose has no number words and no names, so these of its own words stand for some.
-FIXTURE_NUMBERS = T.NUMBERS | {"un": "1", "una": "1", "ein": "1", "eine": "1"}
-FIXTURE_NAMES = E.GAZETTEER | {"the": "PRODUCT", "of": "LOCATION", "and": "ORG", "der": "LOCATION", "que": "ORG", "les": "PERSON"}
+from .pairs import FILLER, documents, known_names, labelled_transcripts, name_aliases, spoken_pairs, table, text_pairs, timed_turns
+from .shared import staged
 
 
 def _r(c: Column) -> Column:
@@ -38,18 +35,19 @@ def preview(spark, sf_dir):
 
 
 def wer_preprocess(spark, sf_dir):
-    stamped = F.concat(F.lit("ss: "), F.col("text"), F.lit(" (0:01-0:02.5)\nps: Un x"))
-    return _docs(spark, sf_dir).select("doc_id", T.preprocess(T.normalize_numbers(stamped, FIXTURE_NUMBERS)).alias("prepared"))
+    stamped = F.concat(F.lit("ss: "), F.col("text"), F.lit(" (0:01-0:02.5)\nps: Two hundred thirty-five x"))
+    return _docs(spark, sf_dir).withColumn("stamped", stamped).select("doc_id", T.preprocess(N.normalize_numbers("stamped")).alias("prepared"))
 
 
 def number_normalize(spark, sf_dir):
-    n = T.normalize_numbers(F.col("text"), FIXTURE_NUMBERS)
-    return _docs(spark, sf_dir).select("doc_id", n.alias("normalized"), (n != F.col("text")).alias("changed"))
+    """Texts that end in numbers as words, read as digits."""
+    d = spoken_pairs(spark, sf_dir).select("doc_id", "ref", N.normalize_numbers("ref_said").alias("normalized"))
+    return d.select("doc_id", "normalized", (~F.startswith("normalized", F.concat("ref", F.lit(" total ")))).alias("changed"))
 
 
 def number_recall(spark, sf_dir):
-    p = text_pairs(spark, sf_dir)
-    return p.select("doc_id", F.size(F.array_distinct(T.numbers("ref", FIXTURE_NUMBERS))).alias("n_numbers"), _r(M.number_accuracy(F.col("ref"), F.col("hyp"), FIXTURE_NUMBERS)).alias("number_accuracy"))
+    p = spoken_pairs(spark, sf_dir).select("doc_id", N.numbers("ref_said").alias("r"), N.numbers("hyp_said").alias("h"))
+    return p.select("doc_id", F.size(F.array_distinct("r")).alias("n_numbers"), _r(M.number_recall(F.col("r"), F.col("h"))).alias("number_accuracy"))
 
 
 def adjacent_repetition(spark, sf_dir):
@@ -142,12 +140,12 @@ def word_wer(spark, sf_dir):
 
 def _prepared(text: str) -> Column:
     """The words that a reward's error rate compares."""
-    return T.tokens(T.preprocess(T.normalize_numbers(F.col(text), FIXTURE_NUMBERS)))
+    return T.tokens(T.preprocess(N.normalize_numbers(text)))
 
 
 def wer_prepared(spark, sf_dir):
     """The error rate of the prepared pair: numbers as digits, without labels and stamps, in lower case."""
-    p = text_pairs(spark, sf_dir).select("doc_id", _prepared("ref").alias("r"), _prepared("hyp").alias("h"))
+    p = spoken_pairs(spark, sf_dir).select("doc_id", _prepared("ref_said").alias("r"), _prepared("hyp_said").alias("h"))
     p = p.withColumn("distance", edit.word_distance(F.col("r"), F.col("h")))
     return p.select("doc_id", F.size("r").alias("n_ref"), F.size("h").alias("n_hyp"), "distance", _r(edit.error_rate(F.col("distance"), F.size("r"), F.size("h"))).alias("wer"))
 
@@ -247,8 +245,13 @@ def speaker_rollup(spark, sf_dir):
 
 
 def _entity_rows(spark, sf_dir) -> DataFrame:
-    p = text_pairs(spark, sf_dir).select("doc_id", E.entities(F.col("ref"), FIXTURE_NAMES).alias("e_ref"), E.entities(F.col("hyp"), FIXTURE_NAMES).alias("e_hyp"))
-    return E.entity_rows(p, "doc_id", "e_ref", "e_hyp")
+    """Recall of names by category, over a gazetteer and aliases that the tables' own capitalised runs give."""
+    known = staged(known_names(spark, sf_dir), "known-names")
+    p = text_pairs(spark, sf_dir)
+    sides = F.explode(F.array(*(F.struct(F.struct("doc_id", F.lit(t).alias("side")).alias("at"), F.col(t).alias("text")) for t in ("ref", "hyp"))))
+    found = staged(E.entities(p.select(sides.alias("x")).select("x.*"), "at", "text", known).select("at.*", "category", "name"), "names-found")
+    ref, hyp = (found.where(F.col("side") == t).drop("side") for t in ("ref", "hyp"))
+    return E.entity_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ref, hyp, name_aliases(known))
 
 
 def entity_match(spark, sf_dir):
@@ -299,15 +302,17 @@ def fenced_json(spark, sf_dir):
 
 def _scored(spark, sf_dir) -> DataFrame:
     """Pairs with the six features, the reward's parts and the reward."""
-    p = text_pairs(spark, sf_dir)
-    # what lambdas use again and again is a column first
-    p = p.withColumn("e_ref", E.entities(F.col("ref"), FIXTURE_NAMES)).withColumn("e_hyp", E.entities(F.col("hyp"), FIXTURE_NAMES))
-    p = p.withColumn("n_ref", T.numbers("ref", FIXTURE_NUMBERS)).withColumn("n_hyp", T.numbers("hyp", FIXTURE_NUMBERS))
-    p = p.withColumn("p_ref", _prepared("ref")).withColumn("p_hyp", _prepared("hyp"))
+    p = spoken_pairs(spark, sf_dir)
+    # what lambdas use again and again is a column first; a text's numbers are read once
+    p = p.withColumn("d_ref", N.normalize_numbers("ref_said")).withColumn("d_hyp", N.normalize_numbers("hyp_said"))
+    digits = lambda c: F.regexp_extract_all(c, F.lit(N.DIGITS), F.lit(0))
+    p = p.withColumn("n_ref", digits("d_ref")).withColumn("n_hyp", digits("d_hyp"))
+    p = p.withColumn("p_ref", T.tokens(T.preprocess("d_ref"))).withColumn("p_hyp", T.tokens(T.preprocess("d_hyp")))
     p = p.withColumn("wer", edit.error_rate(edit.word_distance(F.col("p_ref"), F.col("p_hyp")), F.size("p_ref"), F.size("p_hyp")))
-    p = p.withColumn("entity", E.entity_score(F.col("e_ref"), F.col("e_hyp"))).withColumn("repetition", T.adjacent_repetition("h"))
+    p = p.withColumn("repetition", T.adjacent_repetition("h"))
     p = p.withColumn("s_ref", S.speaker_segments(F.col("ref"))).withColumn("s_hyp", S.speaker_segments(F.col("hyp")))
     p = p.withColumn("semantic", M.similarity(F.col("r"), F.col("h"))).withColumn("speaker", S.speaker_accuracy(F.col("s_ref"), F.col("s_hyp"))).withColumn("number", M.number_recall(F.col("n_ref"), F.col("n_hyp")))
+    p = p.select("doc_id", "wer", "repetition", "semantic", "speaker", "number").join(E.entity_scores(_entity_rows(spark, sf_dir), "doc_id"), "doc_id")
     parts = M.reward_parts(*(F.col(c) for c in ("wer", "entity", "repetition", "semantic", "speaker", "number")))
     p = p.withColumns({f"part_{k}": c for k, c in parts.items()})
     return p.withColumn("reward", M.reward_score({k: F.col(f"part_{k}") for k in parts}))

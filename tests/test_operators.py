@@ -29,14 +29,18 @@ def test_speaker_accuracy(spark):
 
 
 def test_entities(spark):
-    d = spark.createDataFrame([("I bought HDFC in Mumbai", "i bought hdfc"), ("x", "y")], "r string, h string")
-    assert E.GAZETTEER.keys().isdisjoint({"the", "of", "and"})
-    x = d.select(E.entity_score(E.entities(F.col("r")), E.entities(F.col("h"))).alias("s")).collect()
-    assert [r.s for r in x] == [0.5, 1.0]
-    y = spark.createDataFrame([(["HDFC Bank", "X"], ["hdfc"])], "a array<string>, b array<string>").select(E.matched(F.col("a"), F.col("b")).alias("m")).first()
-    assert y.m == ["HDFC Bank"]
-    z = spark.createDataFrame([({"ORG": ["a"], "NEW": ["b"]},)], "m map<string,array<string>>").select(E.with_defaults(F.col("m")).alias("m")).first()
-    assert set(z.m) == set(E.CATEGORIES) | {"NEW"} and z.m["ORG"] == ["a"]
+    d = spark.createDataFrame([(1, "I bought HDFC Bank in Mumbai. General Public", "i bought hdfc, general publik"), (2, "x", "y")], "k int, r string, h string")
+    more = E.gazetteer(spark).union(spark.createDataFrame([("HDFC Bank", "ORG"), ("general publik", "PERSON")], "name string, category string"))
+    ref, hyp = E.entities(d, "k", "r", more), E.entities(d, "k", "h", more)
+    assert sorted(map(tuple, ref.collect())) == [(1, "LOCATION", "mumbai"), (1, "ORG", "hdfc bank"), (1, "PERSON", "general public")]
+    rows = {(r.k, r.category): (r.n_ref, r.n_matched, r.score) for r in E.entity_rows(d, "k", ref, hyp, E.aliases(spark)).collect()}
+    assert rows[1, "ORG"] == (1, 1, 1.0) and rows[1, "LOCATION"] == (1, 0, 0.0) and rows[1, "PERSON"] == (1, 1, 1.0) and rows[2, "ORG"] == (0, 0, 1.0) and len(rows) == 10
+    scores = E.entity_scores(E.entity_rows(d, "k", ref, hyp, E.aliases(spark)), "k").collect()
+    assert {r.k: r.entity for r in scores} == {1: pytest.approx(2 / 3), 2: 1.0}
+    z = spark.createDataFrame([(1, {"ORG": ["A  b"], "NEW": ["b"]})], "k int, m map<string,array<string>>")
+    filled = z.select(E.with_defaults(F.col("m")).alias("m")).first()
+    assert set(filled.m) == set(E.CATEGORIES) | {"NEW"} and filled.m["ORG"] == ["A  b"]
+    assert sorted(map(tuple, E.from_maps(z, "k", "m").collect())) == [(1, "NEW", "b"), (1, "ORG", "a b")]
 
 
 def test_rerank_is_stable(spark):

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quillmark.functions import edit, json as js, metrics as M, text as T
+from quillmark.functions import edit, json as js, metrics as M, numbers as N, text as T
 
 EDGES = ["", "   ", "e", "a😀 a_b c", "ss: Hi\nps: A: b", "The Big Dog\nCat x Y Zed Two", "lead\nss: x\nmore", "दे शुड", None, "a a A b"]
 
@@ -24,7 +24,7 @@ def test_tokens(spark):
 def test_edges_never_fail(spark):
     d = spark.createDataFrame([(t,) for t in EDGES], "t string")
     w = T.tokens("t")
-    out = d.select(T.preprocess("t"), T.adjacent_repetition(w), T.global_repetition(w), T.char_diversity("t"), T.punct_ratio("t"), T.digit_ratio("t"), T.special_ratio("t"), T.syllables("t"), T.mean_word_length(w), T.compound_noun_hits("t"), T.fragments("t"), T.chunks(T.fragments("t"), 10), T.chunks(w, 200, 180), T.clean("t"), T.normalize_numbers("t"), T.numbers("t"))
+    out = d.select(T.preprocess("t"), T.adjacent_repetition(w), T.global_repetition(w), T.char_diversity("t"), T.punct_ratio("t"), T.digit_ratio("t"), T.special_ratio("t"), T.syllables("t"), T.mean_word_length(w), T.compound_noun_hits("t"), T.fragments("t"), T.chunks(T.fragments("t"), 10), T.chunks(w, 200, 180), T.clean("t"), N.normalize_numbers("t"), N.numbers("t"))
     assert len(out.collect()) == len(EDGES)
 
 
@@ -108,7 +108,7 @@ def test_distance_of_long_texts_with_many_words(spark):
 
 def test_smoke_pair(spark):
     d = spark.createDataFrame([("buy HDFC", "buy HSBC")], "r string, h string").select(T.tokens("r").alias("r"), T.tokens("h").alias("h"), F.col("r").alias("rt"), F.col("h").alias("ht"))
-    x = d.select(edit.error_rate(edit.word_distance(F.col("r"), F.col("h")), F.size("r"), F.size("h")).alias("wer"), M.jaccard_folded(F.col("r"), F.col("h")).alias("j"), M.number_accuracy(F.col("rt"), F.col("ht")).alias("n"), T.adjacent_repetition("h").alias("rep")).first()
+    x = d.select(edit.error_rate(edit.word_distance(F.col("r"), F.col("h")), F.size("r"), F.size("h")).alias("wer"), M.jaccard_folded(F.col("r"), F.col("h")).alias("j"), M.number_accuracy("rt", "ht").alias("n"), T.adjacent_repetition("h").alias("rep")).first()
     assert (x.wer, x.n, x.rep) == (0.5, 1.0, 0.0) and x.j == pytest.approx(1 / 3)
 
 
