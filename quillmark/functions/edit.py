@@ -51,12 +51,97 @@ def levenshtein(ref: list, hyp: list) -> int:
     return distance
 
 
+#: Cells of a step that are worked out together, and edits beyond which distances alone are had by bits of whole numbers.
+CELLS, MANY = 1 << 14, 96
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> int:
+    """A bound of the distance from below: words of the longer side that the other can't pair off."""
+    (x, n), (y, m) = (np.unique(c, return_counts=True) for c in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return max(len(a), len(b)) - int(np.minimum(n[i], m[j]).sum())
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, hits) of pairs in order of falling length, exact where a distance is ``most`` or less.
+
+    An alignment of so few edits stays on ``most`` + 1 diagonals. The table's cells on them are worked out row by row for all pairs
+    at once: time is length times edits. Cost and hits are one number, as a hit takes 1 off and an edit costs more than all hits;
+    cells are less by their diagonal's insertions, so that insertions are a running minimum.
+    """
+    n, m = (np.array([len(x[side]) for x in pairs]) for side in (0, 1))
+    rows, wide, big = int(n[0]), most + 1, int(np.minimum(n, m).max()) + 1
+    far = (int((n + m).max()) + wide + 2) * big
+    kind = np.int32 if far + 2 * wide * big < 1 << 31 else np.int64
+    first = -((most - (m - n)) // 2)  # each pair's lowest diagonal
+    words, others = np.full((rows, len(pairs)), -2, np.int32), np.full((len(pairs), rows + wide), -1, np.int32)
+    for p, (a, b) in enumerate(pairs):
+        words[: len(a), p] = a
+        own = b[: rows + wide + first[p]]
+        others[p, -first[p] : len(own) - first[p]] = own
+    cells = np.full((len(pairs), wide + 1), far, kind)
+    cells[:, :wide][first[:, None] + np.arange(wide) >= 0] = 0
+    step, down = np.empty((len(pairs), wide), kind), np.empty((len(pairs), wide), kind)
+    out, live = np.zeros(len(pairs), np.int64), np.searchsorted(-n, -np.arange(rows + 2), side="right")
+    for i in range(rows):
+        k = live[i + 1]  # pairs that have this row
+        best, over, row = step[:k], down[:k], cells[:k]
+        np.multiply(others[:k, i : i + wide] == words[i, :k, None], kind(-1 - big), out=best)
+        best += kind(big)
+        best += row[:, :wide]
+        np.add(row[:, 1:], kind(2 * big), out=over)
+        np.minimum(best, over, out=best)
+        np.minimum.accumulate(best, axis=1, out=row[:, :wide])
+        for p in range(live[i + 2], k):
+            out[p] = int(cells[p, m[p] - n[p] - first[p]]) + int(m[p] - n[p]) * big
+    distance = -(-out // big)
+    return distance, distance * big - out
+
+
+def solve(pairs: Iterator[tuple[np.ndarray, np.ndarray]], hits: bool = True) -> list[tuple[int, int]]:
+    """(distance, hits) of each pair: the most equal words among alignments of least cost. Without ``hits`` these may be 0.
+
+    Words that both sides begin or end with are hits. A band of as many edits as words can't be paired off comes first, and one of
+    twice as many where that was too narrow.
+    """
+    out: list[tuple[int, int]] = []
+    todo = []
+    for a, b in pairs:
+        k = min(len(a), len(b))
+        lead = np.flatnonzero(a[:k] != b[:k])
+        start = int(lead[0]) if len(lead) else k
+        a, b, k = a[start:], b[start:], k - start
+        tail = np.flatnonzero(a[len(a) - k :][::-1] != b[len(b) - k :][::-1])
+        end = int(tail[0]) if len(tail) else k
+        a, b = a[: len(a) - end], b[: len(b) - end]
+        out.append((max(len(a), len(b)), start + end))
+        if len(a) and len(b):
+            todo.append((max(_least(a, b), abs(len(a) - len(b))), len(out) - 1, a, b))
+    if not hits:
+        for most, x, a, b in todo:
+            if most > MANY:
+                out[x] = levenshtein(a.tolist(), b.tolist()), 0
+        todo = [t for t in todo if t[0] <= MANY]
+    while todo:
+        todo.sort(key=lambda t: (t[0].bit_length(), len(t[2])), reverse=True)
+        size = todo[0][0].bit_length()
+        most = max(t[0] for t in todo if t[0].bit_length() == size)
+        now = [t for t in todo[: max(CELLS // (most + 1), 1)] if t[0].bit_length() == size]
+        todo = todo[len(now) :]
+        for (least, x, a, b), distance, found in zip(now, *(c.tolist() for c in _banded([t[2:] for t in now], most)), strict=True):
+            if distance <= most:
+                out[x] = distance, out[x][1] + found
+            else:
+                todo.append((min(max(2 * most, 16), max(len(a), len(b))), x, a, b))
+    return out
+
+
 def _distances(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array([levenshtein(a.tolist(), b.tolist()) for a, b in _pairs(ref, hyp)], pa.int64())
+    return pa.array([d for d, _ in solve(_pairs(ref, hyp), hits=False)], pa.int64())
 
 
 def _alignments(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    both = [align(a, b) for a, b in _pairs(ref, hyp)]
+    both = solve(_pairs(ref, hyp))
     return pa.StructArray.from_arrays([pa.array([d for d, _ in both], pa.int64()), pa.array([h for _, h in both], pa.int64())], ["distance", "hits"])
 
 
@@ -84,30 +169,10 @@ def error_rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
 
 
 def align(ref, hyp) -> tuple[int, int]:
-    """(distance, hits): the most equal words among alignments of least cost. A row at a time, vectorised along the hypothesis."""
-    n, m = len(ref), len(hyp)
-    if not n or not m:
-        return max(n, m), 0
+    """(distance, hits) of two sequences of words."""
     ids: dict = {}
-    a = [ids.setdefault(w, len(ids)) for w in ref]
-    b = np.array([ids.setdefault(w, len(ids)) for w in hyp])
-    # cost and hits in one number: a step costs BIG, a hit takes 1 off. Cells are less by their column's insertions, so that
-    # insertions along the row are a running minimum, and a replacement costs nothing more
-    big = 2 * (n + m + 1)
-    kind = np.int32 if big * (n + m) < 1 << 31 else np.int64
-    row, best = np.zeros(m + 1, kind), np.empty(m + 1, kind)
-    hit: dict[int, np.ndarray] = {}
-    for x in a:
-        if x not in hit:
-            if len(hit) * m > 1 << 24:  # bounds the rows that are kept
-                hit.clear()
-            hit[x] = np.where(b == x, kind(-1 - big), kind(0))
-        np.add(row, kind(big), out=best)
-        np.minimum(best[1:], row[:-1] + hit[x], out=best[1:])
-        np.minimum.accumulate(best, out=row)
-    cost = int(row[-1]) + m * big
-    distance = -(-cost // big)
-    return distance, distance * big - cost
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], np.int32) for x in (ref, hyp))
+    return solve([(a, b)])[0]
 
 
 def aligned(df: DataFrame, ref: str = "ref_words", hyp: str = "hyp_words") -> DataFrame:

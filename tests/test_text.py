@@ -145,3 +145,34 @@ def test_fenced(spark):
     for text, want in [('x ```json\n{"a": 1}\n``` y', 1), ('{"a": 2}', 2), ("no", None)]:
         assert one(spark, js.fenced_object(F.col("t"), "a int")["a"], text) == want
     assert one(spark, js.word_confidences(F.col("t")), '{"timestamps":{"words":["x",{"confidence":0.3},{"w":1}]}}') == [0.8, 0.3, 0.8]
+
+
+def full_table(a, b):
+    """(distance, hits): cost first, then the most hits, cell by cell."""
+    row = [(j, 0) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        above, row = row, [(i, 0)]
+        for j, y in enumerate(b, 1):
+            aside = (above[j - 1][0], above[j - 1][1] - 1) if x == y else (above[j - 1][0] + 1, above[j - 1][1])
+            row.append(min(aside, (above[j][0] + 1, above[j][1]), (row[j - 1][0] + 1, row[j - 1][1])))
+    return row[-1][0], -row[-1][1]
+
+
+@pytest.mark.parametrize("many,cells", [(96, 1 << 14), (4, 64), (10**6, 1)])
+def test_alignment_on_diagonals(monkeypatch, many, cells):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(edit, "MANY", many)
+    monkeypatch.setattr(edit, "CELLS", cells)
+    rng = random.Random(many)
+    pairs = []
+    for k in range(120):
+        words = rng.choice([2, 4, 30])
+        a = [rng.randrange(words) for _ in range(rng.randrange(60))]
+        b = [rng.randrange(words) for _ in range(rng.randrange(60))] if k % 2 else [99 if rng.random() < 0.1 else w for w in a if rng.random() < 0.85]
+        pairs.append((np.array(a, np.int32), np.array(b, np.int32)))
+    want = [full_table(a.tolist(), b.tolist()) for a, b in pairs]
+    assert edit.solve(iter(pairs)) == want and [d for d, _ in edit.solve(iter(pairs), hits=False)] == [d for d, _ in want]
+    assert [edit.align(a.tolist(), b.tolist()) for a, b in pairs] == want
