@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import queries as Q
 from .functions import edit, json as js, metrics as M, text as T
 from .operators import annotate, audio, models, report as R, stt
-from .pairs import documents, table, text_pairs, timed_turns
+from .pairs import FILLER, documents, table, text_pairs, timed_turns
 from .plans import repair
 from .shared import new_path, staged
 from .ship import ship
 from .sources import io
 
 
+#: Of the settings that augmentation draws once a run.
+SEED = 7
+
+
 def _items(spark, sf_dir) -> DataFrame:
     """Documents as ground-truth items; every second one is an original without lineage."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("sample_"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_path"), F.col("text").alias("reference_text"))
@@ -64,14 +68,14 @@ def stt_folder_scan(spark, sf_dir):
 
 
 def stt_reference_scan(spark, sf_dir):
-    """The first conversation's reply and its reference, a file each, as a graded training sample."""
-    t = Q.full_transcript(spark, sf_dir)
-    first = t.join(F.broadcast(t.agg(F.min("conv_id").alias("conv_id"))), "conv_id")
-    reply, ref = new_path(spark, "reply"), new_path(spark, "reference")
-    first.select("transcript").coalesce(1).write.json(reply)
-    first.select("transcript").coalesce(1).write.text(ref)
-    out = io.training_samples(io.stt_with_reference(spark, reply, ref))
-    return out.select("transcript", "reference", "quality_score")
+    """Every conversation's reply and its reference, paired by name, as graded training samples: the reply leaves out words."""
+    t = Q.full_transcript(spark, sf_dir).withColumn("name", F.concat(F.lit("conv_"), F.col("conv_id").cast("string")))
+    heard = F.array_join(T.corrupted(T.tokens("transcript"), double=None, filler=FILLER), " ")
+    replies, references = new_path(spark, "replies"), new_path(spark, "references")
+    t.select("name", F.to_json(F.struct(heard.alias("transcript"))).alias("text")).write.json(replies)
+    t.select("name", F.col("transcript").alias("text")).write.json(references)
+    out = io.training_samples(io.stt_with_reference(io.named_texts(spark, replies), io.named_texts(spark, references)))
+    return out.select("name", "transcript", "reference", "quality_score")
 
 
 def training_set(spark, sf_dir):
@@ -95,8 +99,9 @@ def segments_json(spark, sf_dir):
 
 
 def text_outputs(spark, sf_dir):
-    path = new_path(spark, "texts")
-    io.write_text(Q.clean_text(spark, sf_dir), "cleaned", path)
+    """The cleaned texts as one file in the order of documents, which all tasks write together; their places in it with them."""
+    path = new_path(spark, "texts") + "/cleaned.txt"
+    io.write_one_text(Q.clean_text(spark, sf_dir), "cleaned", path, ["doc_id"])
     return spark.read.text(path).withColumnRenamed("value", "cleaned")
 
 
@@ -176,10 +181,12 @@ def audio_features(spark, sf_dir):
 
 
 def audio_variants(spark, sf_dir):
-    """Five variants of each clip, as files in the shared folder, and how many samples each file has."""
+    """Five variants of each clip by settings drawn once, with a hum as background, as files in the shared folder, and how many samples
+    each file has."""
     folder = new_path(spark, "variants")
     clips = _clips(spark, sf_dir).select(F.col("audio_path").alias("path"), "content")
-    made = staged(audio.augmented(clips, 5), "variants-made")
+    hum = 0.3 * np.sin(2 * np.pi * 50 * np.arange(4000) / 16000)
+    made = staged(audio.augmented(clips, 5, audio.drawn(SEED), hum), "variants-made")
     files = staged(audio.write_clips(made, folder), "variants-files")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     sizes = files.select(name.alias("name"), ((F.col("size") - 44) / 2).cast("long").alias("n_samples"))
@@ -217,8 +224,8 @@ def stt_slices(spark, sf_dir):
     return stt.transcribe_slices(rows, stt.RemoteReplies(_heard), "en")
 
 
-def features36(spark, sf_dir):
-    """The 36 features of each document's pair and the clip of its number; without a clip all are defaults."""
+def text_features(spark, sf_dir):
+    """The regressor's 14 text features of each document's pair."""
     p = edit.aligned(text_pairs(spark, sf_dir).select("doc_id", "ref", "hyp", F.col("r").alias("ref_words"), F.col("h").alias("hyp_words")))
     r, h, n, m = F.col("ref_words"), F.col("hyp_words"), F.size("ref_words"), F.size("hyp_words")
     rates = {"wer": edit.error_rate(F.col("distance"), n, m), "mer": edit.match_error_rate(F.col("distance"), F.col("hits")), "wil": edit.information_lost(F.col("hits"), n, m)}
@@ -226,11 +233,16 @@ def features36(spark, sf_dir):
     cols = {"semantic_similarity": M.similarity(r, h), "token_overlap": M.token_overlap(r, h), "length_ratio": M.length_ratio(n, m)}
     cols |= {"word_count": m, "avg_word_length": T.mean_word_length(h), "repetition_ratio": T.global_repetition(h), "char_diversity": T.char_diversity("hyp"), "punct_ratio": T.punct_ratio("hyp"), "digit_ratio": T.digit_ratio("hyp")}
     cols |= rewards | {"length_penalty": M.length_penalty(n, m), "quality_score": M.heuristic_quality(*rewards.values(), M.length_penalty(n, m))}
+    return p.select("doc_id", *(Q._r(c.cast("double")).alias(k) for k, c in cols.items()))
+
+
+def features36(spark, sf_dir):
+    """The 36 features of each document: its pair's text features, and the sound of the clip of its number; without a clip the audio
+    features are defaults."""
+    p = text_features(spark, sf_dir)
     heard = audio.stats_of(_clips(spark, sf_dir).select(F.col("conv_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long")).drop("path")
-    p = p.select("doc_id", *(c.cast("double").alias(k) for k, c in cols.items())).join(heard.withColumn("has_clip", F.lit(True)), "doc_id", "left")
-    names = [*audio.PROSODY, *audio.FLUENCY, *cols]
-    p = p.select("doc_id", *(F.when(F.col("has_clip"), F.col(k)).alias(k) for k in names))
-    return models.with_defaults(p, names).select("doc_id", *(Q._r(F.col(k)).alias(k) for k in names))
+    names = [*audio.PROSODY, *audio.FLUENCY, *p.columns[1:]]
+    return models.with_defaults(p.join(heard, "doc_id", "left"), names).select("doc_id", *(Q._r(F.col(k)).alias(k) for k in names))
 
 
 def default_features(spark, sf_dir):
@@ -242,8 +254,8 @@ def default_features(spark, sf_dir):
 
 
 def cross_validation(spark, sf_dir):
-    mse = models.cross_validated(Q._training(spark, sf_dir), Q.FEATURES, "label")
-    return spark.createDataFrame([(5, mse)], "folds int, mse double")
+    mse, std = models.cross_validated(Q._training(spark, sf_dir), Q.FEATURES, "label")
+    return spark.createDataFrame([(5, mse, std, (2 * std) ** 0.5)], "folds int, mse double, std double, spread double")
 
 
 def model_artefact(spark, sf_dir):

@@ -49,6 +49,13 @@ class Augmentation:
         return self.kind in (step, "all") and (self.change_volume if step == "volume" else getattr(self, step))
 
 
+def drawn(seed: int, **more) -> Augmentation:
+    """Settings of a run: every step, tempo and volume drawn within a tenth and a fifth, pitch within two steps."""
+    rng = np.random.default_rng(seed)
+    how = {"stretch": 1 + rng.uniform(-0.1, 0.1), "pitch_steps": rng.uniform(-2, 2), "volume": 1 + rng.uniform(-0.2, 0.2)}
+    return Augmentation(**{"background_noise": True, "time_stretch": True, "pitch_shift": True, "reverb": True} | how | more)
+
+
 def white_noise(x: np.ndarray, level: float, rng: np.random.Generator) -> np.ndarray:
     return x + level * rng.standard_normal(len(x))
 

@@ -50,11 +50,12 @@ def importance(spark: SparkSession, model: PipelineModel, k: int = 10) -> DataFr
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def cross_validated(df: DataFrame, features: list[str], label: str, regressor=None, folds: int = 5) -> float:
-    """Mean squared error over the folds."""
+def cross_validated(df: DataFrame, features: list[str], label: str, regressor=None, folds: int = 5) -> tuple[float, float]:
+    """Mean squared error over the folds: mean and population deviation."""
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), regressor or forest(label)])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=RegressionEvaluator(labelCol=label, metricName="mse"), numFolds=folds, seed=42)
-    return float(cv.fit(with_defaults(df, features)).avgMetrics[0])
+    fitted = cv.fit(with_defaults(df, features))
+    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from .operators.audio import KINDS
-from .oracles import ALIGNED, FRAGMENTS, JACCARD_CI, PAIRS, RATES, SQL as OWN, TURNS, chunk_sql, ladder, rerank_cols, tok
+from .flows import SEED
+from .operators.audio import KINDS, drawn
+from .oracles import ALIGNED, FRAGMENTS, JACCARD_CI, PAIRS, RATES, SQL as OWN, TURNS, chunk_sql, corrupt, distance, ladder, rate, rerank_cols, tok
+
+TEXT_FEATURES = "semantic_similarity token_overlap length_ratio word_count avg_word_length repetition_ratio char_diversity punct_ratio digit_ratio wer_reward mer_reward wil_reward length_penalty".split()
 
 SAMPLE = "'sample_' || doc_id || '.wav'"
 CLIP = "'clip_' || conv_id || '.wav'"
@@ -12,6 +15,7 @@ TIMES = "round(start_ts::double, 6) as start_ts, round(end_ts::double, 6) as end
 POS = "(row_number() over (partition by conv_id order by turn) - 1)::int as pos"
 RATE = "case when conv_id % 3 = 0 then 8000 else 16000 end"
 CONVS = "c0 as (select distinct conv_id from conversations)"
+QUALITY = "select doc_id, round(greatest(0.0, 1 - wer) * 0.4 + greatest(0.0, 1 - mer) * 0.3 + greatest(0.0, 1 - wil) * 0.2 + length_penalty * 0.1, 6) as quality_score from aligned"
 
 
 def variants(src: str, path: str, n: int) -> str:
@@ -34,7 +38,10 @@ SQL = {
     "combined_dataset": f"""with o as (select {SAMPLE} as audio_path, text as reference_text from documents), {variants('o', 'audio_path', 2)}
 select audio_path, reference_text, audio_path as original_audio, false as is_augmented from o union all select name, reference_text, audio_path, true from variants""",
     "stt_folder_scan": f"with {TURNS} select conv_id, {POS}, {TIMES} from turns",
-    "stt_reference_scan": f"with t as ({OWN['full_transcript']}) select transcript, regexp_replace(transcript, '^\\s+|\\s+$', '', 'g') as reference, 5 as quality_score from t where conv_id = (select min(conv_id) from t)",
+    "stt_reference_scan": f"""with t as ({OWN['full_transcript']}), p as (select conv_id, transcript as reference, {tok('transcript')} as r from t), q as (select *, {corrupt('r')} as h from p), rates as (select *, {distance('r', 'h')} as distance from q), rated as (select *, {rate('distance')} as wer from rates)
+select 'conv_' || conv_id as name, array_to_string(h, ' ') as transcript, regexp_replace(reference, '^\\s+|\\s+$', '', 'g') as reference, {GRADE} as quality_score from rated""",
+    "text_features": f"""with {ALIGNED}, q as ({QUALITY}), c as (select doc_id, {rerank_cols()} from aligned)
+select doc_id, {', '.join(TEXT_FEATURES)}, quality_score from c join q using (doc_id)""",
     "training_set": f"with {RATES} select doc_id, {GRADE} as quality_score from rated",
     "results_json": OWN["token_stats"],
     "segments_json": f"with {TURNS} select conv_id, turn, {TIMES} from turns",
@@ -45,7 +52,7 @@ select audio_path, reference_text, audio_path as original_audio, false as is_aug
     "repair_chunks": joined(chunk_sql(tok("text"), 200, 180), "repaired"),
     "translate_chunks": joined(chunk_sql(FRAGMENTS, 10, 10), "translated"),
     "remote_annotation": "select event_id, event_type, upper(event_type) as annotation, 'remote' as backend from events",
-    "audio_variants": f"with {CONVS}, c as (select {CLIP} as path, {RATE} as rate from c0), {variants('c', 'path', 5)} select path, variant::int as variant, kind, name, case when kind in ('time_stretch', 'all') then round(rate / 1.1)::bigint else rate end as n_samples from variants",
+    "audio_variants": f"with {CONVS}, c as (select {CLIP} as path, {RATE} as rate from c0), {variants('c', 'path', 5)} select path, variant::int as variant, kind, name, case when kind in ('time_stretch', 'all') then round(rate / {drawn(SEED).stretch!r}::double)::bigint else rate end as n_samples from variants",
     "audio_probe": f"with {CONVS} select conv_id as sample_id, case when conv_id % 6 = 0 then 'sample_' || conv_id || '.mp3' when conv_id % 3 <> 2 then 'sample_' || conv_id || '.wav' end as file from c0",
     "stt_batch": f"with {TURNS} select {CLIP} as audio_path, {POS}, {TIMES} from turns",
     "stt_slices": f"with {CONVS}, s as (select *, {RATE} as rate, unnest([0.0::double, 0.5]) as start_ts, unnest([0.25::double, 2.0]) as end_ts from c0) select {CLIP} as audio_path, start_ts, end_ts, (least(end_ts, 1) * rate - start_ts * rate)::int || ' samples at ' || rate || ' in en' as transcript from s",

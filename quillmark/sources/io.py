@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +15,7 @@ from ..functions.json import stt_segments
 from ..functions.metrics import grade
 from ..functions.text import strip, tokens
 from ..functions.edit import error_rate, word_distance
+from ..shared import staged
 from ..ship import ship
 
 GROUND_TRUTH = "audio_path string, reference_text string, original_audio string, is_augmented boolean"
@@ -35,11 +40,24 @@ def stt_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file", "pos", "s.*")
 
 
-def stt_with_reference(spark: SparkSession, stt: str, reference: str) -> DataFrame:
-    """The reply's transcript beside the whole reference text (one row each)."""
-    reply = spark.read.text(stt, wholetext=True).select(F.get_json_object("value", "$.transcript").alias("transcript"), F.col("value").alias("transcript_data"))
-    ref = spark.read.text(reference, wholetext=True).select(strip(F.col("value")).alias("reference"))
-    return reply.join(F.broadcast(ref), F.lit(True))  # one row
+def named_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """name (without folder and extension), text of whole files."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder, wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), F.col("value").alias("text"))
+
+
+def named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files that hold many texts: a JSON object of name and text a line."""
+    return spark.read.schema("name string, text string").json(path)
+
+
+def stt_with_reference(replies: DataFrame, references: DataFrame) -> DataFrame:
+    """name, transcript, transcript_data (the reply), reference: replies and whole references (name, text both) paired by name.
+
+    A reply without a reference, or the other way round, is left out. Files may be one a recording or hold very many.
+    """
+    reply = replies.select("name", F.get_json_object("text", "$.transcript").alias("transcript"), F.col("text").alias("transcript_data"))
+    return reply.join(references.select("name", strip(F.col("text")).alias("reference")), "name")
 
 
 def audio_files(spark: SparkSession, samples: DataFrame, folder: str, extensions=("mp3", "wav", "m4a")) -> DataFrame:
@@ -95,8 +113,56 @@ def write_array(df: DataFrame, path: str) -> None:
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
-    """One text file of the non-empty texts (saved stage outputs are a text each)."""
-    df.select(column).where(F.length(column) > 0).coalesce(1).write.mode("overwrite").text(path)
+    """The non-empty texts as text files, a line each, in as many files as partitions."""
+    df.select(column).where(F.length(column) > 0).write.mode("overwrite").text(path)
+
+
+def write_one_text(df: DataFrame, column: str, path: str, order: list[str]) -> int:
+    """One file of the non-empty texts in order, each with a line's end; its size in bytes.
+
+    No task has more than its range of the order: ranges are staged, their bytes summed up, and each is written at its own place of
+    a file of the full size, which gets its name when all are there. A task that runs again writes the same bytes to the same place.
+    The folder must be mounted everywhere. Equal places in the order follow their texts.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if "://" in path.removeprefix("file://"):
+        raise ValueError(f"one file needs a mounted shared folder, not {path}")
+    top = unquote(path.removeprefix("file://").removeprefix("file:"))
+    keys = [f"order_{i}" for i in range(len(order))]
+    rows = df.where(F.length(column) > 0).select(*(F.col(o).alias(k) for o, k in zip(order, keys, strict=True)), F.col(column).cast("string").alias("line"))
+    rows = staged(rows.repartitionByRange(*keys, "line").withColumn("part", F.spark_partition_id()), "one-text")
+    bases, size = {}, 0
+    for r in rows.groupBy("part").agg(F.sum(F.octet_length("line") + 1).alias("n")).orderBy("part").collect():  # a row per task
+        bases[r.part], size = size, size + r.n
+    part = f"{top}.{uuid.uuid4().hex}.part"
+    os.makedirs(os.path.dirname(top), exist_ok=True)
+    with open(part, "wb") as f:
+        f.truncate(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[int, int] = {}
+        file = os.open(part, os.O_WRONLY)
+        try:
+            for b in batches:
+                numbers, lines = b.column("part").to_pylist(), b.column("line").to_pylist()
+                for k, own in groupby(range(b.num_rows), numbers.__getitem__):
+                    data = "".join(lines[i] + "\n" for i in own).encode()
+                    start = at.get(k, bases[k])
+                    at[k] = start + len(data)
+                    while data:
+                        done = os.pwrite(file, data, start)
+                        data, start = data[done:], start + done
+        finally:
+            os.close(file)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(v - bases[k] for k, v in at.items())], pa.int64())], names=["size"])
+
+    parts = rows.repartition("part").sortWithinPartitions("part", *keys, "line").select("part", "line")
+    written = parts.mapInArrow(run, "size long").agg(F.sum("size")).first()[0] or 0
+    if written != size:
+        raise OSError(f"{written} of {size} bytes written")
+    os.replace(part, top)
+    return size
 
 
 def combined(original: DataFrame, augmented: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def test_models(spark, tmp_path):
     assert models.importance(spark, m).first().feature == "a"
     models.save(m, str(tmp_path / "m"))
     assert models.predict(d, models.load(str(tmp_path / "m"))).count() == 40
-    assert models.cross_validated(d, ["a", "b"], "y", folds=2) >= 0
+    assert all(x >= 0 for x in models.cross_validated(d, ["a", "b"], "y", folds=2))
     with pytest.raises(ValueError):
         models.fit(d.limit(3), ["a"], "y")
 
@@ -221,8 +221,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "out" / "x.txt").write_text("no")
     assert [s.transcript for s in io.stt_outputs(spark, str(tmp_path / "out")).orderBy("file", "pos").collect()] == ["a", "b"]
     (tmp_path / "out" / "2.json").write_text('{\n "transcript": "over\\nlines"\n}')
-    (tmp_path / "ref.txt").write_text(" over\nlines \n")
-    r = io.training_samples(io.stt_with_reference(spark, str(tmp_path / "out" / "2.json"), str(tmp_path / "ref.txt"))).collect()
+    (tmp_path / "refs").mkdir()
+    (tmp_path / "refs" / "2.txt").write_text(" over\nlines \n")
+    (tmp_path / "refs" / "9.txt").write_text("alone")
+    r = io.training_samples(io.stt_with_reference(io.named_files(spark, str(tmp_path / "out"), "*.json"), io.named_files(spark, str(tmp_path / "refs")))).collect()
     assert [(x.transcript, x.reference, x.quality_score) for x in r] == [("over\nlines", "over\nlines", 5)]
     io.write_array(spark.createDataFrame([(i, "é\n\"") for i in range(5)], "i int, t string").repartition(2), str(tmp_path / "array"))
     assert sorted(x["i"] for f in (tmp_path / "array").glob("part-*") for x in json.loads(f.read_text())) == [0, 1, 2, 3, 4]
@@ -312,3 +314,25 @@ def test_judged_number(spark):
     from quillmark.functions import metrics as M
 
     assert [r.x for r in d.select(M.judged_number(F.col("t")).alias("x")).collect()] == [0.7, 0.4, 1.0, None, None]
+
+
+def test_one_file_of_all_tasks(spark, tmp_path):
+    """Bytes are those of the texts in order, in one file, however many tasks wrote it."""
+    rows = [(k % 50 if k % 7 else None, f"line {k} é日本" * (k % 3)) for k in range(300)] + [(3, "same"), (3, "same"), (1, None)]
+    d = spark.createDataFrame(rows, "k int, t string").repartition(7)
+    path = str(tmp_path / "x" / "all.txt")
+    size = io.write_one_text(d, "t", path, ["k"])
+    want = "".join(t + "\n" for _, t in sorted(((k is not None, k or 0), t) for k, t in rows if t)).encode()
+    assert (tmp_path / "x" / "all.txt").read_bytes() == want and size == len(want)
+    assert io.write_one_text(d.limit(0), "t", path, ["k"]) == 0 and (tmp_path / "x" / "all.txt").read_bytes() == b""
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["all.txt"]
+
+
+def test_settings_of_a_run():
+    a, b = audio.drawn(1), audio.drawn(2)
+    assert a == audio.drawn(1) and a != b and all(0.9 <= x.stretch <= 1.1 and abs(x.pitch_steps) <= 2 and 0.8 <= x.volume <= 1.2 for x in (a, b))
+    tone, hum = np.sin(np.arange(4000) / 5), np.sin(np.arange(900) / 50)
+    how = audio.drawn(3, kind="background_noise")
+    mixed = audio.augment(tone * 0.5, how, hum)
+    ratio = (tone * 0.5) @ (tone * 0.5) / ((mixed - tone * 0.5) @ (mixed - tone * 0.5))
+    assert ratio == pytest.approx(10 ** (how.snr_db / 10), rel=0.05)
