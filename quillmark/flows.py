@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import queries as Q
 from .functions import edit, json as js, metrics as M, text as T
 from .operators import annotate, audio, models, report as R, stt
-from .pairs import FILLER, documents, table, text_pairs, timed_turns
-from .plans import repair
+from .pairs import FILLER, documents, hearings, table, text_pairs, timed_turns
+from .plans import rehear, repair
 from .shared import new_path, staged
 from .ship import ship
 from .sources import io
@@ -137,6 +137,13 @@ def similarity_reply(spark, sf_dir):
     return p.select("doc_id", Q._r(M.similarity(F.col("r"), F.col("h"), M.judged_number(reply))).alias("similarity"), F.when(M.judged_number(reply).isNotNull(), "judge").otherwise("words").alias("backend"))
 
 
+def noun_rehearing(spark, sf_dir):
+    """Each conversation's first nouns by their times in overlapping segments, heard again in a second hearing, and the text with them."""
+    segments, words = hearings(spark, sf_dir)
+    out = rehear.rehear(segments, rehear.SecondHearing(words))
+    return out.select(F.col("recording").alias("conv_id"), "corrected", "n_nouns", "n_heard")
+
+
 def _marked(chunk: Column) -> Column:
     """Stands for a model: its work can be told from the text."""
     return F.concat(F.lit("<"), chunk, F.lit(">"))

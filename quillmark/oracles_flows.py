@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .flows import SEED
 from .operators.audio import KINDS, drawn
-from .oracles import ALIGNED, FRAGMENTS, JACCARD_CI, PAIRS, RATES, SQL as OWN, TURNS, chunk_sql, corrupt, distance, ladder, rate, rerank_cols, tok
+from .oracles import ALIGNED, CLEAN, FRAGMENTS, JACCARD_CI, NOUN, PAIRS, RATES, SQL as OWN, SYL, TURNS, ascii_only, chunk_sql, corrupt, distance, ladder, rate, rerank_cols, tok, total
 
 TEXT_FEATURES = "semantic_similarity token_overlap length_ratio word_count avg_word_length repetition_ratio char_diversity punct_ratio digit_ratio wer_reward mer_reward wil_reward length_penalty".split()
 
@@ -30,7 +30,21 @@ def joined(chunks: str, name: str) -> str:
     return f"with k as ({chunks}) select doc_id, coalesce(string_agg('<' || chunk || '>', ' ' order by pos), '') as {name} from documents left join k using (doc_id) group by doc_id"
 
 
+#: The segments of a first hearing, their nouns with times, and the words of a second one.
+REHEARD = f"""t0 as (select conv_id, turn, {tok('text')} as w, {tok(CLEAN)} as c from conversations),
+t1 as (select *, coalesce(sum(len(w)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as before from t0),
+seg as (select conv_id, turn, array_to_string(list_transform(c, lambda x, i: case when (i - 1) % 9 in (3, 4) and regexp_matches(x, '^[a-z]') then upper(x[1]) || x[2:] else x end), ' ') as t, greatest(before * 0.4::double - 0.5::double, 0.0::double) as a, (before + len(w)) * 0.4::double + 0.5::double as z from t1),
+hit as (select *, regexp_extract_all({ascii_only('t')}, '{NOUN}') as l, string_split(regexp_replace({ascii_only('t')}, '{NOUN}', chr(1), 'g'), chr(1)) as gaps from seg), n0 as (select *, unnest(range(0, len(l))) as pos, unnest(l) as noun from hit),
+n1 as (select *, a + ({total('list_transform(gaps[1 : pos + 1], lambda x: length(x))')} + {total('list_transform(l[1 : pos], lambda x: length(x))')})::double / length(t) * (z - a) as ns from n0),
+n2 as (select *, ns + {SYL.format(c='noun')}::double / {SYL.format(c='t')} * (z - a) as ne, row_number() over (partition by conv_id order by turn, pos) as idx from n1),
+wd as (select conv_id, word, (before + i) * 0.4::double as ws, (before + i + 1) * 0.4::double as we from (select conv_id, before, unnest(w) as word, unnest(range(0, len(w))) as i from t1)),
+rep as (select n2.conv_id, idx, string_agg(word, ' ' order by ws) as reply from n2 join wd on n2.conv_id = wd.conv_id and least(ne, we) - greatest(ns, ws) >= 0.5::double * (we - ws) where idx <= 10 group by 1, 2)"""
+
 SQL = {
+    "noun_rehearing": f"""with {REHEARD}, fx as (select conv_id, list(noun || chr(1) || coalesce(reply, noun) order by idx) as fixes, count(*) as n_nouns, count(reply) as n_heard from n2 left join rep using (conv_id, idx) where idx <= 10 group by conv_id),
+tx as (select conv_id, string_agg(t, ' ' order by turn) as t from seg group by conv_id)
+select conv_id, list_reduce(list_concat([t], coalesce(fixes, [])), lambda x, n: case when instr(x, split_part(n, chr(1), 1)) > 0 then substring(x, 1, instr(x, split_part(n, chr(1), 1)) - 1) || split_part(n, chr(1), 2) || substring(x, instr(x, split_part(n, chr(1), 1)) + length(split_part(n, chr(1), 1))) else x end) as corrected,
+coalesce(n_nouns, 0) as n_nouns, coalesce(n_heard, 0) as n_heard from tx left join fx using (conv_id)""",
     "number_reply": "select doc_id, case when doc_id % 4 < 2 then doc_id || ' ' || n_chars || '.5' else '' end as numbers from documents",
     "default_features": f"with {ALIGNED} select doc_id, {rerank_cols('doc_id % 7 = 0')}, case when doc_id % 7 = 0 then 1.0::double else round(greatest(0.0, 1 - wer)::double, 6) end as target from aligned",
     "ground_truth_scan": f"select {SAMPLE} as audio_path, text as reference_text, case when doc_id % 2 = 1 then 'sample_' || (doc_id - 1) || '.wav' else {SAMPLE} end as original_audio, doc_id % 2 = 1 as is_augmented from documents",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.numbers import LANGUAGES, spelled
-from .functions.text import corrupted, tokens
+from .functions.text import clean, corrupted, tokens
 from .operators.entities import CATEGORIES
 from .operators.names import folded_name
 from .ship import ship
@@ -79,6 +79,19 @@ def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("end_ts", upto * 0.4).withColumn("start_ts", (upto - F.col("n")) * 0.4).drop("n")
 
 
+def hearings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two hearings of each conversation: segments (recording, pos, start_ts, end_ts, transcript), cleaned, with two of nine words
+    capitalised and half a second of the neighbours at both ends; and the words as they are, 0.4 s each, with their times."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("recording"), F.col("turn").alias("pos"), tokens("text").alias("w"), tokens(clean("text")).alias("c"))
+    before = F.coalesce(F.sum(F.size("w")).over(W.partitionBy("recording").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before)
+    capital = lambda x, i: F.when((i % 9).isin(3, 4) & x.rlike("^[a-z]"), F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))).otherwise(x)
+    times = [F.greatest(F.col("before") * 0.4 - 0.5, F.lit(0.0)).alias("start_ts"), ((F.col("before") + F.size("w")) * 0.4 + 0.5).alias("end_ts")]
+    segments = rows.select("recording", "pos", *times, F.array_join(F.transform("c", capital), " ").alias("transcript"))
+    words = rows.select("recording", "before", F.posexplode("w").alias("i", "word"))
+    return segments, words.select("recording", "word", ((F.col("before") + F.col("i")) * 0.4).alias("word_start"), ((F.col("before") + F.col("i") + 1) * 0.4).alias("word_end"))
+
+
 def labelled_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, ref, hyp: ``role: text`` lines; in the hypothesis the roles of each fifth turn are swapped."""
     rows = table(spark, sf_dir, "conversations")
