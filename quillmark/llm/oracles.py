@@ -19,7 +19,7 @@ def rules() -> str:
 
 def rank(name: str, edges: str, seed: str) -> str:
     """CTEs of the propagation's rounds; the last is ``name``."""
-    out = [f"{name}_w as (select src, dst, links / sum(links) over (partition by src) as w from {edges})", f"{name}_0 as (select host, {seed} / n as score from hosts where {seed} > 0)"]
+    out = [f"{name}_w as (select src, dst, links / sum(links) over (partition by src) as w from {edges})", f"{name}_0 as (select host, {seed} / n / (select sum({seed} / n) from hosts) as score from hosts where {seed} > 0)"]
     for k in range(U.ROUNDS):
         out.append(
             f"{name}_{k + 1} as materialized (select host, sum(part) as score from (select w.dst as host, s.score * w.w * {U.DAMPING}::double as part from {name}_{k} s join {name}_w w on s.host = w.src union all select host, score * {1 - U.DAMPING}::double from {name}_0) group by host)"
@@ -27,7 +27,7 @@ def rank(name: str, edges: str, seed: str) -> str:
     return ", ".join(out)
 
 
-HREF = """(?i)\\bhref\\s*=\\s*["'']?\\s*((?:[a-z][a-z0-9+.-]*:)?//[^\\s"''>]+)"""
+HREF, PATHS = (x.replace("'", "''") for x in (U.ABSOLUTE, U.LOCAL))
 
 OP2 = f"""with {rules()},
 pg as (select page_id, {host('url')} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, html, row_number() over () as row_no from pages),
@@ -37,10 +37,12 @@ hosts as (select host, count(*)::double as n, count(*) filter (ruled = 'allow')
 l as (select host as src, unnest(regexp_extract_all(coalesce(html, ''), '{HREF}', 1)) as link from pg),
 e as (select src, {host("case when starts_with(link, '//') then 'x:' || link else link end")} as dst from l),
 fwd as (select src, dst, count(*)::double as links from e where src <> dst and src <> '' and dst <> '' group by src, dst),
-rev as (select dst as src, src as dst, links from fwd),
-{rank('t', 'fwd', 'good')}, {rank('d', 'rev', 'bad')},
+lp as (select src, link as dst, count(*)::double as links from (select host as src, unnest(regexp_extract_all(coalesce(html, ''), '{PATHS}', 1)) as link from pg where host <> '') group by src, link),
+lq as (select src, dst, links from lp union all select dst, src, links from lp),
+fwd2 as (select src, dst, links from fwd union all select src, dst, links from lq), rev2 as (select dst as src, src as dst, links from fwd union all select src, dst, links from lq),
+{rank('t', 'fwd2', 'good')}, {rank('d', 'rev2', 'bad')},
 sc as (select coalesce(a.host, b.host) as host, coalesce(a.score, 0) as trust, coalesce(b.score, 0) as distrust from t_{U.ROUNDS} a full join d_{U.ROUNDS} b on a.host = b.host)
-select page_id, x.host, path, rule, coalesce(ruled, case when distrust > {U.RATIO} * trust and distrust >= {U.FLOOR} then 'block' else 'allow' end) as verdict from x left join sc on x.host = sc.host"""
+select page_id, x.host, path, rule, coalesce(ruled, case when distrust > {U.RATIO} * trust and distrust * (select count(*) from hosts) >= {U.FLOOR} then 'block' else 'allow' end) as verdict from x left join sc on x.host = sc.host"""
 
 OP3 = f"""with d as (select doc_id, {LOWER} as t from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256 from d window w as (partition by t)"""

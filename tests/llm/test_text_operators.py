@@ -271,6 +271,34 @@ def test_urls(spark):
     assert U.judge_urls(d).count() == 12 and U.judge_urls(d.limit(0)).count() == 0
 
 
+def test_shared_paths_carry_scores(spark, monkeypatch):
+    """A host without a rule of its own is judged by the menus that it shares, in proportion to its links; hot paths change nothing."""
+    menu = lambda *u: "".join(f"<A HREF='{x}'>x</A>" for x in u)
+    pages = [(1, "http://bad.com/en/1", menu("/pills", "/buy?x", "//", "/")), (2, "http://good.net/de/1", menu("/news", "/about#y")), (3, "http://one.test/", menu("/pills", "/buy", "/news")), (4, "http://two.test/", menu("/about", "/news", "/buy")), (5, "http://three.test/", menu("/else"))]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {(r.src, r.dst) for r in U.shared_paths(d.where("page_id = 1")).collect()} == {("bad.com", "/pills"), ("bad.com", "/buy"), ("/pills", "bad.com"), ("/buy", "bad.com")}
+    nodes = sorted({x for r in U.shared_paths(d).collect() for x in (r.src, r.dst)})
+    m = np.zeros((len(nodes), len(nodes)))
+    for r in U.shared_paths(d).collect():
+        m[nodes.index(r.dst), nodes.index(r.src)] = r.links
+    m /= m.sum(0)
+
+    def rank(seed):
+        start = np.array([n == seed for n in nodes], float)
+        score = start
+        for _ in range(U.ROUNDS):
+            score = 0.85 * m @ score + 0.15 * start
+        return dict(zip(nodes, score, strict=True))
+
+    trust, distrust = rank("good.net"), rank("bad.com")
+    for warm in (1000, 1):
+        monkeypatch.setattr(common, "WARM", warm)
+        got = {r.host: r for r in U.judge_urls(d).collect()}
+        for host, r in got.items():
+            assert (r.trust, r.distrust) == pytest.approx((trust[host], distrust[host]), abs=1e-12)
+        assert [got[f"{x}.test"].verdict for x in ("one", "two", "three")] == ["block", "allow", "allow"]
+
+
 def test_propagation_is_pagerank(spark):
     edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 2)]
     got = {r.host: r.score for r in U.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([("a", 1.0)], "host string, seed double"), rounds=40).collect()}
