@@ -193,3 +193,42 @@ def information_lost(hits: Column, n_ref: Column, n_hyp: Column) -> Column:
 def reward(rate: Column) -> Column:
     """1 less the rate, at least 0; a rate that couldn't be had gives 0."""
     return F.coalesce(F.greatest(F.lit(0.0), 1 - rate), F.lit(0.0))
+
+
+def shared_words(tails: list[np.ndarray], heads: list[np.ndarray], nominal: int) -> np.ndarray:
+    """How many words of each head repeat the end of its tail, if words may have been changed, left out or put in on either side.
+
+    A head's first words are aligned with the tail's last ones (a hit counts 1, an edit -1; the tail's own first words are free). Of
+    all numbers of words the best counts, less 1 for each word over ``nominal`` and a half for each word under it; of equal ones the
+    nearest to that, then the larger. There is no overlap where edits are as many as hits. All pairs go through the table together, row by row.
+    """
+    wide, rows = max((len(h) for h in heads), default=0), max((len(t) for t in tails), default=0)
+    a, b = np.full((rows, len(tails)), -2, np.int64), np.full((len(heads), wide), -1, np.int64)
+    for k, (t, h) in enumerate(zip(tails, heads, strict=True)):
+        if len(t):
+            a[rows - len(t) :, k] = t
+        b[k, : len(h)] = h
+    places = np.arange(wide + 1)
+    # padding above a tail matches nothing, and its rows are free as those of its own first words
+    best = np.tile(-places, (len(tails), 1))
+    for i in range(rows):
+        step = best - 1
+        step[:, 1:] = np.maximum(step[:, 1:], best[:, :-1] + np.where(b == a[i, :, None], 1, -1))
+        step[:, 0] = 0
+        best = np.maximum.accumulate(step + places, axis=1) - places
+    far = np.abs(places - nominal)
+    halves = np.where(places > nominal, 2, 1) * far
+    value = (2 * best - halves) * (4 * (wide + nominal) + 4) - 2 * far + (places > nominal)
+    value[(best <= 0) | (places > np.array([len(h) for h in heads])[:, None])] = np.iinfo(np.int64).min
+    return np.where((value > np.iinfo(np.int64).min).any(1), value.argmax(1), 0)
+
+
+def overlap_words(tail: Column, head: Column, nominal: int) -> Column:
+    """``shared_words`` of two columns of word arrays; null counts as empty."""
+    _shipped()
+
+    def run(tails: pa.Array, heads: pa.Array) -> pa.Array:
+        pairs = list(_pairs(tails, heads))
+        return pa.array(shared_words([t for t, _ in pairs], [h for _, h in pairs], nominal), pa.int64())
+
+    return F.arrow_udf(run, "long")(tail, head)

@@ -64,6 +64,9 @@ select doc_id, {', '.join(TEXT_FEATURES)}, quality_score from c join q using (do
     "reply_path": "select conv_id, turn, case when turn % 5 <> 4 then text end as text from conversations",
     "similarity_reply": f"with {PAIRS} select doc_id, round(case when doc_id % 4 < 2 then least((doc_id % 150) / 100.0::double, 1.0) else {JACCARD_CI} end, 6) as similarity, case when doc_id % 4 < 2 then 'judge' else 'words' end as backend from pairs",
     "repair_chunks": joined(chunk_sql(tok("text"), 200, 180), "repaired"),
+    "repair_merged": f"""with d as (select doc_id, {tok('text')} as w from documents), c as (select doc_id, w, unnest(range(0, len(w), 180)) as i from d),
+k as (select doc_id, i, list_transform(w[i + 1 : i + 200], lambda x, j: case when (j - 1) % 9 = 4 then x || '_' || (j - 1) else x end) as f from c), m as (select doc_id, i, array_to_string(case when i = 0 then f else f[21:] end, ' ') as t from k)
+select doc_id, coalesce(string_agg(t, ' ' order by i) filter (t <> ''), '') as repaired from documents left join m using (doc_id) group by doc_id""",
     "translate_chunks": joined(chunk_sql(FRAGMENTS, 10, 10), "translated"),
     "remote_annotation": "select event_id, event_type, upper(event_type) as annotation, 'remote' as backend from events",
     "audio_variants": f"with {CONVS}, c as (select {CLIP} as path, {RATE} as rate from c0), {variants('c', 'path', 5)} select path, variant::int as variant, kind, name, case when kind in ('time_stretch', 'all') then round(rate / {drawn(SEED).stretch!r}::double)::bigint else rate end as n_samples from variants",

@@ -1,12 +1,17 @@
 """Rates and replies of a whole job, with tasks that run twice, fail and are lost."""
 
 import os
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillmark.functions import edit
 from quillmark.operators import annotate as A
+from quillmark.plans import repair as R
 
 
 def starts(path):
@@ -76,3 +81,46 @@ def test_lost_tasks_claims_are_given_up(tmp_path):
     assert ledger.reply("x", lost) == "X"
     with pytest.raises(ValueError, match="mounted"):
         A.Ledger("hdfs://x/y", 1.0)
+
+
+def plain_shared(tail, head, nominal):
+    """Every number of words of the head against every end of the tail, by the full table."""
+
+    def score(a, b):
+        row = [-j for j in range(len(b) + 1)]
+        for x in a:
+            last, row = row, [row[0] - 1]
+            for j, y in enumerate(b, 1):
+                row.append(max(last[j - 1] + (1 if x == y else -1), last[j] - 1, row[j - 1] - 1))
+        return row[-1]
+
+    found = []
+    for n in range(len(head) + 1):
+        best = max(score(tail[k:], head[:n]) for k in range(len(tail) + 1))
+        if best > 0:
+            found.append((best - (n - nominal if n > nominal else (nominal - n) / 2), -abs(n - nominal), n))
+    return max(found)[2] if found else 0
+
+
+def test_shared_words_against_the_full_table():
+    rng = random.Random(9)
+    tails, heads = [], []
+    for k in range(150):
+        letters = rng.choice([2, 5, 30])
+        common = [rng.randrange(letters) for _ in range(rng.randrange(9))]
+        spoil = lambda w: [x if rng.random() > 0.15 else 99 for x in w if rng.random() > 0.1]
+        tails.append(np.array([rng.randrange(letters) for _ in range(rng.randrange(6))] + spoil(common), np.int64))
+        heads.append(np.array(spoil(common) + [rng.randrange(letters) for _ in range(rng.randrange(6))], np.int64))
+    got = edit.shared_words(tails, heads, 5)
+    assert got.tolist() == [plain_shared(t.tolist(), h.tolist(), 5) for t, h in zip(tails, heads, strict=True)]
+    assert edit.shared_words([], [], 5).tolist() == [] and (got > 0).sum() > 50
+
+
+def test_changed_overlaps_come_once(spark):
+    """An annotator that leaves out and changes words of the overlap: every sentence is there once."""
+    texts = [(1, " ".join(f"w{k}" for k in range(100))), (2, "short text"), (3, ""), (4, None), (5, " ".join(f"w{k}" for k in range(31)))]
+    d = spark.createDataFrame(texts, "k int, t string")
+    odd = lambda c: F.regexp_replace(F.regexp_replace(c, r"\bw(\d)7\b ?", ""), r"^w(\d+) ", "W$1 ")
+    got = {r.k: r.repaired for r in R.repair(d, "k", "t", A.LocalRules(odd), size=30, overlap=8, dedup_overlap=True).collect()}
+    assert got[1].lower().split() == [f"w{k}" for k in range(100) if not (k > 9 and k % 10 == 7)]
+    assert got[2] == "short text" and got[3] == got[4] == "" and got[5].lower().split() == [f"w{k}" for k in range(31) if k not in (17, 27)]
