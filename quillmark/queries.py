@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import edit, json as js, metrics as M, numbers as N, text as T
 from .operators import entities as E, models, report as R, segments as S
-from .pairs import FILLER, documents, known_names, labelled_transcripts, name_aliases, spoken_pairs, table, text_pairs, timed_turns
+from .pairs import FILLER, dealt_parts, documents, known_names, labelled_transcripts, name_aliases, paired, spoken_pairs, table, text_pairs, timed_turns
 from .shared import staged
 
 
@@ -247,11 +247,10 @@ def speaker_rollup(spark, sf_dir):
 def _entity_rows(spark, sf_dir) -> DataFrame:
     """Recall of names by category, over a gazetteer and aliases that the tables' own capitalised runs give."""
     known = staged(known_names(spark, sf_dir), "known-names")
-    p = text_pairs(spark, sf_dir)
-    sides = F.explode(F.array(*(F.struct(F.struct("doc_id", F.lit(t).alias("side")).alias("at"), F.col(t).alias("text")) for t in ("ref", "hyp"))))
-    found = staged(E.entities(p.select(sides.alias("x")).select("x.*"), "at", "text", known).select("at.*", "category", "name"), "names-found")
-    ref, hyp = (found.where(F.col("side") == t).drop("side") for t in ("ref", "hyp"))
-    return E.entity_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ref, hyp, name_aliases(known))
+    docs = documents(spark, sf_dir)
+    parts = dealt_parts(docs, "text")
+    dealt = paired(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition(parts, "doc_id"))
+    return E.text_recall(dealt, "doc_id", "ref", "hyp", known, name_aliases(known), paired(docs), parts)
 
 
 def entity_match(spark, sf_dir):
