@@ -21,6 +21,8 @@ from .sources import io
 
 #: Of the settings that augmentation draws once a run.
 SEED = 7
+#: Clips of a task.
+CLIPS = 200
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -190,7 +192,9 @@ def _clips(spark, sf_dir) -> DataFrame:
             yield f.assign(audio_path=[f"clip_{k}.wav" for k in f["conv_id"]], content=out)
 
     ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return ids.mapInPandas(run, "conv_id long, audio_path string, content binary")
+    # ids are small and Spark would put all of them into one task, their clips are work
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-ids.count() // CLIPS))
+    return ids.repartition(parts, "conv_id").mapInPandas(run, "conv_id long, audio_path string, content binary")
 
 
 def audio_features(spark, sf_dir):
@@ -204,11 +208,10 @@ def audio_variants(spark, sf_dir):
     folder = new_path(spark, "variants")
     clips = _clips(spark, sf_dir).select(F.col("audio_path").alias("path"), "content")
     hum = 0.3 * np.sin(2 * np.pi * 50 * np.arange(4000) / 16000)
-    made = staged(audio.augmented(clips, 5, audio.drawn(SEED), hum), "variants-made")
-    files = staged(audio.write_clips(made, folder), "variants-files")
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    sizes = files.select(name.alias("name"), ((F.col("size") - 44) / 2).cast("long").alias("n_samples"))
-    return made.select("path", "variant", "kind", "name").join(sizes, "name")
+    # a clip becomes its files in one task: no table holds their content once more
+    made = audio.augmented(clips, 5, audio.drawn(SEED), hum)
+    files = staged(audio.write_clips(made, folder, ("path", "variant", "kind", "name")), "variants-files")
+    return files.select("name", "path", "variant", "kind", ((F.col("size") - 44) / 2).cast("long").alias("n_samples"))
 
 
 def audio_probe(spark, sf_dir):

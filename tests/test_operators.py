@@ -336,3 +336,33 @@ def test_settings_of_a_run():
     mixed = audio.augment(tone * 0.5, how, hum)
     ratio = (tone * 0.5) @ (tone * 0.5) / ((mixed - tone * 0.5) @ (mixed - tone * 0.5))
     assert ratio == pytest.approx(10 ** (how.snr_db / 10), rel=0.05)
+
+
+def test_stretched_phases_are_those_of_angles():
+    def by_angles(x, rate):
+        s = audio.spectrogram(x)
+        at = np.arange(0, len(s) - 1 + 1e-9, rate)
+        s = np.vstack((s, np.zeros((2, s.shape[1]))))
+        left, share = at.astype(int), (at % 1)[:, None]
+        phase = np.angle(s[0]) + np.vstack((np.zeros(s.shape[1]), np.cumsum((np.angle(s[left + 1]) - np.angle(s[left]))[:-1], axis=0)))
+        size = (1 - share) * np.abs(s[left]) + share * np.abs(s[left + 1])
+        return audio._overlapped(size * np.exp(1j * phase), int(round(len(x) / rate)))
+
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 700, 8000, 16001):
+        x = rng.standard_normal(n) * 0.3
+        for rate in (0.9, 1.07):
+            assert np.allclose(audio.time_stretch(x, rate), by_angles(x, rate), atol=1e-9)
+    assert not audio.time_stretch(np.zeros(3000), 1.1).any()
+
+
+def test_fast_sizes():
+    smooth = sorted(2**a * 3**b * 5**c for a in range(13) for b in range(9) for c in range(6))
+    assert [audio.fast_size(n) for n in range(1, 4000)] == [next(k for k in smooth if k >= n) for n in range(1, 4000)]
+
+
+def test_clips_are_written_with_their_columns(spark, tmp_path):
+    """What a table knows of its clips comes with the files, so that it needn't be staged with their content to be joined again."""
+    d = spark.createDataFrame([("a/x.wav", 1, "x_1.wav", b"12345")], "path string, variant int, name string, content binary")
+    files = audio.write_clips(d, f"file://{tmp_path}/out", ("path", "variant"))
+    assert [tuple(r) for r in files.select("path", "variant", "size").collect()] == [("a/x.wav", 1, 5)] and (tmp_path / "out/x_1.wav").read_bytes() == b"12345"

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillmark import queries as Q
 
@@ -43,3 +44,11 @@ def test_rows_only_queries(spark):
         assert best.setdefault((r.lang, r.source), r.predicted_score) >= r.predicted_score and r["rank"] <= 3
         best[r.lang, r.source] = r.predicted_score
     assert q["cross_validation"](spark, SF).first().mse > 0 and q["model_artefact"](spark, SF).count() > 0
+
+
+def test_clips_are_dealt_to_all_cores(spark):
+    from quillmark import flows
+
+    clips = flows._clips(spark, SF)
+    tasks = clips.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in tasks) == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
