@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, words
+from . import caches, common, words
 
 #: Counters of shingle frequency, and of a block that is summed at once; groups of a point, and of the folded point that shards carry for sets under LONG shingles.
 COUNTERS, BLOCK, GROUPS, FOLDED, LONG = 1 << 20, 1 << 14, 128, 32, 1500
@@ -63,7 +63,7 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
                 total += np.bincount(counter(np.concatenate(found)), minlength=COUNTERS)
         live = [k for k in range(COUNTERS // BLOCK) if total[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_pydict({"k": pa.array(live, pa.int64()), "n": pa.array([total[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes() for k in live], pa.binary())})
-        pa.default_memory_pool().release_unused()  # a worker waits with little memory, whatever comes next
+        caches.give_back()  # a worker waits with little memory, whatever comes next
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -101,7 +101,7 @@ def signed(docs: DataFrame, freq: np.ndarray, n: int, num: int, den: int) -> Dat
                     [b.column(0).slice(at, len(found)), pa.array(rows["n"], pa.int64()), pa.array(rows["h1"], pa.int64()), pa.array(rows["h2"], pa.int64()), pa.array(rows["point"], pa.binary()), pa.array(rows["odd"], pa.binary()), pa.array(rows["prefix"], pa.list_(pa.int64()))],
                     names=["doc_id", "n", "h1", "h2", "point", "odd", "prefix"],
                 )
-        pa.default_memory_pool().release_unused()
+        caches.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, odd binary, prefix array<long>")
 
@@ -254,7 +254,7 @@ def shard_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None:
             a, z = joined(held)
             yield pa.RecordBatch.from_pydict({"a": a, "b": z})
-        pa.default_memory_pool().release_unused()
+        caches.give_back()
 
     return rows.select(*names, "point", "odd").mapInArrow(run, "a long, b long")
 
@@ -320,7 +320,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: in
                 if len(last) > 1024:
                     last.clear()
         last.clear()
-        pa.default_memory_pool().release_unused()
+        caches.give_back()
 
     return common.staged(e.mapInArrow(exact, "a long, b long"), "near-links")
 

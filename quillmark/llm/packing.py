@@ -56,6 +56,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col="doc_id", tex
             term, count = np.concatenate((at, [-1, -2])), np.concatenate((df[at], [docs, total]))
             none = pa.nulls(len(term), pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "ids": pa.nulls(len(term), pa.binary()), "term": term, "df": count, "kind": np.ones(len(term), np.int64)})
+        caches.give_back()  # before the next task's texts come
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path, spark = common.new_path(docs.sparkSession, "pack-ids"), docs.sparkSession

@@ -73,7 +73,7 @@ class Gains:
     def release(cls) -> None:
         """At a task's end: the worker waits with little memory, whatever comes next."""
         cls._of.clear()
-        pa.default_memory_pool().release_unused()
+        caches.give_back()
 
     def gain(self, window: str) -> int:
         g = self.known.get(window)

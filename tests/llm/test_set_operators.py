@@ -354,3 +354,22 @@ def test_clipped_counts_bound_nothing():
     p = np.full((2, N.GROUPS), 65535, np.uint16)
     opened = N._open(p, size, 65535)
     assert N.may_link(size[0], size[1], np.minimum(opened[0], opened[1]).sum(dtype=np.int64), 90, 100)
+
+
+def test_a_new_owner_gets_the_memory_of_the_last_ones_cache():
+    """In a process of its own: blocks below one that is still used go back to the system once another cache is claimed."""
+    import subprocess
+    import sys
+
+    code = """
+import os
+from quillmark.llm import caches
+size = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+held = []
+caches.claim("one", held.clear)
+held += [bytes(2000) for _ in range(100_000)]
+last, full = bytes(2000), size()
+caches.claim("two", lambda: None)
+assert size() < full - 100, (full, size())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
